@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from . import common
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Distinct chunks remembered by one worker.
-CACHE = 400_000
+CACHE = 250_000
 #: A run of white space that a cut at single spaces would change.
 UNSAFE = re.compile(r"\s \s|\s \Z")
 
@@ -45,7 +46,7 @@ class MinimalPerfectHash:
 
     def __init__(self, keys: list[bytes], values: list[int]) -> None:
         n = self.n = max(1, len(keys))
-        self.buckets = max(1, n // 3)
+        self.buckets = max(1, n // 2)
         hashed = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
         order: list[list[int]] = [[] for _ in range(self.buckets)]
         for i, h in enumerate(hashed.tolist()):
@@ -125,10 +126,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class ByteBpe:
     """Encoder and decoder for a rank file and a pre-token pattern."""
 
-    def __init__(self, rank_file: bytes, pattern: str) -> None:
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
+    def __init__(self, ranks: dict[bytes, int], pattern: str, whole: MinimalPerfectHash | None = None) -> None:
+        self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.whole = MinimalPerfectHash(list(self.ranks), list(self.ranks.values()))
+        self.whole = whole or MinimalPerfectHash(list(ranks), list(ranks.values()))
         self.bytes_of = {str(i): b for b, i in self.ranks.items()}
         self.pieces = common.BoundedCache(self._piece, CACHE // 2)
         self.chunks = common.BoundedCache(self._chunk, CACHE)
@@ -169,23 +170,44 @@ class ByteBpe:
         return b"".join([self.bytes_of[str(i)] for i in ids])
 
 
-_made: dict[tuple[str, str], ByteBpe] = {}
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Ranks by token from a rank file (its size is fixed by the vocabulary)."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, common.read_bytes(path).splitlines()) if a}
 
 
-def coder(rank_file: bytes, pattern: str) -> ByteBpe:
+class Vocabulary(NamedTuple):
+    """What the executors need; made on the driver and broadcast, a few MB."""
+
+    key: str
+    ranks: dict[bytes, int]
+    whole: MinimalPerfectHash
+    pattern: str
+
+
+_vocabularies: dict[tuple[str, str], Vocabulary] = {}
+_made: dict[str, ByteBpe] = {}
+
+
+def vocabulary(path: str, pattern: str) -> Vocabulary:
+    if (path, pattern) not in _vocabularies:
+        ranks = read_ranks(path)
+        _vocabularies[path, pattern] = Vocabulary(f"{path} {pattern}", ranks, MinimalPerfectHash(list(ranks), list(ranks.values())), pattern)
+    return _vocabularies[path, pattern]
+
+
+def coder(made: Vocabulary) -> ByteBpe:
     """The worker's coder, made once for a vocabulary."""
-    key = (hashlib.md5(rank_file).hexdigest(), pattern)
-    if key not in _made:
-        _made[key] = ByteBpe(rank_file, pattern)
-    return _made[key]
+    if made.key not in _made:
+        _made[made.key] = ByteBpe(made.ranks, made.pattern, made.whole)
+    return _made[made.key]
 
 
 def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """Token counts and hashes of ids and decoded bytes of every whole text. No shuffle."""
-    rank_file = docs.sparkSession.sparkContext.broadcast(common.read_bytes(rank_path))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(rank_path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(rank_file.value, pattern)
+        bpe = coder(shared.value)
         sha = hashlib.sha256
         for batch in common.pieces(batches):
             counts, ids_hash, back_hash = [], [], []
@@ -204,10 +226,10 @@ def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
 def encode_ids(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """``doc_id, ids array<int>`` of every whole text."""
-    rank_file = docs.sparkSession.sparkContext.broadcast(common.read_bytes(rank_path))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(rank_path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(rank_file.value, pattern)
+        bpe = coder(shared.value)
         for batch in common.pieces(batches):
             ids = pa.array([bpe.encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
@@ -217,10 +239,10 @@ def encode_ids(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
 def decode_ids(coded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """``doc_id, raw binary`` from ``doc_id, ids``; null ids give null."""
-    rank_file = coded.sparkSession.sparkContext.broadcast(common.read_bytes(rank_path))
+    shared = coded.sparkSession.sparkContext.broadcast(vocabulary(rank_path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(rank_file.value, pattern)
+        bpe = coder(shared.value)
         for batch in common.pieces(batches):
             raw = [None if ids is None else bpe.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["doc_id", "raw"])

@@ -76,18 +76,26 @@ def keep_rows(docs: DataFrame, decide: Callable[[list, list], list], id_col: str
 
 
 class BoundedCache(dict):
-    """A dict that computes missing values and forgets everything when it is full."""
+    """A dict that computes missing values and keeps two generations of them.
+
+    When the young generation is full it becomes the old one, whose entries
+    return on use; frequent keys so survive, and memory stays bounded.
+    """
 
     def __init__(self, make: Callable, limit: int) -> None:
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > 64:
+                return value
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        if len(key) <= 64:
-            self[key] = value
+        self[key] = value
         return value
 
 
