@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, simhash
+from . import byte_bpe, langid, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.query,
     "op4_byte_bpe": byte_bpe.query,
+    "op5_langid": langid.query,
     "op7_simhash": simhash.query,
+    "op10_secret_scan": secret_scan.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
