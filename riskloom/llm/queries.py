@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, langid, records, secret_scan, simhash, toxicity
+from . import byte_bpe, decontaminate, imatch, langid, records, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
     "op2_records": records.query,
+    "op9_imatch": imatch.query,
     "op3_decontaminate": decontaminate.query,
     "op4_byte_bpe": byte_bpe.query,
     "op5_langid": langid.query,
