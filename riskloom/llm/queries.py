@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, imatch, langid, records, secret_scan, simhash, toxicity
+from . import byte_bpe, chat_format, decontaminate, html_extract, imatch, langid, records, secret_scan, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -15,8 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": decontaminate.query,
     "op4_byte_bpe": byte_bpe.query,
     "op5_langid": langid.query,
+    "op6_chat_format": chat_format.query,
     "op7_simhash": simhash.query,
+    "op8_html_extract": html_extract.query,
     "op10_secret_scan": secret_scan.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat_format.SQL}
