@@ -155,6 +155,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return groups(docs, size).select("doc_id", hexed, "component_id")
 
 
+def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` per group, with all its columns: the one with the smallest id (any one, if no id is known).
+
+    Only the texts of rows that share an id meet again; the rest of the work
+    is on fingerprints.
+    """
+    found = groups(docs, size)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    known = docs.join(first, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    orphans = common.cut(found.where("component_id is null").select("fp").distinct())
+    if orphans.isEmpty():
+        return known
+    # Rows without an id whose whole group has none: one row a fingerprint.
+    nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    return known.unionByName(nameless)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op7_simhash``: groups of all of ``documents``."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))
