@@ -5,8 +5,9 @@ little-endian), a masked checksum of those eight bytes, the payload, and a
 masked checksum of the payload. The checksum is CRC-32 (the C implementation
 that ships with Python), masked by a rotation of 15 bits and an added
 constant, so that stored checksums of checksums stay apart. A payload is one
-serialised sequence: ``doc_id`` (signed 64-bit), a flag (1: the id is null)
-and the ids (unsigned 32-bit each). Beside every record file stands an index
+serialised sequence: ``doc_id`` (signed 64-bit), flags (1: the id is null; 2:
+wide) and the ids, unsigned, little-endian, of 16 bits each where the whole
+vocabulary and the end id fit, else (wide) of 32. Beside every record file stands an index
 file of (offset, payload length) pairs, one per record, for shuffled reads.
 
 Documents are dealt by ranges of ``doc_id`` (ties by a hash of the text, so a
@@ -30,9 +31,9 @@ from __future__ import annotations
 import os
 import re
 import struct
-import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ HEAD = struct.Struct("<qI")
 TAIL = struct.Struct("<I")
 ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8")])
 MASK_DELTA = 0xA282EAD8
-CACHE = 200_000
+CACHE = 350_000
 
 
 def masked(data: bytes) -> int:
@@ -63,8 +64,15 @@ def frame(payload: bytes) -> bytes:
     return b"".join([length, TAIL.pack(masked(length)), payload, TAIL.pack(masked(payload))])
 
 
-def serialise(doc_id: int | None, ids: bytes) -> bytes:
-    return HEAD.pack(doc_id or 0, doc_id is None) + ids
+def serialise(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
+    return HEAD.pack(doc_id or 0, (doc_id is None) | wide << 1) + ids
+
+
+def restored(payload: memoryview) -> tuple[int | None, np.ndarray]:
+    """(doc_id, ids as little-endian unsigned 32-bit integers) of a payload."""
+    doc_id, flags = HEAD.unpack_from(payload)
+    ids = np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=HEAD.size).astype("<u4")
+    return None if flags & 1 else doc_id, ids
 
 
 def frames(data: bytes | pa.Buffer) -> Iterator[tuple[int, memoryview]]:
@@ -90,8 +98,7 @@ def record(uri: str, index_uri: str, number: int) -> tuple[int | None, np.ndarra
     with fs.open_input_file(path) as f:
         raw = f.read_at(FRAME.size + length + TAIL.size, offset)
     (_, payload), *_ = frames(raw)
-    doc_id, null = HEAD.unpack_from(payload)
-    return None if null else doc_id, np.frombuffer(payload, "<u4", offset=HEAD.size)
+    return restored(payload)
 
 
 class Files:
@@ -126,9 +133,12 @@ class Files:
 
 
 MANIFEST = "file string, part int, number int, records long, tokens long"
-#: Letters of the Latin blocks; for text of these (and ASCII) lower case and NFC agree between the two libraries.
+#: Letters of the Latin blocks, all composed: for text of these (and ASCII) the normalizer is lower case alone.
 PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]+")
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[^\w\s]+|_+")
+#: What these blocks have that the two regex engines class differently.
+APART = re.compile(r"[_²³¹¼½¾]|<\|")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[^\w\s]+")
+CLOSING = frozenset(",.;:!?")
 
 
 def byte_letters() -> dict[int, str]:
@@ -149,32 +159,35 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.code = "I" if self.wide else "H"
         self.parts = common.BoundedCache(self._part, CACHE)
         self.chunks = common.BoundedCache(self._chunk, CACHE)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        spelt = part.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+        spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._part(chunk.lower())
+        if chunk[-1:] in CLOSING and chunk[:-1].isascii() and chunk[:-1].isalpha():
+            return self.chunks[chunk[:-1]] + self.parts[chunk[-1]]
         if not chunk:
             return b""
-        if not PLAIN.fullmatch(chunk) or "<|" in chunk:
-            return self._whole(chunk)
-        low = unicodedata.normalize("NFC", chunk).lower()
-        found = PARTS.findall(low)
-        if "_" in low or not low.isascii() and any(c.isnumeric() and not c.isdecimal() for c in low):
+        if not PLAIN.fullmatch(chunk) or APART.search(chunk):
             return self._whole(chunk)
-        return b"".join([self.parts[p] for p in found])
+        return b"".join([self.parts[p] for p in PARTS.findall(chunk.lower())])
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
+        """Ids of a whole text as little-endian unsigned integers of 16 or (``wide``) 32 bits."""
         if "<|" in text:
             return self._whole(text)
+        if text.isascii():
+            text = text.lower()
         chunks = self.chunks
         return b"".join([chunks[c] for c in text.replace("\n", " ").split(" ")])
 
@@ -194,18 +207,20 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
     """Write all of ``docs`` as record files into ``folder`` (a URI all executors reach); returns the manifest, already computed."""
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(common.read_bytes(tokenizer_path))
-    tail = struct.pack("<I", end_id)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, files = encoder(spec.value), None
+        wide, tail = made.wide or end_id >> 16 > 0, array(made.code, [end_id]).tobytes()
+        if wide != made.wide:
+            raise ValueError("the end id doesn't fit beside the vocabulary's ids")
         done: list[dict] = []
         for batch in common.pieces(batches):
             part = batch.column(2)[0].as_py()
             files = files or Files(folder, part)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = made.encode(text) + tail
-                done += files.add(serialise(doc_id, ids), len(ids) // 4)
+                done += files.add(serialise(doc_id, ids, wide), len(ids) // (4 if wide else 2))
         if files:
             done += files.close()
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("number", pa.int32()), ("records", pa.int64()), ("tokens", pa.int64())]))
@@ -219,11 +234,10 @@ def parsed(content: pa.Buffer, base: int) -> pa.RecordBatch:
     """One row per record of a file; ``base`` is the number of ids before it."""
     ids, starts, sizes, crcs = [], [], [], []
     for _, payload in frames(content):
-        doc_id, null = HEAD.unpack_from(payload)
-        body = payload[HEAD.size :]
-        ids.append(None if null else doc_id)
+        doc_id, body = restored(payload)
+        ids.append(doc_id)
         starts.append(base)
-        sizes.append(len(body) // 4)
+        sizes.append(len(body))
         crcs.append(zlib.crc32(body))
         base += sizes[-1]
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, sizes, crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
