@@ -47,6 +47,8 @@ from . import common
 END_ID = 2
 FILE_BYTES = 16 << 20
 FRAME = struct.Struct("<QI")
+#: Manifests of up to this many files are broadcast (about 100 bytes a file).
+BROADCAST_FILES = 100_000
 HEAD = struct.Struct("<qI")
 TAIL = struct.Struct("<I")
 ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8")])
@@ -253,6 +255,9 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     listed = manifest.select("file", F.coalesce(before, F.lit(0)).alias("base"))
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.rec").load(folder)
     found = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    # One short row per FILE_BYTES of ids; beyond BROADCAST_FILES of them the contents are shuffled instead.
+    if manifest.count() <= BROADCAST_FILES:
+        listed = F.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
