@@ -21,9 +21,18 @@ def theme_codes(themes: Column) -> Column:
     return F.transform(F.split(F.upper(F.coalesce(themes, F.lit(""))), ";"), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
 
 
-def theme_hits(codes: Column, tier: Sequence[str]) -> Column:
-    """Occurrences of the tier's codes; a repeated code counts each time."""
-    return F.size(F.filter(codes, lambda t: t.isin(*tier)))
+def code_pattern(codes: Sequence[str]) -> str:
+    """One trimmed code of a ``;`` list, whatever its case, as a pattern whose matches don't overlap."""
+    return r"(?i)(?:^|;)\s*(?:" + "|".join(map(re.escape, codes)) + r")\s*(?=;|$)"
+
+
+def theme_hits(themes: Column, tier: Sequence[str]) -> Column:
+    """Occurrences of the tier's codes in a ``;`` list; a repeated code counts each time. One generated regex pass, no array."""
+    return F.regexp_count(F.coalesce(themes, F.lit("")), F.lit(code_pattern(tier)))
+
+
+def has_code(themes: Column, codes: Sequence[str]) -> Column:
+    return F.coalesce(themes.rlike(code_pattern(codes)), F.lit(False))
 
 
 def strip_offsets(themes: Column) -> Column:
@@ -43,13 +52,13 @@ def tone_part(tone: Column, position: int, absolute: bool = False) -> Column:
     return F.abs(value) if absolute else value
 
 
+NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+
+
 def dimension(coded: Column, key: str) -> Column:
-    """The last well-formed ``key:value`` of a comma list, at least 0; 0 if there is none."""
-    pairs = F.filter(
-        F.transform(F.split(F.coalesce(coded, F.lit("")), ","), lambda p: F.split(F.trim(p), ":", 2)),
-        lambda p: (F.get(p, F.lit(0)) == key) & number(F.get(p, F.lit(1))).isNotNull(),
-    )
-    return F.greatest(F.lit(0.0), F.coalesce(number(F.get(F.try_element_at(pairs, F.lit(-1)), F.lit(1))), F.lit(0.0)))
+    """The last ``key:number`` of a comma list, at least 0; 0 if there is none. Anything that is no finite number is passed over."""
+    last = F.regexp_extract(F.coalesce(coded, F.lit("")), rf"(?s)^(?:.*,)?\s*{re.escape(key)}:\s*({NUMBER})\s*(?:,|$)", 1)
+    return F.greatest(F.lit(0.0), F.coalesce(last.try_cast("double"), F.lit(0.0)))
 
 
 def countries(locations: Column) -> Column:
@@ -82,29 +91,37 @@ def whole_phrase(text: Column, phrases: Sequence[str]) -> Column:
     return text.rlike(r"(?iU)(?<!\w)(?:" + "|".join(re.escape(p).replace(r"\ ", " ") for p in phrases) + r")(?!\w)")
 
 
+def coordinates(locations: Column) -> Column:
+    """(lat, lon) of the mentions that have both."""
+    return F.filter(F.transform(mentions(locations), lambda m: F.struct(m["lat"].alias("lat"), m["lon"].alias("lon"))), lambda m: m["lat"].isNotNull())
+
+
+def route_tags(locations: Column, points: Column, registry: Mapping[str, dict] = C.ROUTES, places: Sequence[tuple] = C.PLACES) -> Column:
+    """Route ids, in registry order, that any mention meets by name, by country (and region), or by bounding box.
+
+    Names and codes are patterns over the list itself, so only the boxes look
+    at parsed ``points`` (see ``coordinates``).
+    """
+    text = F.coalesce(locations, F.lit(""))
+    field, rest = r"[^#;]*#", r"#[^#;]*#[^#;]*#[^#;]*#"
+
+    def hit(route: str, spec: dict) -> Column:
+        adm1 = f"(?:{'|'.join(spec['adm1'])})" if spec["adm1"] else "[^#;]*"
+        found = text.rlike(rf"(?i)(?:^|;){field}{field}(?:{'|'.join(spec['countries'])})#{adm1}#[^#;]*#")
+        aliases = [a for p in places if p[6] == route for a in p[1]]
+        if aliases:
+            named = "|".join(re.escape(a).replace(r"\ ", " ") for a in aliases)
+            found = found | text.rlike(rf"(?iU)(?:^|;){field}[^#;]*(?<!\w)(?:{named})(?!\w)[^#;]*{rest}")
+        if spec["bounds"]:
+            south, north, west, east = spec["bounds"]
+            found = found | F.exists(points, lambda m: m["lat"].between(south, north) & m["lon"].between(west, east))
+        return found
+
+    return F.array_compact(F.array(*[F.when(hit(r, s), F.lit(r)) for r, s in registry.items()]))
+
+
 def routes(locations: Column, registry: Mapping[str, dict] = C.ROUTES, places: Sequence[tuple] = C.PLACES) -> Column:
-    """Route ids, in registry order, that any mention meets by name, by country (and region), or by bounding box."""
-    found = mentions(locations)
-
-    def meets(spec: dict, aliases: list[str]):
-        def rule(m: Column) -> Column:
-            hit = m["country"].isin(*spec["countries"])
-            if spec["adm1"]:
-                hit = hit & m["adm1"].isin(*spec["adm1"])
-            if aliases:
-                hit = hit | whole_phrase(m["fullname"], aliases)
-            if spec["bounds"]:
-                south, north, west, east = spec["bounds"]
-                hit = hit | F.coalesce(m["lat"].between(south, north) & m["lon"].between(west, east), F.lit(False))
-            return hit
-
-        return rule
-
-    flags = [
-        F.when(F.exists(found, meets(spec, [a for p in places if p[6] == route for a in p[1]])), F.lit(route))
-        for route, spec in registry.items()
-    ]
-    return F.array_compact(F.array(*flags))
+    return route_tags(locations, coordinates(locations), registry, places)
 
 
 def place_blocks(text: Column, gazetteer: Sequence[tuple[str, Sequence[str], str]]) -> Column:

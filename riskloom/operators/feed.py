@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -40,7 +41,8 @@ def searchable(*columns: str) -> Column:
 
 
 def any_of(body: Column, words: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [body.contains(w) for w in words])
+    """Whether the text has any of the words: one pattern, so the text is built once."""
+    return body.rlike("|".join(map(re.escape, words)))
 
 
 def driving(rows: DataFrame, market_words: Sequence[str], route: str | None = None, limit: int = 8, geo_tokens: Sequence[str] = C.GEO_TOKENS, tone_floor: float = 0.35) -> DataFrame:
@@ -51,11 +53,10 @@ def driving(rows: DataFrame, market_words: Sequence[str], route: str | None = No
     market, on_route = any_of(body, market_words), any_of(body, tokens) if tokens else F.lit(False)
     reason = F.when(on_route, "corridor_match").when(market, "market_keyword").otherwise("geo_theme")
     passed = rows.where(F.coalesce(gate, F.lit(False))).withColumns({"why": reason, "_both": (market | on_route).cast("int")})
-    # Two counts decide whether the second bucket joins; both buckets are cut to ``limit`` before they meet.
-    counts = passed.agg(F.sum("_both").alias("_n"))
-    first = passed.where("_both = 1").orderBy(F.desc("event_time"), "id").limit(limit)
-    second = passed.where("_both = 0").orderBy(F.desc("event_time"), "id").limit(limit).crossJoin(counts).where(F.coalesce("_n", F.lit(0)) < 3).drop("_n")
-    return first.union(second).orderBy(F.desc("_both"), F.desc("event_time"), "id").limit(limit).drop("_both")
+    # One top-k: with fewer than ``limit`` of the first bucket all of them are in it, so its rows tell their number.
+    top = passed.orderBy(F.desc("_both"), F.desc("event_time"), "id").limit(limit)
+    short = F.sum("_both").over(Window.partitionBy()) < min(3, limit)
+    return top.withColumn("_short", short).where((F.col("_both") == 1) | F.col("_short")).drop("_both", "_short")
 
 
 def brief_score(preferred: Sequence[str], min_tier: int) -> Column:

@@ -40,13 +40,10 @@ def score_articles(articles: DataFrame) -> DataFrame:
 
     All in whole-stage expressions; no shuffle.
     """
-    codes = text.theme_codes(F.col("themes"))
-    hits = [text.theme_hits(codes, tier) for tier, _ in C.TIER_WEIGHTS]
-    out = articles.withColumns({"_codes": codes}).withColumns(
-        {f"_t{i}": text.theme_hits(F.col("_codes"), tier) for i, (tier, _) in enumerate(C.TIER_WEIGHTS, 1)}
+    out = articles.withColumns(
+        {f"_t{i}": text.theme_hits(F.col("themes"), tier) for i, (tier, _) in enumerate(C.TIER_WEIGHTS, 1)}
         | {f"_d{i}": text.dimension(F.col("dims"), key) for i, key in enumerate(C.DIM_WEIGHTS)}
     )
-    del hits
     raw = reduce(lambda a, b: a + b, [F.col(f"_t{i}") * F.lit(w) for i, (_, w) in enumerate(C.TIER_WEIGHTS, 1)])
     neg, pol = (F.abs(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))) for c in ("tone_neg", "tone_polarity"))
     weighted = reduce(lambda a, b: a + b, [F.when(F.col(f"_d{i}") > C.DIM_MIN, F.col(f"_d{i}")).otherwise(0.0) * F.lit(w) for i, w in enumerate(C.DIM_WEIGHTS.values())])
@@ -60,9 +57,9 @@ def score_articles(articles: DataFrame) -> DataFrame:
     ).withColumn("risk_score", F.when(F.col("theme_score") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("theme_score") + F.col("tone_score") + F.col("dim_score"))))
     category: Column = F.lit("other")
     for name, listed in reversed(C.CATEGORIES.items()):
-        category = F.when(F.arrays_overlap("_codes", text.strings(listed)), name).otherwise(category)
+        category = F.when(text.has_code(F.col("themes"), listed), name).otherwise(category)
     out = out.withColumn("category", F.when(F.col("risk_score") == 0, "none").otherwise(category))
-    return out.drop("_codes", *[f"_t{i}" for i in (1, 2, 3)], *[f"_d{i}" for i in range(len(C.DIM_WEIGHTS))])
+    return out.drop(*[f"_t{i}" for i in (1, 2, 3)], *[f"_d{i}" for i in range(len(C.DIM_WEIGHTS))])
 
 
 def score_bucket(score: Column) -> Column:

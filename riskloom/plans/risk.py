@@ -233,9 +233,8 @@ _tiers = ", ".join(f"round(100.0 * avg(CASE WHEN t{i} > 0 THEN 1 ELSE 0 END), 6)
 
 @query(f"{W}{A.SCORED_SQL} SELECT {_tiers}, round(100.0 * avg(CASE WHEN t1 + t2 + t3 > 0 THEN 1 ELSE 0 END), 6)::DOUBLE AS any_pct FROM scored")
 def tier_hit_rates(spark, sf_dir):
-    codes = text.theme_codes(F.col("themes"))
     rows = A.articles(spark, sf_dir)
-    hits = [F.arrays_overlap(codes, text.strings(t)) for t, _ in C.TIER_WEIGHTS]
+    hits = [text.has_code(F.col("themes"), t) for t, _ in C.TIER_WEIGHTS]
     pct = lambda c: F.round(100.0 * F.avg(c.cast("int")), 6)
     return rows.agg(*[pct(h).alias(f"tier{i}_pct") for i, h in enumerate(hits, 1)], pct(hits[0] | hits[1] | hits[2]).alias("any_pct"))
 
