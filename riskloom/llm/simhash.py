@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,14 +140,14 @@ def links(fps: DataFrame, segments: int = SEGMENTS, tau: int = TAU, crowd: int =
 
 
 def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row."""
+    """``doc_id, fp, label, component_id`` of every row; ``label`` names the group whether or not it has an id."""
     marked = common.cut(fingerprints(docs, size))
     firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     labels = components(links(firsts.select("fp")))
     named = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_fp = common.cut(named.join(smallest, "label").select("fp", "component_id"))
-    return marked.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    by_fp = common.cut(named.join(smallest, "label").select("fp", "label", "component_id"))
+    return marked.join(by_fp, "fp", "left").select("doc_id", "fp", "label", "component_id")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -164,12 +165,17 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     found = groups(docs, size)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     known = docs.join(first, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    orphans = common.cut(found.where("component_id is null").select("fp").distinct())
+    # Groups without any id: one fingerprint stands for each, and one row for it.
+    orphans = common.cut(found.where("component_id is null").groupBy("label").agg(F.min("fp").alias("_fp")).select("_fp"))
     if orphans.isEmpty():
         return known
-    # Rows without an id whose whole group has none: one row a fingerprint.
-    nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return known.unionByName(nameless)
+
+    @F.pandas_udf("long")
+    def marks(body: pd.Series) -> pd.Series:
+        return body.fillna("").map(lambda t: signed(fingerprint(t, size)))
+
+    nameless = docs.where(F.col("doc_id").isNull()).withColumn("_fp", marks("text")).join(orphans, "_fp", "left_semi").dropDuplicates(["_fp"])
+    return known.unionByName(nameless.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,8 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [5, 7, 8] and kept.columns == docs.columns
     nameless = frame(spark, ["p q r", "p q r"], [None, None])
     assert simhash.keep_one(nameless).count() == 1
+    mixed = frame(spark, ["p q r", "p q r", "x y z", "x y z"], [None, 4, None, None])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(mixed).collect()) == [(0, "x y z"), (4, "p q r")]
 
 
 # --- language ID
