@@ -183,12 +183,12 @@ def history_tail(spark, sf_dir):
     return quarter.join(month, "day", "left").select("day", "close", F.coalesce("m", F.lit(False)).alias("in_month"))
 
 
-@query("SELECT n_name, [r_name, n_name] AS pair, len([r_name, n_name]) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 0")
+@query("SELECT n_name, r_name || n_name AS pair, len([r_name, n_name]) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 0")
 def empty_result(spark, sf_dir):
     """An empty join keeps its schema."""
     t = lambda n: A.table(spark, sf_dir, n)
     both = t("nation").where("n_nationkey < 0").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return both.select("n_name", F.array("r_name", "n_name").alias("pair"), F.lit(2).cast("long").alias("n"))
+    return both.select("n_name", F.concat("r_name", "n_name").alias("pair"), F.lit(2).cast("long").alias("n"))
 
 
 @query(f"{W}{A.SCORED_SQL} SELECT id, {s6('risk_score')} FROM scored WHERE isfinite(risk_score)")
