@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+COPIED = 10_000
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -28,7 +31,9 @@ def prototypes(vectors: DataFrame, label: str, vector: str) -> DataFrame:
 def assign(vectors: DataFrame, protos: DataFrame, label: str, vector: str, identifier: str, threshold: float | None = None) -> DataFrame:
     """Similarity of each vector with each prototype; with a threshold, those at or above it.
 
-    Prototypes are a fixed short list (one per label), so they are copied.
+    Prototypes are a short list (one per label): up to ``COPIED`` of them are
+    copied to every task, more are left to Spark.
     """
-    out = vectors.select(identifier, vector).crossJoin(F.broadcast(protos)).select(identifier, label, cosine(F.col(vector), F.col("prototype")).alias("similarity"))
+    few = protos.limit(COPIED + 1).count() <= COPIED
+    out = vectors.select(identifier, vector).crossJoin(F.broadcast(protos) if few else protos).select(identifier, label, cosine(F.col(vector), F.col("prototype")).alias("similarity"))
     return out if threshold is None else out.where(F.col("similarity") >= threshold)
