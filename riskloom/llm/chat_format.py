@@ -5,18 +5,20 @@ rendered once, as prompt; the turns after it are rendered as the chosen and
 the rejected completion. Only assistant turns of a completion carry loss.
 
 The output has one row per rendered turn, so a conversation of any length
-stays distributed: turns are matched by (pair, turn), the first mismatch of a
-pair is an aggregate, and it is joined back under a salt.
+stays distributed: turns are compared by hashes of their rows, the first
+mismatch of a pair is an aggregate, and it is joined back under a salt. The
+texts are shuffled once at most.
 
 Contract: a turn is (conversation, turn number, role, text); null roles and
-texts are empty. Rows that repeat a turn number are told apart by their order
-of role and text. A conversation without a partner has an empty prompt and one
-completion. Turns with a null conversation or turn number are left out.
+texts are empty. Rows that repeat a turn number belong to the same turn, which
+two sides share if they have the same rows. A conversation without a partner
+has an empty prompt and one completion. Turns with a null conversation or turn
+number are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,10 +35,10 @@ def render(role: Column, text: Column) -> Column:
 
 
 def format_pairs(turns: DataFrame) -> DataFrame:
-    """``pair_id, segment, turn, part, role, rendered, loss`` from ``pair_id, side, turn, role, text``.
+    """``pair_id, segment, turn, role, rendered, loss`` from ``pair_id, side, turn, role, text``.
 
     ``side`` is ``chosen`` or ``rejected``; ``segment`` is ``prompt``,
-    ``chosen`` or ``rejected``; ``part`` numbers rows that repeat a turn.
+    ``chosen`` or ``rejected``.
     """
     clean = turns.select(
         F.col("pair_id").cast("long").alias("pair_id"),
@@ -45,17 +47,19 @@ def format_pairs(turns: DataFrame) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).where("pair_id is not null and turn is not null")
-    same = Window.partitionBy("pair_id", "side", "turn").orderBy("role", "text")
-    clean = clean.withColumn("part", F.row_number().over(same))
-    # A prefix turn stands once on either side with the same rows; its digest decides.
-    sides = clean.groupBy("pair_id", "turn").agg(
+    # A turn's rows as a multiset: XOR and sum of their hashes, and their number.
+    marks = clean.select("pair_id", "side", "turn", F.xxhash64("role", "text").alias("h"))
+    sides = marks.groupBy("pair_id", "turn").agg(
         *[
-            F.coalesce(F.bit_xor(F.when(F.col("side") == s, F.xxhash64("part", "role", "text"))), F.lit(0)).alias(s)
+            F.struct(
+                F.coalesce(F.bit_xor(F.when(F.col("side") == s, F.col("h"))), F.lit(0)).alias("x"),
+                F.coalesce(F.sum(F.when(F.col("side") == s, F.pmod("h", F.lit(1 << 31)))), F.lit(0)).alias("s"),
+                F.count_if(F.col("side") == s).alias("n"),
+            ).alias(s)
             for s in ("chosen", "rejected")
-        ],
-        *[F.count_if(F.col("side") == s).alias(f"n_{s}") for s in ("chosen", "rejected")],
+        ]
     )
-    differs = (F.col("chosen") != F.col("rejected")) | (F.col("n_chosen") != F.col("n_rejected"))
+    differs = F.col("chosen") != F.col("rejected")
     parted = sides.groupBy("pair_id").agg(F.min(F.when(differs, F.col("turn"))).alias("parts_at"))
     copies = parted.select("pair_id", "parts_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     marked = clean.withColumn("salt", F.pmod(F.col("turn"), F.lit(SALTS)).cast("int")).join(copies, ["pair_id", "salt"])
@@ -65,7 +69,6 @@ def format_pairs(turns: DataFrame) -> DataFrame:
         "pair_id",
         F.when(prompt, F.lit("prompt")).otherwise(F.col("side")).alias("segment"),
         "turn",
-        "part",
         "role",
         render(F.col("role"), F.col("text")).alias("rendered"),
         F.when(~prompt & (F.col("role") == LEARNED), 1).otherwise(0).alias("loss"),
@@ -90,16 +93,15 @@ WITH clean AS (
   SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
     CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY pair_id, side, turn ORDER BY role, text) AS INTEGER) AS part FROM clean),
 sides AS (
   SELECT pair_id, turn,
-    string_agg(role || chr(1) || text, chr(2) ORDER BY part) FILTER (WHERE side = 'chosen') AS c,
-    string_agg(role || chr(1) || text, chr(2) ORDER BY part) FILTER (WHERE side = 'rejected') AS r
-  FROM numbered GROUP BY pair_id, turn),
+    string_agg(role || chr(1) || text, chr(2) ORDER BY role, text) FILTER (WHERE side = 'chosen') AS c,
+    string_agg(role || chr(1) || text, chr(2) ORDER BY role, text) FILTER (WHERE side = 'rejected') AS r
+  FROM clean GROUP BY pair_id, turn),
 parted AS (SELECT pair_id, min(CASE WHEN c IS DISTINCT FROM r THEN turn END) AS parts_at FROM sides GROUP BY pair_id)
-SELECT n.pair_id, CASE WHEN parts_at IS NULL OR turn < parts_at THEN 'prompt' ELSE side END AS segment, turn, part, role,
+SELECT n.pair_id, CASE WHEN parts_at IS NULL OR turn < parts_at THEN 'prompt' ELSE side END AS segment, turn, role,
   '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered,
   CASE WHEN parts_at IS NOT NULL AND turn >= parts_at AND role = 'assistant' THEN 1 ELSE 0 END AS loss
-FROM numbered n JOIN parted p ON n.pair_id = p.pair_id
+FROM clean n JOIN parted p ON n.pair_id = p.pair_id
 WHERE side = 'chosen' OR (parts_at IS NOT NULL AND turn >= parts_at)
 """

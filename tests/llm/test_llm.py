@@ -388,8 +388,8 @@ def test_preference_pairs(spark):
         (2, 0, "user", "alone"), (4, 0, "user", "same"), (5, 0, "user", "same"), (4, 0, "user", "same"), (None, 1, "user", "x"), (6, None, "user", "x"), (8, 1, None, None),
     ]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = sorted((r["pair_id"], r["segment"], r["turn"], r["part"], r["loss"]) for r in chat_format.format_pairs(chat_format.paired(turns)).collect())
-    assert got == [(0, "chosen", 1, 1, 1), (0, "chosen", 2, 1, 0), (0, "prompt", 0, 1, 0), (0, "rejected", 1, 1, 1), (1, "chosen", 0, 1, 0), (2, "chosen", 0, 1, 0), (2, "chosen", 0, 2, 0), (2, "rejected", 0, 1, 0), (4, "chosen", 1, 1, 0)]
+    got = sorted((r["pair_id"], r["segment"], r["turn"], r["loss"]) for r in chat_format.format_pairs(chat_format.paired(turns)).collect())
+    assert got == [(0, "chosen", 1, 1), (0, "chosen", 2, 0), (0, "prompt", 0, 0), (0, "rejected", 1, 1), (1, "chosen", 0, 0), (2, "chosen", 0, 0), (2, "chosen", 0, 0), (2, "rejected", 0, 0), (4, "chosen", 1, 0)]
     assert chat_format.format_pairs(chat_format.paired(turns.where("false"))).count() == 0
 
 
