@@ -92,18 +92,20 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     if not 0 < share < 1:
         return Model(np.zeros(BUCKETS, np.float32), -30.0 if share == 0 else 30.0)
     rng = np.random.default_rng(seed)
-    lists = [[clean(w) for w in words_of(t)] for t in texts]
-    lists = [[w for w in ws if w] for ws in lists]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in lists for w in ws))}
-    start = np.concatenate([[0], np.cumsum([len(ws) for ws in lists])]).astype(np.int64)
-    seq = np.fromiter((vocabulary[w] for ws in lists for w in ws), np.int64, int(start[-1]))
+    vocabulary: dict[str, int] = {}
+    rows = []
+    for text in texts:  # numbers, not words, are kept of each text
+        rows.append(np.array([vocabulary.setdefault(c, len(vocabulary)) for w in words_of(text) if (c := clean(w))], np.int32))
+    start = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    seq = np.concatenate([np.zeros(0, np.int32), *rows])
     bucket, first = subwords.grams(list(vocabulary), ORDERS, BUCKETS, whole=True)
+    bucket = bucket.astype(np.int32)
     size = np.maximum(1, np.diff(first)).astype(np.float32)
     y = np.asarray(labels, np.float64)
     held = rng.random(len(y)) < 0.15
     if not held.any() or held.all():
         held = np.arange(len(y)) % 7 == 3
-    owner = np.repeat(np.arange(len(y)), np.diff(start))
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(start))
     embed = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 1, (2, DIM)).astype(np.float32)
     bias = np.zeros(2, np.float32)
