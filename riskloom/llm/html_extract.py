@@ -14,11 +14,15 @@ hashes of (page, count) identify it, both of which add up map-side, so a host
 with any number of pages costs a few rows per token. Templates are joined back
 by broadcast while they are measurably small, else by a salted shuffle.
 
-The article's slots are those under ``article``/``main`` elements (labels
-such as ``role="main"`` count too); without one, those under the template
-element that holds most text outside the template. Elements that say they are
-menus, headers, footers, sidebars, notices, adverts, forms or comments, by
-name, role, class or id, are left out anywhere.
+Template text is left out on every page, inside ``article``/``main`` elements
+too. The article's slots are those under such elements (labels such as
+``role="main"`` count too) if a page has any there, else those under the
+template element that holds most text outside the template. Menus, footers,
+sidebars, forms and hidden elements, by name or role, are left out anywhere.
+Class and id words (adverts, notices, comments, ...) are a hint: an element
+with one is left out if it stands in at least ``SUPPORT`` of the host's pages
+and is no paragraph or heading; on a host without a template the words alone
+decide. A page that is template throughout keeps its text.
 
 Contract: one row per page. Null or empty html gives empty text; a null or
 odd url counts as a host of its own name (empty); broken markup is read as
@@ -58,6 +62,7 @@ LABEL = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul dd dt tr td th tbody".split())
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div article section main nav aside header footer body html td th form blockquote".split())
 DROPPED = frozenset("nav footer aside form button dialog menu fieldset head".split())
@@ -75,7 +80,9 @@ class Block(NamedTuple):
     path: str  # names and labels of the open elements
     parents: tuple[str, ...]  # the path of each open element, outermost first
     article: int  # number of the innermost article element, 0 outside
-    dropped: bool
+    dropped: bool  # by name, role or as hidden
+    hinted: bool  # by class or id words, paragraphs and headings too
+    hints: tuple[str, ...]  # paths of the open elements with such words that are no paragraph or heading
     text: str
 
 
@@ -84,10 +91,11 @@ class Element(NamedTuple):
     path: str
     article: int
     dropped: bool
+    hinted: bool
 
 
-def labels(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """(name with class and id, whether it is an article, whether its content is left out)."""
+def labels(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """(name with class and id, whether it is an article, whether its content is left out, whether class or id words hint at that)."""
     found: dict[str, str] = {}
     if attributes:
         for m in LABEL.finditer(attributes):
@@ -96,14 +104,15 @@ def labels(name: str, attributes: str) -> tuple[str, bool, bool]:
     words = {w for t in tokens for w in (t, *re.split(r"[-_]+", t))}
     role = found.get("role", "")
     article = name in ("article", "main") or role in ("main", "article") or bool({t.replace("-", "") for t in tokens} & MAIN_LABELS) or found.get("itemprop") == "articlebody"
-    dropped = name in DROPPED or role in DROPPED_ROLES or (bool(words & DROPPED_LABELS) and name not in ("html", "body", "main"))
+    hinted = bool(words & DROPPED_LABELS) and name not in ("html", "body", "main")
+    dropped = name in DROPPED or role in DROPPED_ROLES
     dropped = dropped or "hidden" in found and name != "body" or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    return ".".join([name, *sorted(tokens)]), article, dropped
+    return ".".join([name, *sorted(tokens)]), article, dropped, hinted
 
 
 def parse(source: str) -> tuple[list[str], list[Block]]:
     """(path of every opened block element, text blocks) of a page, in page order."""
-    stack, opened, blocks, run = [Element("", "", 0, False)], [], [], []
+    stack, opened, blocks, run = [Element("", "", 0, False, False)], [], [], []
     articles = 0
 
     def flush():
@@ -112,7 +121,9 @@ def parse(source: str) -> tuple[list[str], list[Block]]:
             run.clear()
             if text:
                 top = stack[-1]
-                blocks.append(Block(top.path, tuple(e.path for e in stack[1:]), top.article, top.dropped, text))
+                hinted = [e for e in stack if e.hinted]
+                hints = tuple(e.path for e in hinted if e.name not in PLAIN)
+                blocks.append(Block(top.path, tuple(e.path for e in stack[1:]), top.article, top.dropped, bool(hinted), hints, text))
 
     at = 0
     for m in MARKUP.finditer(source):
@@ -133,7 +144,7 @@ def parse(source: str) -> tuple[list[str], list[Block]]:
                     del stack[k:]
                     break
             continue
-        if name in ENDS_P and stack[-1].name in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+        if name in ENDS_P and stack[-1].name in PLAIN:
             stack.pop()
         if name in CLOSES:
             for k in range(len(stack) - 1, 0, -1):
@@ -142,7 +153,7 @@ def parse(source: str) -> tuple[list[str], list[Block]]:
                     break
                 if stack[k].name in SCOPES:
                     break
-        label, article, dropped = labels(name, m[4] or "")
+        label, article, dropped, hinted = labels(name, m[4] or "")
         top = stack[-1]
         if name == "header" and not top.article and not article:
             dropped = True
@@ -154,7 +165,7 @@ def parse(source: str) -> tuple[list[str], list[Block]]:
         if article and not top.article:
             articles += 1
             number = articles
-        stack.append(Element(name, path, number, dropped or top.dropped))
+        stack.append(Element(name, path, number, dropped or top.dropped, hinted))
     run.append(source[at:])
     flush()
     return opened, blocks
@@ -222,38 +233,53 @@ def nested(tokens: list[int], holders: list[int]) -> list[int]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, template array<long>``: the nested valid tokens of each host with enough pages."""
+    """``host, template array<long>, others array<long>``: the nested valid tokens of each host with enough pages, and its other frequent ones."""
     schema = "host string, token long, holder long, pages long, vector long"
     seen = pages.select("page_id", "host", "html").mapInArrow(gathered, schema).groupBy("host", "token", "holder").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"))
     seen = common.cut(seen.where((F.col("pages") >= 2)))
     whole = seen.where("token = 0").select("host", F.col("pages").alias("of")).where(F.col("of") >= LEAST_PAGES)
     frequent = seen.where("token <> 0").join(whole, "host").where(F.col("pages") >= F.col("of") * SUPPORT)
-    classes = frequent.groupBy("host", "pages", "vector").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE)
+    classes = frequent.groupBy("host", "pages", "vector").agg(F.count("*").alias("size"))
     # Tokens in half of a host's pages: at most twice the tokens of a page, so the lists are bounded.
-    chosen = frequent.join(classes, ["host", "pages", "vector"]).groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("holder").alias("holders"))
+    chosen = frequent.join(classes, ["host", "pages", "vector"]).groupBy("host").agg(
+        F.collect_list("token").alias("tokens"), F.collect_list("holder").alias("holders"), F.collect_list(F.col("size") >= LARGE).alias("large")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [nested(t, h) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int64()))], ["host", "template"])
+            kept, others = [], []
+            for t, h, large in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                kept.append(nested([x for x, ok in zip(t, large) if ok], [x for x, ok in zip(h, large) if ok]))
+                others.append(sorted(set(t) - set(kept[-1])))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (kept, others)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["host", "template", "others"])
 
-    return chosen.mapInArrow(run, "host string, template array<long>")
+    return chosen.mapInArrow(run, "host string, template array<long>, others array<long>")
 
 
-def main_text(source: str | None, template: frozenset | set) -> str:
-    """The article of one page, given the template tokens of its host."""
+def main_text(source: str | None, template: frozenset | set, others: frozenset | set = frozenset()) -> str:
+    """The article of one page, given the template tokens of its host and the other ones in at least ``SUPPORT`` of its pages."""
     if not source:
         return ""
     _, blocks = parse(source)
-    kept = [b for b in blocks if not b.dropped]
-    inside = [b for b in kept if b.article]
+    if template:
+
+        def hinted(b):
+            return any((t := token("tag", p)) in template or t in others for p in b.hints)
+    else:
+
+        def hinted(b):
+            return b.hinted
+
+    kept = [b for b in blocks if not b.dropped and not hinted(b)]
+    slots = [b for b in kept if token("text", b.path, b.text) not in template] or kept
+    inside = [b for b in slots if b.article]
     if inside:
         size = Counter()
         for b in inside:
             size[b.article] += len(b.text)
         most = max(size.values())
         return "\n\n".join(b.text for b in inside if 2 * size[b.article] >= most)
-    slots = [b for b in kept if token("text", b.path, b.text) not in template] or kept
     held: Counter = Counter()
     for b in slots:
         for outer in b.parents:
@@ -273,7 +299,7 @@ def extract(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     ).withColumn("host", host_of())
     found = common.cut(templates(body))
-    size = found.agg(F.sum(F.length("host") + 16 + 8 * F.size("template"))).first()[0] or 0
+    size = found.agg(F.sum(F.length("host") + 16 + 8 * F.size("template") + 8 * F.size("others"))).first()[0] or 0
     if size <= BROADCAST:
         joined = body.join(F.broadcast(found), "host", "left")
     else:
@@ -283,12 +309,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, 128):
-            texts = [main_text(s, frozenset(t or ())) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [main_text(s, frozenset(t or ()), frozenset(o or ())) for s, t, o in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    return joined.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "template", "others").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -371,6 +371,16 @@ def test_template_without_article(spark):
     assert got[2] == "Story 2 begins here with many words\n\nand goes on 2"
 
 
+def test_template_inside_article(spark):
+    body = (
+        "<html><body><article><h1>Title {n}</h1><div><p>Read our offer</p></div><p class=related-work>Earlier work {n}</p>"
+        "<div class=share>Share {n}</div><p>Story {n}</p></article><div>Bye</div></body></html>"
+    )
+    pages = spark.createDataFrame([(i, "https://h/x", body.format(n=i)) for i in range(6)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert got[2] == "Title 2\n\nEarlier work 2\n\nStory 2"
+
+
 def test_salted_templates_equal_broadcast_ones(spark, monkeypatch):
     pages = spark.createDataFrame([(i, "https://h/x", PAGE.format(n=i)) for i in range(6)], "page_id long, url string, html string")
     before = sorted(map(tuple, html_extract.extract(pages).collect()))
