@@ -16,8 +16,7 @@ by broadcast while they are measurably small, else by a salted shuffle.
 
 Template text is left out on every page, inside ``article``/``main`` elements
 too. The article's slots are those under such elements (labels such as
-``role="main"`` count too) if a page has any there, else those under the
-template element that holds most text outside the template. Menus, footers,
+``role="main"`` count too) if a page has any there, else all. Menus, footers,
 sidebars, forms and hidden elements, by name or role, are left out anywhere.
 Class and id words (adverts, notices, comments, ...) are a hint: an element
 with one is left out if it stands in at least ``SUPPORT`` of the host's pages
@@ -78,7 +77,6 @@ MAIN_LABELS = frozenset("article articlebody main maincontent".split())
 
 class Block(NamedTuple):
     path: str  # names and labels of the open elements
-    parents: tuple[str, ...]  # the path of each open element, outermost first
     article: int  # number of the innermost article element, 0 outside
     dropped: bool  # by name, role or as hidden
     hinted: bool  # by class or id words, paragraphs and headings too
@@ -123,7 +121,7 @@ def parse(source: str) -> tuple[list[str], list[Block]]:
                 top = stack[-1]
                 hinted = [e for e in stack if e.hinted]
                 hints = tuple(e.path for e in hinted if e.name not in PLAIN)
-                blocks.append(Block(top.path, tuple(e.path for e in stack[1:]), top.article, top.dropped, bool(hinted), hints, text))
+                blocks.append(Block(top.path, top.article, top.dropped, bool(hinted), hints, text))
 
     at = 0
     for m in MARKUP.finditer(source):
@@ -273,24 +271,7 @@ def main_text(source: str | None, template: frozenset | set, others: frozenset |
 
     kept = [b for b in blocks if not b.dropped and not hinted(b)]
     slots = [b for b in kept if token("text", b.path, b.text) not in template] or kept
-    inside = [b for b in slots if b.article]
-    if inside:
-        size = Counter()
-        for b in inside:
-            size[b.article] += len(b.text)
-        most = max(size.values())
-        return "\n\n".join(b.text for b in inside if 2 * size[b.article] >= most)
-    held: Counter = Counter()
-    for b in slots:
-        for outer in b.parents:
-            if not template or token("tag", outer) in template:
-                held[outer] += len(b.text)
-    if held:
-        most = max(held.values())
-        # The innermost template element with nearly all of the text.
-        best = max((p for p in held if held[p] >= 0.8 * most), key=lambda p: p.count("/"))
-        slots = [b for b in slots if best in b.parents]
-    return "\n\n".join(b.text for b in slots)
+    return "\n\n".join(b.text for b in [b for b in slots if b.article] or slots)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -381,6 +381,14 @@ def test_template_inside_article(spark):
     assert got[2] == "Title 2\n\nEarlier work 2\n\nStory 2"
 
 
+def test_shorter_parts_stay(spark):
+    two = "<body><article><p>{}</p></article><article><p>{}</p></article></body>".format("long " * 600, "short " * 50)
+    loose = "<body><div><p>{}</p></div><div><p>{}</p></div></body>".format("long " * 600, "short " * 50)
+    pages = spark.createDataFrame([(0, "https://a/x", two), (1, "https://b/x", loose)], "page_id long, url string, html string")
+    for r in html_extract.extract(pages).collect():
+        assert r["text"] == ("long " * 600).strip() + "\n\n" + ("short " * 50).strip()
+
+
 def test_salted_templates_equal_broadcast_ones(spark, monkeypatch):
     pages = spark.createDataFrame([(i, "https://h/x", PAGE.format(n=i)) for i in range(6)], "page_id long, url string, html string")
     before = sorted(map(tuple, html_extract.extract(pages).collect()))
