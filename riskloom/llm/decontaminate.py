@@ -12,7 +12,10 @@ walk, so a window leaves as soon as its partial key matches no anchor: the
 keys are those of the whole sample, at the cost of their first steps. Windows
 with a full key are candidates; the item-sized window is then verified by the
 exact semi-global edit distance (bit-parallel), at most ``1 - SIMILARITY`` of
-the item's length. An item too short for a walk is searched verbatim.
+the item's length. Keys are short, so that some anchor
+survives edits up to the limit; a candidate's bytes near the anchor are compared
+first, all candidates at once. An item of up to ``SHORT`` bytes is searched
+exactly: one of its ``most + 1`` pieces stands unedited in every occurrence.
 
 Both sides are compared in lower case with white space squeezed. Documents are
 read once and not shuffled; items are taken in blocks of bounded size.
@@ -35,11 +38,15 @@ from pyspark.sql import functions as F
 from . import common
 
 SIMILARITY = 0.8
-REPEATS = 3
+REPEATS = 5
 #: Steps of a walk, sampled steps among the first ``EARLY`` and among the rest.
-STEPS, EARLY, EARLY_BITS, LATE_BITS = 64, 22, 8, 8
-#: Characters of an item that an anchor needs after it (a walk of STEPS steps reads half as many on average).
-ROOM = 44
+STEPS, EARLY, EARLY_BITS, LATE_BITS = 22, 11, 6, 5
+#: Bytes of an item that an anchor needs after it (a walk of STEPS steps reads half as many on average).
+ROOM = 10
+#: Items of up to this many bytes are searched exactly, by pieces.
+SHORT = 44
+#: Bytes around an anchor that are compared before the whole item, and the share of them that may be edited.
+NEAR, NEAR_EDITS = 48, 0.33
 #: Bytes of items that one block broadcasts at most.
 BLOCK = 8 << 20
 SCHEMA = "doc_id long, item_id long, distance int, similarity double, start int"
@@ -88,7 +95,7 @@ class Items:
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.items = [(i, t) for i, text in items if (t := squeeze(text))]
-        self.short = [k for k, (_, t) in enumerate(self.items) if len(t.encode()) <= ROOM]
+        self.short = [k for k, (_, t) in enumerate(self.items) if len(t.encode()) <= SHORT]
         pad = b"\0" * (STEPS + 1)
         raw = [b"\0" + t.encode() for _, t in self.items]
         size = np.array([len(r) for r in raw], np.int64) if raw else np.zeros(0, np.int64)
@@ -96,9 +103,16 @@ class Items:
         at = word_starts(buffer)
         ends = np.cumsum(size)
         owner = np.searchsorted(ends, at, side="right")
-        ok = (owner < len(raw)) & (at + ROOM <= ends[np.minimum(owner, max(0, len(raw) - 1))]) if len(raw) else np.zeros(len(at), bool)
+        short = np.array([n - 1 <= SHORT for n in size] + [True])
+        ok = (owner < len(raw)) & ~short[owner] & (at + ROOM <= ends[np.minimum(owner, max(0, len(raw) - 1))]) if len(raw) else np.zeros(len(at), bool)
         at, self.owner = at[ok], owner[ok]
         self.offset = at - (ends - size)[self.owner] - 1 if len(at) else at
+        # The stretch of the item that is compared near each anchor: NEAR bytes, or the whole item.
+        self.near_length = np.minimum(NEAR, size[self.owner] - 1) if len(at) else at
+        begin = np.minimum(self.offset, size[self.owner] - 1 - self.near_length) if len(at) else at
+        self.back = self.offset - begin
+        self.near = (at - self.back).astype(np.int64)
+        self.bytes = buffer
         self.early, self.sorted, self.order = [], [], []
         for r in range(REPEATS):
             pos, key = keys(buffer, at, r, 0, EARLY, np.zeros(len(at), np.uint64))
@@ -111,12 +125,13 @@ class Items:
             self.order.append(order)
 
     def candidates(self, buffer: np.ndarray, starts: np.ndarray, chunk: int = 1 << 15) -> set[tuple[int, int]]:
-        """(item, presumed begin of the item in the buffer, rounded) of the windows with an anchor's key."""
+        """(item, presumed begin of the item in the buffer, rounded) of the windows with an anchor's key and like bytes near it."""
         found: set[tuple[int, int]] = set()
         if not len(self.owner):
             return found
         for a in range(0, len(starts), chunk):
             here = starts[a : a + chunk]
+            hits = []
             for r in range(REPEATS):
                 pos, key = keys(buffer, here, r, 0, EARLY, np.zeros(len(here), np.uint64))
                 live = np.flatnonzero(self.early[r].take(bit(key)))
@@ -124,12 +139,49 @@ class Items:
                     continue
                 _, key = keys(buffer, pos[live], r, EARLY, STEPS, key[live])
                 low, high = np.searchsorted(self.sorted[r], key, "left"), np.searchsorted(self.sorted[r], key, "right")
-                for w in np.flatnonzero(high > low).tolist():
-                    begin = int(here[live[w]])
-                    for k in self.order[r][low[w] : high[w]].tolist():
-                        found.add((int(self.owner[k]), (begin - int(self.offset[k])) >> 4))
+                count = high - low
+                ranks = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+                hits.append(np.repeat(here[live].astype(np.int64), count) << 32 | self.order[r][ranks])
+            if not hits:
+                continue
+            both = np.unique(np.concatenate(hits))
+            for k in range(0, len(both), chunk):
+                at, anchor = both[k : k + chunk] >> 32, both[k : k + chunk] & 0xFFFFFFFF
+                ok = self.alike(buffer, at, anchor)
+                at, anchor = at[ok], anchor[ok]
+                found.update(zip(self.owner[anchor].tolist(), ((at - self.offset[anchor]) >> 4).tolist()))
         return found
 
+    def alike(self, buffer: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Whether the bytes near each anchor stand near its window with at most NEAR_EDITS edits (bit-parallel, all at once)."""
+        m = self.near_length[anchor]
+        pattern = self.bytes[self.near[anchor][:, None] + np.arange(NEAR)]
+        inside = np.arange(NEAR)[None, :] < m[:, None]
+        full = (np.uint64(1) << m.astype(np.uint64)) - np.uint64(1)
+        top, one = (m - 1).astype(np.uint64), np.uint64(1)
+        slack = NEAR // 4
+        text = buffer[np.clip((at - self.back[anchor] - slack)[:, None] + np.arange(NEAR + 2 * slack), 0, len(buffer) - 1)]
+        pv, mv = full.copy(), np.zeros(len(at), np.uint64)
+        score = m.copy()
+        best = m.copy()
+        for j in range(text.shape[1]):
+            same = (pattern == text[:, j, None]) & inside
+            eq = np.zeros((len(at), 8), np.uint8)
+            eq[:, : NEAR // 8] = np.packbits(same, axis=1, bitorder="little")
+            eq = eq.view(np.uint64)[:, 0]
+            d0 = ((((eq & pv) + pv) ^ pv) | eq | mv) & full
+            hp, hn = mv | (full & ~(d0 | pv)), pv & d0
+            score += ((hp >> top) & one).astype(np.int64) - ((hn >> top) & one).astype(np.int64)
+            np.minimum(best, score, out=best)
+            hp, hn = hp << one & full, hn << one & full
+            pv, mv = hn | (full & ~(d0 | hp)), hp & d0
+        return best <= (NEAR_EDITS * m).astype(np.int64)
+
+
+def most_edits(length: int) -> int:
+    """The edits that an item of this length may have (rounded against 1 - 0.8 < 0.2)."""
+    return int((1 - SIMILARITY) * length + 1e-9)
+
 
 def edit_distance(pattern: str, text: str, most: int | None = None) -> tuple[int, int]:
     """(least edit distance of ``pattern`` to any stretch of ``text``, end of that stretch), bit-parallel.
@@ -175,7 +227,7 @@ def leaks(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, in
     out = []
     for (row, item), begins in sorted(wanted.items()):
         text = items.items[item][1]
-        most = int((1 - SIMILARITY) * len(text))
+        most = most_edits(len(text))
         if (exact := clean[row].find(text)) >= 0:
             out.append((row, item, 0, exact))
             continue
@@ -190,11 +242,36 @@ def leaks(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, in
         if best[0] <= most:
             out.append((row, item, *best))
     for item in items.short:
-        text = items.items[item][1]
-        out += [(row, item, 0, at) for row, t in enumerate(clean) if (at := t.find(text)) >= 0]
+        out += [(row, item, *found) for row, t in enumerate(clean) if (found := short_leak(items.items[item][1], t))]
     return out
 
 
+def short_leak(item: str, text: str) -> tuple[int, int] | None:
+    """(distance, start) of the best occurrence of a short item: of its ``most + 1`` pieces one stands unedited."""
+    if (exact := text.find(item)) >= 0:
+        return 0, exact
+    m = len(item)
+    most = most_edits(m)
+    if not most:
+        return None
+    cuts = [m * k // (most + 1) for k in range(most + 2)]
+    spans = set()
+    for a, b in zip(cuts, cuts[1:]):
+        at = text.find(item[a:b])
+        while at >= 0:
+            spans.add((max(0, at - a - most), at - a + m + most))
+            at = text.find(item[a:b], at + 1)
+    best, begin, end = (most + 1, 0), 0, 0
+    for low, high in [*sorted(spans), (len(text) + 1, 0)]:
+        if low <= end:
+            end = max(end, high)
+            continue
+        d, last = edit_distance(item, text[begin:end], most)
+        best = min(best, (d, max(0, begin + last - m)))
+        begin, end = low, high
+    return best if best[0] <= most else None
+
+
 def blocks(benchmark: DataFrame) -> list[Items]:
     """The items in blocks of at most about ``BLOCK`` bytes, so that what is broadcast at once is bounded."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length(F.trim("text")) > 0)

@@ -321,6 +321,23 @@ def test_leak_rows(spark, edge):
 # --- I-Match
 
 
+@pytest.mark.parametrize("low, high", [(20, 44), (45, 80), (81, 150), (151, 400)])
+def test_leaks_with_a_fifth_edited(low, high):
+    g, letters = random.Random(low), "abcdefghijklmnopqrstuvwxyz "
+    word = lambda: "".join(g.choices(letters[:-1], k=g.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [prose(90)[: g.randint(low, high)].strip() for _ in range(100)]
+    texts = []
+    for item in items:
+        chars = list(item)
+        for _ in range(len(item) // 5):
+            k = g.randrange(len(chars))
+            chars[k : k + g.randint(0, 1)] = g.choice([[], [g.choice(letters)]])
+        texts.append(f"{prose(30)} {''.join(chars)} {prose(30)}")
+    found = {(row, i) for row, i, *_ in decontaminate.leaks(decontaminate.Items(list(enumerate(items))), texts)}
+    assert sum((k, k) in found for k in range(100)) >= 90
+
+
 def test_imatch_next_and_edited(spark, edge):
     rows = sorted(edge.where("doc_id is not null").dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
     docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
