@@ -186,13 +186,21 @@ def walk_forward_folds(spark, sf_dir):
 
 @query()
 def vol_experiment(spark, sf_dir):
-    """Boosted trees over purged folds (no SQL form): errors of the forecasts."""
+    """Boosted trees over purged folds (no SQL form): errors of the forecasts of each feature block.
+
+    The index is the level that ``analog`` uses, as the news index spans too few of the price days.
+    """
     from ..operators import model
 
-    rows = signal.market_features(A.daily_prices(spark, sf_dir))
-    rows = rows.withColumn("target", signal.forward_vol(5))
-    out = model.experiment(rows, ["rv5", "rv22", "rv66", "ret5", "rv_ratio"], "target", "rv5", step=800, make=lambda: model.estimators(5))
-    return stats.errors(out, "target", "predicted", "naive")
+    levels = A.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg((F.count("*") * 10.0).alias("risk_index"))
+    index = signal.index_features(levels, ["risk_index"])
+    risk = [c for c in index.columns if c not in ("day", "risk_index")]
+    market = ["rv5", "rv22", "rv66", "ret5", "ret22", "ret66", "rv_ratio", "drawdown"]
+    rows = signal.market_features(A.daily_prices(spark, sf_dir)).withColumn("target", signal.forward_vol(5))
+    blocks = {"market_only": market, "gpr_only": risk, "market+gpr": market + risk}
+    rows = signal.assemble(rows, index, risk, "target").na.drop(subset=blocks["market+gpr"])
+    parts = [stats.errors(model.experiment(rows, {b: c}, "target", "rv5"), "target", "predicted", "naive").select(F.lit(b).alias("block"), "*") for b, c in blocks.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("SELECT vec_id, label, round(sim, 4) AS similarity FROM (WITH c AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), p AS (SELECT label, i, avg(x) AS m FROM c GROUP BY 1, 2), q AS (SELECT label, list(m ORDER BY i) AS proto FROM p GROUP BY 1) SELECT e.vec_id, q.label, list_cosine_similarity(e.embedding::DOUBLE[], q.proto) AS sim FROM embeddings e CROSS JOIN q)")

@@ -223,3 +223,20 @@ def test_feed_rules(spark):
     assert feed.checks_summary(checks).first()["overall"] == "warn"
     with_gap = spark.createDataFrame([(dt.date(2024, 1, 1), 4, None)], "day date, total_articles int, raw_ratio double").withColumns({c: F.lit(None).cast("double") for c in ("acts_ratio", "threats_ratio", "acts_sum", "threats_sum")}).withColumn("risk_sum", F.lit(2.0))
     assert rollup.ensure_ratios(with_gap).first()["raw_ratio"] == 0.5
+
+
+def test_vol_experiment_runs_all_blocks_in_whole(spark):
+    import inspect
+
+    from riskloom.operators import model
+
+    defaults = {k: v.default for k, v in inspect.signature(model.experiment).parameters.items()}
+    assert (defaults["step"], defaults["trees"], defaults["min_train"]) == (21, 300, 750)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(430, 2))
+    rows = spark.createDataFrame([(k, float(a), float(b), float(3 * a)) for k, (a, b) in enumerate(x)], "k int, a double, b double, y double")
+    rows = rows.withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("k")))
+    out = model.experiment(rows, {"good": ["a"], "noise": ["b"], "both": ["a", "b"]}, "y", "b", min_train=400, trees=100).toPandas()
+    assert out.groupby("block").size().to_dict() == {"good": 30, "noise": 30, "both": 30}
+    error = ((out.target - out.predicted) ** 2).groupby(out.block).mean()
+    assert error["good"] < 1 < error["noise"] and ((out.probability > 0.5) == (out.high == 1))[out.block == "good"].mean() > 0.9
