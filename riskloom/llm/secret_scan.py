@@ -14,6 +14,8 @@ results; extra columns are ignored (``redact`` keeps them).
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
 import math
 import re
@@ -39,10 +41,8 @@ CONTEXT = re.compile(
 )
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "://")
 LOG_GUESSES = 9.0
-#: Longer values are cut for the segmentation only when they exceed this; their cost is beyond any threshold.
-LONGEST = 256
-#: Values that name a secret instead of being one.
-PLACEHOLDER = re.compile(r"^(?:[*x.#_-]+|\$.*|%.*%|your.*|example.*|changeme.*|placeholder.*|redacted.*|https?:.*)$", re.I)
+#: Values that name a secret instead of being one: templates, and words joined like ``your_secret_here``.
+PLACEHOLDER = re.compile(r"^(?:[*x.#_-]+|\$\{?[A-Za-z_][A-Za-z_]*\}?|\$\{\w+\}|%\w+%|(?:your|example|changeme|placeholder|redacted)(?:[_-][a-z]+)*|https?:.*)$", re.I | re.A)
 
 # Frequent password words, most frequent first (the rank is the number of guesses).
 WORDS = (
@@ -55,7 +55,26 @@ WORDS = (
     "correct horse battery staple change temp demo sample the and for you with"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
+
+
+@functools.cache
+def ranks() -> dict[str, int]:
+    """Password words, then the words of the tokenizer's vocabulary by its order, with their numbers of guesses."""
+    import public_tokenizers
+
+    found = dict(RANK)
+    for line in common.read_bytes(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).splitlines():
+        word = base64.b64decode(line.split()[0]) if line else b""
+        if re.fullmatch(rb" [A-Za-z]{4,}", word):
+            found.setdefault(word[1:].decode().lower(), len(found) + 1)
+    return found
+
+
+@functools.cache
+def longest_word() -> int:
+    return max(map(len, ranks()))
+
+
 ROWS_OF_KEYS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (r, i + 0.5 * r) for r, row in enumerate(ROWS_OF_KEYS) for i, c in enumerate(row)}
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
@@ -74,20 +93,25 @@ def matches(value: str) -> list[tuple[int, int, float]]:
     """(start, end, log10 guesses) of everything cheaper than brute force."""
     found, n, low = [], len(value), value.lower()
     plain = low.translate(LEET)
+    known, longest = ranks(), longest_word()
+    runs = {}  # by unit: how often the stretch at each position stands in a row
+    for unit in range(1, min(8, n // 2) + 1):
+        run = runs[unit] = [1] * n
+        for i in range(n - 2 * unit, -1, -1):
+            if value[i : i + unit] == value[i + unit : i + 2 * unit]:
+                run[i] = run[i + unit] + 1
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = known.get(low[i:j]) or known.get(plain[i:j])
             if rank:
                 upper = sum(c.isupper() for c in value[i:j])
                 variants = 1 if not upper else 2 if upper == j - i or value[i].isupper() and upper == 1 else math.comb(j - i, upper) + 1
-                swapped = 2 if low[i:j] != plain[i:j] and low[i:j] not in RANK else 1
+                swapped = 2 if low[i:j] != plain[i:j] and low[i:j] not in known else 1
                 found.append((i, j, math.log10(rank * variants * swapped + 1)))
         if m := DATE.match(value, i):
             found.append((i, m.end(), math.log10(365 * 119 * (4 if re.search(r"[-/._]", m[0]) else 1)) if len(m[0]) > 4 else math.log10(119)))
         for unit in range(1, min(8, (n - i) // 2) + 1):
-            times = 1
-            while value.startswith(value[i : i + unit], i + times * unit):
-                times += 1
+            times = runs[unit][i]
             if times > 1 and times * unit >= 3:
                 found.append((i, i + times * unit, unit * 1.0 + math.log10(times)))
     for rule, base in (("walk", 94.0), ("step", 36.0)):
@@ -114,7 +138,6 @@ def matches(value: str) -> list[tuple[int, int, float]]:
 
 def log_guesses(value: str) -> float:
     """log10 of the guesses for the cheapest segmentation, the order of its parts included."""
-    value = value[:LONGEST]
     n = len(value)
     ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for i, j, cost in matches(value):
@@ -155,7 +178,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, int, int]]) -> list[tupl
         a, b = m.span(group)
         if any(s < b and a < e for s, _, e, _ in base) or PLACEHOLDER.match(m[group]):
             continue
-        if log_guesses(m[group]) >= LOG_GUESSES and any(c.isdigit() or not c.isalnum() for c in m[group].rstrip(".!?:")):
+        if log_guesses(m[group]) >= LOG_GUESSES:
             found.append((a, 3, b, a))
     return found
 

@@ -457,6 +457,15 @@ def test_costs_order_and_context():
     assert secret_scan.redacted("a token = abcdefghijklmnop b") == "a token = [SECRET] b"
 
 
+def test_cost_alone_decides():
+    spans = lambda t: [t[s:e] for s, _, e, _ in secret_scan.guessed_spans(t, secret_scan.base_spans(t))]
+    for value in ["hGkQzLwPxVtRmB", "QwzXkPvRtLmN", "$Tr0ub4qZ9!xLp", "$2b$12$KIXqT9rWvZ3bN5mJ8sLcHe", "yourQz7LwPx9VtRmB", "z" * 300 + "x9$Kq2!vLmT7"]:
+        assert spans(f"pwd: {value} ok") == [value]
+    assert spans("://bob:QwzXkPvRtLmN@host") == ["QwzXkPvRtLmN"]
+    for value in ["${DB_PASSWORD}", "$DB_PASSWORD", "%PASSWORD%", "your_secret_here", "changeme", "********", "z" * 600]:
+        assert not spans(f"pwd: {value} ok")
+
+
 def test_scan_rows(spark, edge):
     got = secret_scan.scan(edge).collect()
     assert len(got) == edge.count() and all(r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in got)
