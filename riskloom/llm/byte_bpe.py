@@ -178,28 +178,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Vocabulary(NamedTuple):
     """What the executors need; made on the driver and broadcast, a few MB."""
 
-    key: str
     ranks: dict[bytes, int]
     whole: MinimalPerfectHash
     pattern: str
 
 
 _vocabularies: dict[tuple[str, str], Vocabulary] = {}
-_made: dict[str, ByteBpe] = {}
 
 
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     if (path, pattern) not in _vocabularies:
         ranks = read_ranks(path)
-        _vocabularies[path, pattern] = Vocabulary(f"{path} {pattern}", ranks, MinimalPerfectHash(list(ranks), list(ranks.values())), pattern)
+        _vocabularies[path, pattern] = Vocabulary(ranks, MinimalPerfectHash(list(ranks), list(ranks.values())), pattern)
     return _vocabularies[path, pattern]
 
 
 def coder(made: Vocabulary) -> ByteBpe:
-    """The worker's coder, made once for a vocabulary."""
-    if made.key not in _made:
-        _made[made.key] = ByteBpe(made.ranks, made.pattern, made.whole)
-    return _made[made.key]
+    """The worker's coder, made once for a broadcast vocabulary."""
+    return common.held(made, lambda: ByteBpe(made.ranks, made.pattern, made.whole))
 
 
 def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:

@@ -7,9 +7,11 @@ how reliable the bit was on texts kept out of the fit; the codeword with the
 least loss wins, and a lead below ``CLEAR`` over the next one is flagged as
 ambiguous.
 
-The fit sees about ``PER_LANG`` texts of each language (at most ``MAX_CHARS``
-characters each, at most ``MAX_LANGS`` languages), picked by a hash of the id.
-Prediction reads every whole text and shuffles nothing.
+The fit sees snippets of about ``PER_LANG`` texts of each language, fewer
+where the languages are so many that these would exceed ``MAX_TEXTS`` (texts
+of at most ``MAX_CHARS`` characters, picked by a hash of the id); no language
+is left out, and only the snippets come to the driver. Prediction reads every
+whole text, adds up in blocks of words and shuffles nothing.
 
 Contract: one row per input row. A null text, or one without a letter, is
 ``und`` with score 0. Null languages are left out of the fit; without any
@@ -29,10 +31,14 @@ from pyspark.sql import functions as F
 
 from . import common, subwords
 
-PER_LANG, MAX_CHARS, MAX_LANGS = 500, 60_000, 400
+PER_LANG, MAX_TEXTS, MAX_CHARS = 500, 20_000, 60_000
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
 #: Words of a training snippet and snippets of a text; scores are linear, so snippets train what whole texts use.
 SNIPPET, SNIPPETS = 30, 3
+#: Characters of a snippet that reach the driver; a longer one ends at the word before, or in its only word.
+SNIPPET_CHARS = 1000
+#: Words whose numbers are added up at once, and bytes of numbers kept by word.
+BLOCK, TABLE_BYTES = 1 << 16, 16 << 20
 EPOCHS, RATE = 4, 0.5
 #: The least lead of the best over the second class's probability.
 CLEAR = 0.1
@@ -73,6 +79,24 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def snippets(text: str | None, rng: np.random.Generator) -> list[list[str]]:
+    """Up to ``SNIPPETS`` runs of words with letters of a text, anywhere in it; a short text is one."""
+    ws = [x for w in words_of(text) if (x := letters(w))]
+    found = []
+    for _ in range(SNIPPETS if len(ws) > SNIPPET else 1 if ws else 0):
+        at = int(rng.integers(0, max(1, len(ws) - SNIPPET + 1)))
+        found.append(ws[at : at + SNIPPET])
+    return found
+
+
+def shortened(words: list[str], chars: int = SNIPPET_CHARS) -> str:
+    """The words, joined, as far as they fit into ``chars`` characters."""
+    joined = " ".join(words)
+    if len(joined) <= chars:
+        return joined
+    return joined[:chars].rpartition(" ")[0] or joined[:chars]
+
+
 def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model:
     """One logistic classifier per bit, by AdaGrad over snippets of whole texts."""
     names = sorted(set(langs))
@@ -82,12 +106,11 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model:
     if not bits:
         return Model(names, code, weight, bias, np.zeros(0))
     rng, rows, target = np.random.default_rng(seed), [], []
+    number = {n: i for i, n in enumerate(names)}
     for text, lang in zip(texts, langs):
-        ws = [x for w in words_of(text) if (x := letters(w))]
-        for _ in range(SNIPPETS if len(ws) > SNIPPET else 1 if ws else 0):
-            at = int(rng.integers(0, max(1, len(ws) - SNIPPET + 1)))
-            rows.append(ws[at : at + SNIPPET])
-            target.append(names.index(lang))
+        for ws in snippets(text, rng):
+            rows.append(ws)
+            target.append(number[lang])
     if not rows:
         return Model([], code[:0], weight, bias, np.zeros(bits))
     y = code[np.asarray(target)].astype(np.float32)
@@ -129,7 +152,10 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model:
 class Predictor:
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.table = subwords.WordTable(self._rows, model.code.shape[1] + 1)
+        width = model.code.shape[1] + 1
+        self.table = subwords.WordTable(self._rows, width, min(250_000, max(1000, TABLE_BYTES // (4 * width))))
+        # Logistic losses are sums over bits, so all languages are two matrix products.
+        self.plus, self.minus = ((model.code.T > 0) * model.trust[:, None], (model.code.T < 0) * model.trust[:, None])
 
     def _rows(self, words: list[str]) -> np.ndarray:
         clean = [letters(w) for w in words]
@@ -137,14 +163,23 @@ class Predictor:
         size = np.diff(first) * np.fromiter(map(bool, clean), bool, len(clean))
         return np.concatenate([subwords.sums(self.model.weight, bucket, first) * (size > 0)[:, None], size[:, None]], 1)
 
+    def totals(self, texts: list[str | None]) -> np.ndarray:
+        """Sums of the numbers of all words of each text, ``BLOCK`` words at a time."""
+        seq, start = self.table.numbers([words_of(t) for t in texts])
+        out = np.zeros((len(texts), self.table.rows.shape[1]))
+        filled = np.flatnonzero(np.diff(start))
+        begin, end = start[:-1][filled], start[1:][filled]
+        for a in range(0, len(seq), BLOCK):
+            b = min(a + BLOCK, len(seq))
+            here = slice(int(np.searchsorted(end, a, "right")), int(np.searchsorted(begin, b, "left")))
+            first = np.maximum(begin[here], a) - a
+            out[filled[here]] += np.add.reduceat(self.table.rows[seq[a:b]], first, axis=0, dtype=np.float64)
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, probability of it among the codewords, whether it is ambiguous) of each text."""
         m = self.model
-        seq, start = self.table.numbers([words_of(t) for t in texts])
-        filled = np.flatnonzero(np.diff(start))
-        totals = np.zeros((len(texts), m.code.shape[1] + 1))
-        if len(filled):
-            totals[filled] = np.add.reduceat(self.table.rows[seq], start[:-1][filled], axis=0, dtype=np.float64)
+        totals = self.totals(texts)
         known = (totals[:, -1] > 0) & bool(m.langs)
         langs, score, unclear = [UNKNOWN] * len(texts), np.zeros(len(texts)), ~known
         if len(m.langs) == 1:
@@ -152,7 +187,7 @@ class Predictor:
         if not m.langs:
             return langs, score, unclear
         f = totals[:, :-1] / np.maximum(1, totals[:, -1:]) * 10 + m.bias
-        loss = (np.logaddexp(0, -m.code[None].astype(float) * f[:, None]) * m.trust).sum(2)
+        loss = np.logaddexp(0, -f) @ self.plus + np.logaddexp(0, f) @ self.minus
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
         best = loss.argmin(1)
@@ -162,24 +197,42 @@ class Predictor:
 
 
 def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """The bounded training rows: texts with a language outside the held-out fold."""
+    """(snippets, their languages) of the bounded training rows: texts with a language outside the held-out fold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (common.crc_mod("doc_id", 4) != 2) & (F.length("text").between(1, MAX_CHARS)))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()  # at most MAX_LANGS rows
+    counted = rows.groupBy("lang").count()
+    counts = counted.orderBy(F.desc("count"), "lang").limit(MAX_TEXTS + 1).collect()
     if not counts:
         return [], []
-    part = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, PER_LANG / r["count"]))])
+    if len(counts) > MAX_TEXTS:
+        raise ValueError(f"more than {MAX_TEXTS} different languages: the column doesn't hold languages")
+    each = max(1, min(PER_LANG, MAX_TEXTS // len(counts)))
+    part = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))])
     luck = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(luck < F.try_element_at(part, F.col("lang"))).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", F.xxhash64("text"))
-    found = picked.limit(2 * PER_LANG * len(counts)).select("text", "lang").toPandas()
-    return found["text"].tolist(), found["lang"].tolist()
+    order = F.xxhash64("doc_id", F.lit(17))
+    picked = rows.where(luck < F.try_element_at(part, F.col("lang"))).select(order.alias("luck"), "doc_id", "text", "lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.pieces(batches):
+            out = []
+            for lucky, doc_id, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+                out += [(lucky, doc_id, k, shortened(ws), lang) for k, ws in enumerate(snippets(text, np.random.default_rng(lucky & (1 << 63) - 1)))]
+            columns = zip(*out) if out else ([],) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SNIPPET_ROWS)], schema=SNIPPET_ROWS)
+
+    cut = picked.mapInArrow(run, "luck long, doc_id long, k int, snippet string, lang string")
+    # A shuffle of what was picked; the limit keeps the driver's share bounded if ids repeat without end.
+    found = cut.orderBy("luck", "doc_id", "k", "snippet", "lang").limit(2 * SNIPPETS * MAX_TEXTS).select("snippet", "lang").toPandas()
+    return found["snippet"].tolist(), found["lang"].tolist()
+
+
+SNIPPET_ROWS = pa.schema([("luck", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("snippet", pa.string()), ("lang", pa.string())])
 
 
-def predictor(shared, held: dict = {}) -> Predictor:  # noqa: B006 (one per worker)
+def predictor(shared) -> Predictor:
     """The worker's predictor of a broadcast model."""
-    if held.get("model") is not shared.value:
-        held.update(model=shared.value, made=Predictor(shared.value))
-    return held["made"]
+    model = shared.value
+    return common.held(model, lambda: Predictor(model))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -194,15 +194,9 @@ class ChunkEncoder:
         return b"".join([chunks[c] for c in text.replace("\n", " ").split(" ")])
 
 
-_encoders: dict[int, ChunkEncoder] = {}
-
-
 def encoder(spec: bytes) -> ChunkEncoder:
-    """The worker's encoder, made once for a tokenizer file."""
-    key = zlib.crc32(spec)
-    if key not in _encoders:
-        _encoders[key] = ChunkEncoder(spec)
-    return _encoders[key]
+    """The worker's encoder, made once for a broadcast tokenizer file."""
+    return common.held(spec, lambda: ChunkEncoder(spec))
 
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> DataFrame:
@@ -271,7 +265,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op2_records``: all of ``documents`` by the word-end tokenizer, written and read back."""
     import public_tokenizers
 
-    folder = f"{common.shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    folder = common.run_folder(spark, "records")
     manifest = write(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +39,8 @@ SEGMENTS = 5
 #: A key with more distinct fingerprints than this takes the linear form.
 CROWD = 48
 SHINGLE = 3
+#: Shingles of a text whose bits are counted at once.
+BLOCK = 1 << 14
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -52,25 +53,33 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: -size] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[size - 1 :].tolist())], ">u8")
-    counts = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    stops = ends[size - 1 :].tolist()
+    for at in range(0, len(starts), BLOCK):
+        hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts[at : at + BLOCK], stops[at : at + BLOCK])], ">u8")
+        counts += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
 
 
 def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def row_keys() -> list[Column]:
+    """Two hashes of a row's id and text: together 128 bits that tell rows apart."""
+    return [F.xxhash64("text", "doc_id"), F.xxhash64(F.lit(29), "doc_id", "text")]
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every whole text. No shuffle."""
+    """``doc_id, fp`` (the 64 bits as a signed long) and the row's keys ``k1, k2`` of every whole text. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
             found = [signed(fingerprint(t, size)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), batch.column(2), batch.column(3)], ["doc_id", "fp", "k1", "k2"])
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, fp long")
+    one, two = row_keys()
+    return common.texts(docs).select("doc_id", "text", one.alias("k1"), two.alias("k2")).mapInArrow(run, "doc_id long, fp long, k1 long, k2 long")
 
 
 def ring(segments: int = SEGMENTS) -> list[tuple[int, int]]:
@@ -139,12 +148,16 @@ def links(fps: DataFrame, segments: int = SEGMENTS, tau: int = TAU, crowd: int =
     return pairs.union(stars)
 
 
+def labelled(firsts: DataFrame) -> DataFrame:
+    """``firsts``, one row per fingerprint ``fp``, with ``label``: the same for all fingerprints of a group."""
+    labels = components(links(firsts.select("fp")))
+    return firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, fp, label, component_id`` of every row; ``label`` names the group whether or not it has an id."""
-    marked = common.cut(fingerprints(docs, size))
-    firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labels = components(links(firsts.select("fp")))
-    named = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    marked = common.cut(fingerprints(docs, size).select("doc_id", "fp"))
+    named = labelled(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_fp = common.cut(named.join(smallest, "label").select("fp", "label", "component_id"))
     return marked.join(by_fp, "fp", "left").select("doc_id", "fp", "label", "component_id")
@@ -157,25 +170,32 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One row of ``docs`` per group, with all its columns: the one with the smallest id (any one, if no id is known).
-
-    Only the texts of rows that share an id meet again; the rest of the work
-    is on fingerprints.
+    """One row of ``docs`` per group, with all its columns: the one with the smallest id.
+
+    Rows are told apart by id and text, so a repeated id on different texts
+    keeps one row in each of its groups. Of equal ids in a group the text
+    with the smallest hash stays, of rows equal in both any one; a row without
+    an id stays only where its whole group has none. Columns may have any
+    names. The choice is made on hashes; whole rows are shuffled once, after
+    rows equal in id and text have been made one on the map side.
     """
-    found = groups(docs, size)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.join(first, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    # Groups without any id: one fingerprint stands for each, and one row for it.
-    orphans = common.cut(found.where("component_id is null").groupBy("label").agg(F.min("fp").alias("_fp")).select("_fp"))
-    if orphans.isEmpty():
-        return known
-
-    @F.pandas_udf("long")
-    def marks(body: pd.Series) -> pd.Series:
-        return body.fillna("").map(lambda t: signed(fingerprint(t, size)))
-
-    nameless = docs.where(F.col("doc_id").isNull()).withColumn("_fp", marks("text")).join(orphans, "_fp", "left_semi").dropDuplicates(["_fp"])
-    return known.unionByName(nameless.select(*docs.columns))
+    marked = common.cut(fingerprints(docs, size))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")
+    chosen = labelled(marked.groupBy("fp").agg(F.min(order).alias("first"))).groupBy("label").agg(F.min("first").alias("first"))
+    one, two = (_unused(docs, stem) for stem in ("key_one", "key_two"))
+    keys = common.cut(chosen.select(F.col("first.k1").alias(one), F.col("first.k2").alias(two)))
+    # The keys are those of texts(): ids as longs, null texts empty.
+    body, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    rows = docs.withColumns({one: F.xxhash64(body, doc_id), two: F.xxhash64(F.lit(29), doc_id, body)})
+    return rows.dropDuplicates([one, two]).join(keys, [one, two], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _unused(docs: DataFrame, stem: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
