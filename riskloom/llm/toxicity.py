@@ -1,11 +1,13 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A bag holds the character n-grams of ``BAG`` neighbouring words and the words
-themselves; the average of their embeddings goes to a linear softmax over the
-two classes. Embeddings and softmax are trained jointly, in numpy, on whole
-labelled texts: the label holds for the text, so its bags share the gradient,
-first evenly and later by their logits, and the highest bag answers for it. An unseen misspelling shares
-n-gram vectors with the word it comes from.
+A bag holds the character n-grams of a word and its neighbours (``BAG`` words)
+and the words themselves; the average of their embeddings goes to a linear
+softmax over the two classes. Embeddings and softmax are trained jointly, in
+numpy, on whole labelled texts: the label holds for the text, so its bags share
+the gradient, first evenly and later by their logits, and the highest bag
+answers for it. (One bag over a whole text dilutes a toxic passage by its
+length; the README has figures.) An unseen misspelling shares n-gram vectors
+with the word it comes from.
 
 The fit sees at most ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` labelled texts of at
 most ``MAX_CHARS`` characters, picked by a hash of the id; scoring covers every
@@ -32,9 +34,9 @@ from . import common, subwords
 
 MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 1500, 2500, 60_000
 BUCKETS, DIM, ORDERS = 1 << 16, 8, (3, 4, 5)
-#: Words of a bag.
-BAG = 1
-EPOCHS, RATE, DECAY = 80, 0.03, 2e-3
+#: Words of a bag (odd): one and its neighbours to both sides, fewer at the ends of a text.
+BAG = 3
+EPOCHS, RATE, DECAY = 110, 0.03, 2e-3
 SHARP = (0.5, 4.0)
 THRESHOLD = 0.7
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -55,31 +57,34 @@ class Model(NamedTuple):
     bias: float
 
 
-def bag_logits(scalar: np.ndarray, start: np.ndarray, bag: int) -> tuple[np.ndarray, np.ndarray]:
-    """(highest bag mean of each text, first word of that bag); nan for a text without words."""
-    n = len(start) - 1
-    best, where = np.full(n, np.nan), np.zeros(n, np.int64)
-    running = np.concatenate([[0.0], np.cumsum(scalar, dtype=np.float64)])
-    for i in range(n):
-        a, b = start[i], start[i + 1]
-        if b > a:
-            w = min(bag, b - a)
-            means = (running[a + w : b + 1] - running[a : b + 1 - w]) / w
-            k = int(means.argmax())
-            best[i], where[i] = means[k], a + k
-    return best, where
-
-
-def smooth(values: np.ndarray, start: np.ndarray, bag: int) -> np.ndarray:
-    """Mean of each word and its neighbours to both sides within its text, ``bag`` (odd) words at most."""
-    if bag <= 1:
-        return values
-    half = bag // 2
-    place = np.arange(len(values))
-    low, high = np.repeat(start[:-1], np.diff(start)), np.repeat(start[1:], np.diff(start))
-    a, b = np.maximum(low, place - half), np.minimum(high, place + half + 1)
-    running = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return (running[b] - running[a]) / (b - a)
+class Bags:
+    """The bags around all words of some texts, given where each text begins (with an end mark)."""
+
+    def __init__(self, start: np.ndarray, bag: int) -> None:
+        self.start, self.filled = start, np.flatnonzero(np.diff(start))
+        place, size = np.arange(int(start[-1]), dtype=np.int32), np.diff(start)
+        half = np.int32(bag // 2)
+        self.low = np.maximum(np.repeat(start[:-1].astype(np.int32), size), place - half)
+        self.high = np.minimum(np.repeat(start[1:].astype(np.int32), size), place + half + 1)
+        self.size = (self.high - self.low).astype(np.float32)
+
+    def means(self, values: np.ndarray) -> np.ndarray:
+        """Mean of the values in each word's bag."""
+        running = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+        return ((running[self.high] - running[self.low]) / self.size).astype(np.float32)
+
+    def spread(self, shares: np.ndarray) -> np.ndarray:
+        """What each word gets if each bag deals its share evenly to its words: the transpose of ``means``."""
+        each = shares / self.size
+        deltas = np.bincount(self.low, each, len(each) + 1) - np.bincount(self.high, each, len(each) + 1)
+        return np.cumsum(deltas)[:-1]
+
+    def highest(self, means: np.ndarray) -> np.ndarray:
+        """The highest bag of each text; nan for a text without words."""
+        top = np.full(len(self.start) - 1, np.nan)
+        if len(self.filled):
+            top[self.filled] = np.maximum.reduceat(means, self.start[:-1][self.filled])
+        return top
 
 
 def entropy(y: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -105,7 +110,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     held = rng.random(len(y)) < 0.15
     if not held.any() or held.all():
         held = np.arange(len(y)) % 7 == 3
-    owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(start))
+    owner, bags = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(start)), Bags(start, BAG)
     embed = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 1, (2, DIM)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -113,21 +118,20 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     best, kept = np.inf, None
     for epoch in range(1, EPOCHS + 1):
         u = soft[1] - soft[0]
-        scalar = (subwords.sums(embed @ u, bucket, first) / size)[seq]
-        top, _ = bag_logits(scalar, start, BAG)
+        means = bags.means((subwords.sums(embed @ u, bucket, first) / size)[seq])
+        top = np.nan_to_num(bags.highest(means))
         gap = float(bias[1] - bias[0])
-        check = float(entropy(y, np.nan_to_num(top) + gap)[held].mean())
+        check = float(entropy(y, top + gap)[held].mean())
         if check < best and epoch > EPOCHS // 2:
             best, kept = check, Model((embed @ u).astype(np.float32), gap)
         # The bags of a text share its gradient, first evenly, later the highest bag takes it.
         sharp = SHARP[0] + (SHARP[1] - SHARP[0]) * min(1.0, 2 * epoch / EPOCHS)
-        bags = smooth(scalar, start, BAG)
-        weight = np.exp(np.clip(sharp * (bags - np.nan_to_num(top)[owner]), -30, 0))
-        weight /= np.bincount(owner, weight, len(y))[owner]
-        z = np.bincount(owner, weight * bags, len(y)) + gap
+        weight = np.exp(np.clip(sharp * (means - top.astype(np.float32)[owner]), -30, 0))
+        weight /= np.bincount(owner, weight, len(y)).astype(np.float32)[owner]
+        z = np.bincount(owner, weight * means, len(y)) + gap
         d = np.where(held, 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / (~held).sum()
-        grad_scalar = np.bincount(seq, smooth(weight * d[owner], start, BAG), len(vocabulary))
-        per_gram = np.bincount(bucket, np.repeat(grad_scalar / size, np.diff(first)), BUCKETS).astype(np.float32)
+        grad_word = np.bincount(seq, bags.spread(weight * d.astype(np.float32)[owner]), len(vocabulary))
+        per_gram = np.bincount(bucket, np.repeat(grad_word / size, np.diff(first)), BUCKETS).astype(np.float32)
         to_u = embed.T @ per_gram
         grads = (np.outer(per_gram, u) + (DECAY / BUCKETS) * embed, np.stack([-to_u, to_u]), np.array([-d.sum(), d.sum()], np.float32))
         for param, grad, m in zip((embed, soft, bias), grads, moments):
@@ -150,7 +154,8 @@ class Scorer:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         seq, start = self.table.numbers([words_of(t) for t in texts])
-        top, _ = bag_logits(self.table.rows[seq, 0], start, BAG)
+        bags = Bags(start, BAG)
+        top = bags.highest(bags.means(self.table.rows[seq, 0]))
         z = np.where(np.isnan(top), 0.0, top) + self.model.bias
         z = np.where(np.isnan(top), np.minimum(z, self.model.bias), z)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -174,11 +179,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     return rows["text"].tolist(), rows["toxic"].tolist()
 
 
-def scorer(shared, held: dict = {}) -> Scorer:  # noqa: B006 (one per worker)
+def scorer(shared) -> Scorer:
     """The worker's scorer of a broadcast model."""
-    if held.get("model") is not shared.value:
-        held.update(model=shared.value, made=Scorer(shared.value))
-    return held["made"]
+    model = shared.value
+    return common.held(model, lambda: Scorer(model))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
