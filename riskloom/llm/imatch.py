@@ -1,16 +1,20 @@
 """I-Match document fingerprints over randomised lexicon subsets.
 
-Terms inside a band of document frequency (all documents counted) make the
-lexicon. Sorted distinct lexicon terms are hashed under several random
+Terms inside a band of inverse document frequency make the lexicon: terms in
+at least ``MIN_SHARE`` and at most ``MAX_SHARE`` of all documents (and in two
+documents at least). Frequencies are counted exactly, by 64-bit term hash, over
+all documents. Sorted distinct lexicon terms are hashed under several random
 subsets of the lexicon: ``DRAWS`` random draws, each at ``LEVELS`` nested
 sampling rates 1, 1/2, 1/4, ... . A subset's hash is equal for two texts iff
 their terms agree inside the subset (up to 16-bit collisions), so the share of
 agreeing subsets at sparse rates follows the overlap of the term sets, while
 equal texts agree everywhere.
 
-Document frequencies are kept by hashed term, ``COUNTERS`` of them, so what is
-broadcast has a fixed size; a crowded counter overstates a frequency. A text
-whose terms all fall outside the band is hashed over all its terms.
+The lexicon is broadcast. A document of d distinct terms adds d to the sum of
+all frequencies, and a lexicon term takes ``MIN_SHARE`` of the documents, so
+the lexicon holds at most the mean of d over ``MIN_SHARE`` terms of 8 bytes,
+however many documents there are (8 MB at 250 distinct terms a document). A
+text whose terms all fall outside the band is hashed over all its terms.
 
 Contract: one row per input row, "next" in ascending doc_id (nulls first, ties
 by a hash of the text), the last followed by the first. Null texts are empty;
@@ -32,9 +36,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-COUNTERS = 1 << 20
-#: The band: at least this many documents, at most this share of them.
-MIN_DF, MAX_SHARE = 2, 0.02
+#: The band: at least this many documents and this share of them, at most that share.
+MIN_DF, MIN_SHARE, MAX_SHARE = 2, 0.00025, 0.02
+#: Term counts that a task gathers before it passes them on.
+GATHERED = 400_000
 DRAWS, LEVELS = 16, 12
 #: Subsets with a hash on either side that a level needs to be read on its own.
 ENOUGH = 8
@@ -45,56 +50,76 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def hashed(words: list[str]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w) for w in words], np.uint64)
-
-
-def counter_of(terms: np.ndarray) -> np.ndarray:
-    return (terms >> np.uint64(44)).astype(np.int64)
+def term_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1
 
 
 class Hasher:
-    """64-bit hashes of words, remembered for frequent ones."""
+    """64-bit hashes of words, remembered for frequent ones; 0 for words outside a lexicon (sorted hashes), where there is one."""
+
+    def __init__(self, lexicon: np.ndarray | None = None) -> None:
+        self.lexicon = lexicon
+        self.known = common.BoundedCache(self._made, 200_000)
 
-    def __init__(self) -> None:
-        self.known = common.BoundedCache(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 300_000)
+    def _made(self, word: str) -> int:
+        h = term_hash(word)
+        if self.lexicon is not None:
+            at = int(np.searchsorted(self.lexicon, np.uint64(h)))
+            if at == len(self.lexicon) or int(self.lexicon[at]) != h:
+                return 0
+        return h
 
     def terms(self, text: str) -> np.ndarray:
-        """Sorted distinct term hashes of a text."""
+        """Sorted distinct term hashes of a text, of those in the lexicon."""
         known = self.known
-        return np.unique(np.array([known[w] for w in set(words_of(text))], np.uint64))
+        found = np.unique(np.array([known[w] for w in set(words_of(text))], np.uint64))
+        return found[1:] if len(found) and not found[0] else found
 
+    def fingerprint(self, text: str) -> np.ndarray:
+        """The hashes of all subsets, over all terms if none is in the lexicon."""
+        terms = self.terms(text)
+        if not len(terms):
+            terms = np.unique(np.array([term_hash(w) for w in set(words_of(text))], np.uint64))
+        return subsets(terms)
 
-_hasher = Hasher()
 
-
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(document frequency by counter, number of documents), over all documents."""
+def frequencies(docs: DataFrame) -> DataFrame:
+    """``term, n``: the number of documents of each term (a signed hash), over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros(COUNTERS, np.int64), 0
+        hasher = Hasher()
+        held: list[np.ndarray] = []
+        terms, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def merged():
+            both = np.concatenate([terms, *held])
+            weight = np.concatenate([counts, np.ones(len(both) - len(terms), np.int64)])
+            held.clear()
+            distinct, place = np.unique(both, return_inverse=True)
+            return distinct, np.bincount(place, weight, len(distinct)).astype(np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], ["term", "n"])
+
         for batch in common.pieces(batches):
-            rows += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                slots = np.unique(counter_of(_hasher.terms(text)))
-                counts[slots] += 1
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, COUNTERS), pa.int32()), pa.array(np.append(counts[at], rows), pa.int64())], ["slot", "n"]
-        )
+            held += [hasher.terms(text) for text in batch.column(0).to_pylist()]
+            if sum(map(len, held)) > GATHERED:
+                terms, counts = merged()
+                if len(terms) > GATHERED:
+                    yield out()
+                    terms, counts = terms[:0], counts[:0]
+        terms, counts = merged()
+        yield out()
 
-    summed = common.texts(docs).select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    counts = np.zeros(COUNTERS + 1, np.int64)
-    # At most COUNTERS + 1 rows of (slot, n), in batches: fixed size whatever the corpus.
-    found = summed.toArrow()
-    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return counts[:COUNTERS], int(counts[COUNTERS])
+    return common.texts(docs).select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def band(counts: np.ndarray, rows: int) -> np.ndarray:
-    """Which counters are inside the band."""
-    return (counts >= MIN_DF) & (counts <= max(MIN_DF, math.floor(MAX_SHARE * rows)))
+def lexicon(docs: DataFrame) -> np.ndarray:
+    """Sorted term hashes inside the band (their number is bounded, see above)."""
+    rows = docs.count()
+    low, high = max(MIN_DF, math.ceil(MIN_SHARE * rows)), max(MIN_DF, math.floor(MAX_SHARE * rows))
+    found = frequencies(docs).where(F.col("n").between(low, high)).select("term").toArrow()
+    return np.sort(found.column("term").to_numpy().view(np.uint64))
 
 
 _SALTS = np.random.default_rng(99).integers(1, 1 << 63, (2, DRAWS), dtype=np.uint64) | np.uint64(1)
@@ -117,13 +142,7 @@ def subsets(terms: np.ndarray) -> np.ndarray:
     total = np.cumsum(low[:, ::-1], axis=1)[:, ::-1].astype(np.uint64)
     filled = np.cumsum(some[:, ::-1], axis=1)[:, ::-1] > 0
     mixed = total * np.uint64(0xD6E8FEB86659FD93)
-    return np.where(filled, (mixed >> np.uint64(48)).astype(np.uint16) | np.uint16(1), 0).astype(np.uint16)
-
-
-def fingerprint(text: str, inside: np.ndarray) -> np.ndarray:
-    terms = _hasher.terms(text)
-    kept = terms[inside[counter_of(terms)]]
-    return subsets(kept if len(kept) else terms)
+    return np.where(filled, (mixed >> np.uint64(32)) % np.uint64(0xFFFF) + np.uint64(1), 0).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -143,9 +162,9 @@ def edited(text: str, follower: str) -> str:
     return text[: len(text) - n] + follower[:n]
 
 
-def compared(text: str, follower: str, inside: np.ndarray, own: np.ndarray, following: np.ndarray) -> tuple:
+def compared(text: str, follower: str, hasher: Hasher, own: np.ndarray, following: np.ndarray) -> tuple:
     other = edited(text, follower)
-    changed = fingerprint(other, inside)
+    changed = hasher.fingerprint(other)
     return (
         len(text),
         hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(),
@@ -163,25 +182,25 @@ OUT = pa.schema(
 )
 
 
-def chained(batches: Iterator[pa.RecordBatch], inside: np.ndarray) -> Iterator[pa.RecordBatch]:
+def chained(batches: Iterator[pa.RecordBatch], hasher: Hasher) -> Iterator[pa.RecordBatch]:
     """Rows ``doc_id, text, part`` in order, each compared with its follower; the last row of a part is left to ``bridged``."""
     last = None
     for batch in common.pieces(batches):
         rows = []
         for doc_id, text, part in zip(*(c.to_pylist() for c in batch.columns)):
-            mark = fingerprint(text, inside)
+            mark = hasher.fingerprint(text)
             if last is not None and last[3] == part:
-                rows.append((last[0], *compared(last[1], text, inside, last[2], mark)))
+                rows.append((last[0], *compared(last[1], text, hasher, last[2], mark)))
             last = (doc_id, text, mark, part)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), OUT)] if rows else [pa.array([], f.type) for f in OUT], schema=OUT)
 
 
-def bridged(batches: Iterator[pa.RecordBatch], inside: np.ndarray) -> Iterator[pa.RecordBatch]:
+def bridged(batches: Iterator[pa.RecordBatch], hasher: Hasher) -> Iterator[pa.RecordBatch]:
     """Rows ``doc_id, text, follower`` compared."""
     for batch in batches:
         rows = []
         for doc_id, text, follower in zip(*(c.to_pylist() for c in batch.columns)):
-            rows.append((doc_id, *compared(text, follower, inside, fingerprint(text, inside), fingerprint(follower, inside))))
+            rows.append((doc_id, *compared(text, follower, hasher, hasher.fingerprint(text), hasher.fingerprint(follower))))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), OUT)], schema=OUT)
 
@@ -189,11 +208,11 @@ def bridged(batches: Iterator[pa.RecordBatch], inside: np.ndarray) -> Iterator[p
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the columns of ``SCHEMA`` of every row, beside its edited text and the next row."""
     spark = docs.sparkSession
-    counts, rows = frequencies(docs)
-    shared = spark.sparkContext.broadcast(np.packbits(band(counts, rows)))  # COUNTERS bits
+    shared = spark.sparkContext.broadcast(lexicon(docs))
 
-    def inside() -> np.ndarray:
-        return np.unpackbits(shared.value).astype(bool)
+    def hasher() -> Hasher:
+        chosen = shared.value
+        return common.held(chosen, lambda: Hasher(chosen))
 
     body = common.texts(docs).withColumn("tie", F.xxhash64("text"))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -202,7 +221,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     part = F.coalesce(sum((F.col("doc_id") > F.lit(b)).cast("int") for b in bounds) if bounds else F.lit(0), F.lit(0)).alias("part")
     body = body.select("doc_id", "text", "tie", part)
     dealt = body.repartitionByRange(parts, "part").sortWithinPartitions("part", "doc_id", "tie").select("doc_id", "text", "part")
-    inner = dealt.mapInArrow(lambda b: chained(b, inside()), SCHEMA)
+    inner = dealt.mapInArrow(lambda b: chained(b, hasher()), SCHEMA)
     # The first and the last row of each part, by their keys and then with their texts: two rows a part.
     key = F.struct("doc_id", "tie")
     edges = body.groupBy("part").agg(F.min(key).alias("low"), F.max(key).alias("high"))
@@ -217,7 +236,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     same = tails["doc_id"].eqNullSafe(held["doc_id"]) & (tails["tie"] == held["tie"])
     waiting = tails.join(held, same).select(tails["doc_id"], "text", "after").join(heads, "after")
     following = waiting["d"].eqNullSafe(texts["d"]) & (waiting["t"] == texts["t"])
-    outer = waiting.join(texts, following).select("doc_id", "text", "follower").mapInArrow(lambda b: bridged(b, inside()), SCHEMA)
+    outer = waiting.join(texts, following).select("doc_id", "text", "follower").mapInArrow(lambda b: bridged(b, hasher()), SCHEMA)
     return inner.union(outer)
 
 
