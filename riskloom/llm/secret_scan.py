@@ -5,7 +5,9 @@ every value that stands in a credential context is segmented into words,
 dates, repeats, keyboard walks, sequences and brute-force stretches so that
 the total number of guesses is least (dynamic programming over the value);
 values that cost at least ``LOG_GUESSES`` decimal orders are spans of kind
-``guess``. Base spans stay whatever their cost.
+``guess``. Base spans stay whatever their cost. Only templates such as
+``${NAME}`` or ``your_secret_here`` (``PLACEHOLDER``) are passed over whatever
+theirs. Values are segmented whole.
 
 Contract: one row per input row. A null text is the empty text and has no
 span. Positions are code points, ends exclusive. Repeated rows give repeated
@@ -21,6 +23,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,11 +39,13 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 #: Where a value is a credential: a naming word and a separator, or the password part of a URL.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth)["']?\x20*(?:[:=]|\bis\b)\x20*["']?([^\s"'<>,;()\[\]{}]{8,})"""
-    r"""|://[^\s:/@]{1,64}:([^\s:/@]{8,})@""",
+    r"""|://[^\s:/@]*:([^\s:/@]{8,})@""",
     re.I | re.A,
 )
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "://")
 LOG_GUESSES = 9.0
+#: Parts of a segmentation that need looking at: one of more parts has that many orders of guesses by the order of its parts alone (k! of them).
+MOST_PARTS = next(k for k in range(1, 99) if math.log10(math.factorial(k + 1)) >= LOG_GUESSES)
 #: Values that name a secret instead of being one: templates, and words joined like ``your_secret_here``.
 PLACEHOLDER = re.compile(r"^(?:[*x.#_-]+|\$\{?[A-Za-z_][A-Za-z_]*\}?|\$\{\w+\}|%\w+%|(?:your|example|changeme|placeholder|redacted)(?:[_-][a-z]+)*|https?:.*)$", re.I | re.A)
 
@@ -136,23 +141,30 @@ def matches(value: str) -> list[tuple[int, int, float]]:
     return found
 
 
-def log_guesses(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation, the order of its parts included."""
+def log_guesses(value: str, most: int = MOST_PARTS) -> float:
+    """log10 of the guesses for the cheapest segmentation into at most ``most`` parts, the order of its parts included.
+
+    With ``MOST_PARTS`` it is below ``LOG_GUESSES`` iff the cheapest of all
+    segmentations is.
+    """
     n = len(value)
+    if not n:
+        return 0.0
     ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for i, j, cost in matches(value):
         ends[j].append((i, cost))
     unit = math.log10(max(10, 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value)))
-    most = 12
-    best = [[math.inf] * (most + 1) for _ in range(n + 1)]  # by parts so far
-    brute = [[math.inf] * (most + 1) for _ in range(n + 1)]  # those that end in a brute-force stretch
-    best[0][0] = 0.0
+    # By parts so far: the least cost of the first j characters, and of those segmentations that end in a brute-force stretch.
+    best = np.full((n + 1, most + 1), np.inf)
+    best[0, 0] = 0.0
+    brute = np.full(most + 1, np.inf)
     for j in range(1, n + 1):
-        for k in range(1, most + 1):
-            brute[j][k] = min(brute[j - 1][k], best[j - 1][k - 1]) + unit
-            closed = min((best[i][k - 1] + c for i, c in ends[j]), default=math.inf)
-            best[j][k] = min(closed, brute[j][k])
-    return min((best[n][k] + math.log10(math.factorial(k)) for k in range(1, most + 1)), default=0.0) if n else 0.0
+        brute[1:] = np.minimum(brute[1:], best[j - 1, :-1]) + unit
+        best[j] = brute
+        for i, cost in ends[j]:
+            best[j, 1:] = np.minimum(best[j, 1:], best[i, :-1] + cost)
+    orders = [math.log10(math.factorial(k)) for k in range(1, most + 1)]
+    return float((best[n, 1:] + orders).min())
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
