@@ -148,6 +148,21 @@ def test_keep_one(spark):
     assert simhash.keep_one(nameless).count() == 1
     mixed = frame(spark, ["p q r", "p q r", "x y z", "x y z"], [None, 4, None, None])
     assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(mixed).collect()) == [(0, "x y z"), (4, "p q r")]
+    assert simhash.keep_one(empty(spark)).count() == 0
+
+
+def test_keep_one_of_repeated_ids_and_odd_names(spark):
+    texts = ["one text of its own", "another text, the same id", "a third one stands here", "another text, the same id"]
+    docs = spark.createDataFrame([(i, t, "k", 1, 2.0, "c") for i, t in zip([5, 5, 2, 2], texts)], "doc_id long, text string, kept_id string, _fp int, key_one double, `a.b` string")
+    kept = simhash.keep_one(docs)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(5, texts[0]), (2, texts[2]), (2, texts[1])])
+    assert kept.columns == docs.columns
+
+
+def test_simhash_of_a_very_long_text():
+    rng = random.Random(6)
+    text = " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(40_000))
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
 
 
 # --- language ID
@@ -352,13 +367,64 @@ def test_imatch_next_and_edited(spark, edge):
     assert imatch.fingerprints(empty(spark)).count() == 0
 
 
-def test_imatch_tells_halves_from_strangers(corpus):
-    texts = [t for _, t, _ in corpus if len(t) > 400][:80]
-    inside = np.ones(imatch.COUNTERS, bool)
-    marks = [imatch.fingerprint(t, inside) for t in texts]
-    half = [imatch.likeness(m, imatch.fingerprint(imatch.edited(t, texts[i - 1]), inside)) for i, (m, t) in enumerate(zip(marks, texts))]
-    assert imatch.likeness(marks[0], imatch.fingerprint(texts[0], inside)) == 1
-    assert np.mean(half) > 0.15
+def brute_lexicon(texts):
+    seen = {}
+    for t in texts:
+        for w in set((t or "").lower().split()):
+            seen[w] = seen.get(w, 0) + 1
+    n = len(texts)
+    low, high = max(2, -(-n * 25 // 100_000)), max(2, n * 2 // 100)
+    return {w for w, c in seen.items() if low <= c <= high}
+
+
+def test_imatch_lexicon_is_exact(spark, corpus):
+    texts = [t for _, t, _ in corpus] + [None, "", "twice", "twice"]
+    docs = frame(spark, texts)
+    want = sorted(imatch.term_hash(w) for w in brute_lexicon(texts))
+    assert imatch.lexicon(docs).tolist() == want and "twice" in brute_lexicon(texts)
+    assert imatch.lexicon(empty(spark)).tolist() == []
+
+
+def brute_fingerprint_of(text, lexicon):
+    """The fingerprint by definition: per draw and rate, the sum over the terms of the subset."""
+    words = set((text or "").lower().split())
+    terms = {imatch.term_hash(w) for w in words & lexicon} or {imatch.term_hash(w) for w in words}
+    m = (1 << 64) - 1
+    out = []
+    for draw in range(imatch.DRAWS):
+        levels = []
+        for t in terms:
+            luck = t * int(imatch._SALTS[0, draw]) & m
+            luck ^= luck >> 32
+            luck = luck * int(imatch._SALTS[1, draw]) & m
+            value = (t ^ (luck << 7 & m)) * 0x9E3779B97F4A7C15 & m
+            value ^= value >> 29
+            top = (luck >> 40) | 1
+            levels.append((min(imatch.LEVELS - 1, 63 - (top.bit_length() - 1) - 40), value & 0xFFFFFFFF))
+        for level in range(imatch.LEVELS):
+            inside = [v for k, v in levels if k >= level]
+            out.append(((sum(inside) * 0xD6E8FEB86659FD93 & m) >> 32) % 0xFFFF + 1 if inside else 0)
+    return np.array(out, "<u2").tobytes().hex()
+
+
+def test_imatch_fingerprints_equal_brute_force(spark, corpus):
+    rows = [(d, t) for d, t, _ in corpus][:60] + [(1000, ""), (1001, None), (1002, "only hapaxlegomenon"), (1003, "b a a b"), (1004, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = brute_lexicon([t for _, t in rows])
+    got = {r["doc_id"]: r for r in imatch.fingerprints(docs).collect()}
+    rows.sort()
+    for k, (d, t) in enumerate(rows):
+        follower = rows[(k + 1) % len(rows)][1] or ""
+        assert got[d]["fingerprint"] == brute_fingerprint_of(t, lexicon)
+        assert got[d]["edited_fingerprint"] == brute_fingerprint_of(imatch.edited(t or "", follower), lexicon)
+        assert got[d]["next_fingerprint"] == brute_fingerprint_of(follower, lexicon)
+    assert got[1003]["fingerprint"] == got[1004]["fingerprint"] and got[1003]["near_next"] == 1
+
+
+def test_imatch_tells_halves_from_strangers(spark, corpus):
+    got = imatch.fingerprints(spark.createDataFrame([(d, t) for d, t, _ in corpus], "doc_id long, text string")).collect()
+    near, far = [r["near_edited"] for r in got], [r["near_next"] for r in got]
+    assert np.mean([(a > b) + (a == b) / 2 for a in near for b in far]) > 0.9
 
 
 # --- HTML
@@ -418,14 +484,39 @@ def test_salted_templates_equal_broadcast_ones(spark, monkeypatch):
 
 def test_preference_pairs(spark):
     rows = [
-        (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "more"),
-        (1, 0, "user", "hi"), (1, 1, "assistant", "no"),
-        (2, 0, "user", "alone"), (4, 0, "user", "same"), (5, 0, "user", "same"), (4, 0, "user", "same"), (None, 1, "user", "x"), (6, None, "user", "x"), (8, 1, None, None),
+        (0, "chosen", 0, "user", "hi"), (0, "chosen", 1, "assistant", "yes"), (0, "chosen", 2, "user", "more"),
+        (0, "rejected", 0, "user", "hi"), (0, "rejected", 1, "assistant", "no"),
+        (1, "chosen", 0, "user", "alone"), (2, "both", 0, "user", "same"), (2, "chosen", 64, "assistant", "x"), (2, "rejected", 64, "assistant", "é🙂"), (2, "both", 0, "user", "same"),
+        (3, "chosen", 0, "a", "p"), (3, "chosen", 0, "a", "q"), (3, "rejected", 0, "a", "q"), (None, "both", 1, "user", "x"), (6, "both", None, "user", "x"), (7, "odd", 1, "user", "x"), (8, "both", 1, None, None),
     ]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = sorted((r["pair_id"], r["segment"], r["turn"], r["loss"]) for r in chat_format.format_pairs(chat_format.paired(turns)).collect())
-    assert got == [(0, "chosen", 1, 1), (0, "chosen", 2, 0), (0, "prompt", 0, 0), (0, "rejected", 1, 1), (1, "chosen", 0, 0), (2, "chosen", 0, 0), (2, "chosen", 0, 0), (2, "rejected", 0, 0), (4, "chosen", 1, 0)]
-    assert chat_format.format_pairs(chat_format.paired(turns.where("false"))).count() == 0
+    turns = spark.createDataFrame([(*r, "clash", 1) for r in rows], "pair_id long, side string, turn long, role string, text string, prompt string, part int")
+    got = {(r["pair_id"], r["part"]): r for r in chat_format.format_pairs(turns).collect()}
+    show = lambda role, text: f"<|{role}|>\n{text}\n<|end|>\n"
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (2, 1), (3, 0), (8, 0)}
+    first = got[0, 0]
+    assert (first["prompt"], first["chosen"], first["rejected"]) == (show("user", "hi"), show("assistant", "yes") + show("user", "more"), show("assistant", "no"))
+    a, b = map(int, first["chosen_loss"].split(":"))
+    assert first["chosen"][a:b] == "yes\n<|end|>\n" and first["rejected_loss"] == f"{a}:{b - 1}"
+    assert (got[1, 0]["prompt"], got[1, 0]["chosen"], got[1, 0]["rejected"], got[1, 0]["chosen_loss"]) == ("", show("user", "alone"), "", "")
+    assert got[2, 0]["prompt"] == show("user", "same") and got[2, 0]["n_prompt"] == 1 and got[2, 0]["chosen"] == ""
+    a, b = map(int, got[2, 1]["rejected_loss"].split(":"))
+    assert got[2, 1]["rejected"][a:b] == "é🙂\n<|end|>\n" and got[2, 1]["prompt"] == ""
+    assert got[3, 0]["prompt"] == "" and got[3, 0]["chosen"] == show("a", "p") + show("a", "q") and got[3, 0]["chosen_loss"] == ""
+    assert got[8, 0]["prompt"] == show("", "")
+    assert chat_format.format_pairs(turns.where("false")).count() == 0
+
+
+def test_pairs_are_made_of_neighbours(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "one"), (0, 2, "user", "then"), (5, 0, "assistant", "two"), (6, 0, "user", "no answer"), (63, 3, "assistant", "three"), (64, 0, "assistant", "other block"), (0, 1, "assistant", "one")]
+    turns = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, side string")
+    got = {r["pair_id"]: r for r in chat_format.format_pairs(chat_format.paired(turns)).collect()}
+    answer = lambda r, s: r[s][len("<|assistant|>\n") :].split("\n")[0]
+    assert [(k, answer(got[k], "chosen"), answer(got[k], "rejected")) for k in (0, 5, 63)] == [(0, "one", "two"), (5, "two", "three"), (63, "three", "one")]
+    assert got[0]["chosen"].endswith("then\n<|end|>\n") and got[0]["n_prompt"] == 1
+    assert got[6]["chosen"] == got[64]["rejected"] == "" and got[64]["n_prompt"] == 1
+    long = spark.createDataFrame([(9, k, "user" if k % 2 else "assistant", "w " * 20_000) for k in range(200)], "conv_id long, turn long, role string, text string")
+    parts = chat_format.format_pairs(chat_format.paired(long)).collect()
+    assert sorted(r["part"] for r in parts) == [0, 1, 2, 3] and sum(len(r["prompt"]) for r in parts) > 200 * 40_000
 
 
 def test_chat_equals_sql(spark):
