@@ -13,7 +13,6 @@ against brute-force versions instead.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,11 +56,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each one's result is a table in the shared folder."""
-    folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages in order; each one's result is a table in the shared folder until the next one is written."""
+    folder = common.run_folder(spark, "pipeline")
+    docs, read = common.table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if read:
+            common.remove(spark, read)
+        read = path
     return docs
