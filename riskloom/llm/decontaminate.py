@@ -47,8 +47,10 @@ ROOM = 10
 SHORT = 44
 #: Bytes around an anchor that are compared before the whole item, and the share of them that may be edited.
 NEAR, NEAR_EDITS = 48, 0.33
+#: Before that: the share of a stretch's byte trigrams that the window must hold (by a signature of SIGNS 64-bit words).
+SHARED, SIGNS = 0.45, 2
 #: Bytes of items that one block broadcasts at most.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 SCHEMA = "doc_id long, item_id long, distance int, similarity double, start int"
 TABLE_BITS = 22
 
@@ -90,6 +92,29 @@ def word_starts(buffer: np.ndarray) -> np.ndarray:
     return starts[buffer[starts] > 32].astype(np.int32)
 
 
+def trigram_bits(buffer: np.ndarray) -> list[np.ndarray]:
+    """For each position the bit of its byte trigram, in one of ``SIGNS`` words."""
+    b = buffer.astype(np.uint32)
+    h = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(8)
+    bits = np.uint64(1) << (h & np.uint32(63)).astype(np.uint64)
+    word = (h >> np.uint32(6)) % np.uint32(SIGNS)
+    return [np.where(word == w, bits, np.uint64(0)) for w in range(SIGNS)]
+
+
+def signatures(bits: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """The union of the trigrams of each stretch of ``length`` bytes (by doubling)."""
+    out = []
+    for word in bits:
+        have, n, want = word, 1, length - 2
+        while n < want:
+            step = min(n, want - n)
+            have = have[:-step] | have[step:]
+            n += step
+        out.append(have)
+    return out
+
+
 class Items:
     """Anchors of one block of items."""
 
@@ -113,13 +138,23 @@ class Items:
         self.back = self.offset - begin
         self.near = (at - self.back).astype(np.int64)
         self.bytes = buffer
-        self.early, self.sorted, self.order = [], [], []
+        # Trigrams of that stretch, and how many of their bits a window must hold.
+        signs = [np.zeros(len(at), np.uint64) for _ in range(SIGNS)]
+        for word, total in zip(trigram_bits(buffer), signs):
+            word = np.append(word, np.zeros(NEAR, np.uint64))
+            for j in range(NEAR - 2):
+                total |= np.where(j < self.near_length - 2, word[self.near + j], np.uint64(0))
+        self.signs = signs
+        self.needed = (SHARED * sum(np.bitwise_count(x).astype(np.int64) for x in signs)).astype(np.int64)
+        self.early, self.late, self.sorted, self.order = [], [], [], []
         for r in range(REPEATS):
             pos, key = keys(buffer, at, r, 0, EARLY, np.zeros(len(at), np.uint64))
             table = np.zeros(1 << TABLE_BITS, bool)
             table[bit(key)] = True
             self.early.append(table)
             _, key = keys(buffer, pos, r, EARLY, STEPS, key)
+            self.late.append(np.zeros(1 << TABLE_BITS, bool))
+            self.late[-1][bit(key)] = True
             order = np.argsort(key, kind="stable")
             self.sorted.append(key[order])
             self.order.append(order)
@@ -129,6 +164,8 @@ class Items:
         found: set[tuple[int, int]] = set()
         if not len(self.owner):
             return found
+        slack = NEAR // 4
+        held = signatures(trigram_bits(buffer), NEAR + 2 * slack)
         for a in range(0, len(starts), chunk):
             here = starts[a : a + chunk]
             hits = []
@@ -138,6 +175,8 @@ class Items:
                 if not len(live):
                     continue
                 _, key = keys(buffer, pos[live], r, EARLY, STEPS, key[live])
+                whole = np.flatnonzero(self.late[r].take(bit(key)))
+                live, key = live[whole], key[whole]
                 low, high = np.searchsorted(self.sorted[r], key, "left"), np.searchsorted(self.sorted[r], key, "right")
                 count = high - low
                 ranks = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
@@ -147,6 +186,10 @@ class Items:
             both = np.unique(np.concatenate(hits))
             for k in range(0, len(both), chunk):
                 at, anchor = both[k : k + chunk] >> 32, both[k : k + chunk] & 0xFFFFFFFF
+                place = np.clip(at - self.back[anchor] - slack, 0, len(held[0]) - 1)
+                shared = sum(np.bitwise_count(w[place] & x[anchor]).astype(np.int64) for w, x in zip(held, self.signs))
+                ok = shared >= self.needed[anchor]
+                at, anchor = at[ok], anchor[ok]
                 ok = self.alike(buffer, at, anchor)
                 at, anchor = at[ok], anchor[ok]
                 found.update(zip(self.owner[anchor].tolist(), ((at - self.offset[anchor]) >> 4).tolist()))
@@ -218,7 +261,7 @@ def leaks(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, in
     raw = [t.encode("utf-8", "replace") for t in clean]
     size = np.array([len(r) + 1 for r in raw], np.int64)
     ends = np.cumsum(size)
-    buffer = np.frombuffer(b"\0" + b"\0".join(raw) + b"\0" * (STEPS + 2), np.uint8)
+    buffer = np.frombuffer(b"\0" + b"\0".join(raw) + b"\0" * (2 * NEAR), np.uint8)
     wanted: dict[tuple[int, int], list[int]] = {}
     for item, begin in items.candidates(buffer, word_starts(buffer)):
         row = int(np.searchsorted(ends, max(0, (begin << 4) + 8 - 1), side="right"))
