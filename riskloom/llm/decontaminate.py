@@ -47,8 +47,8 @@ ROOM = 10
 SHORT = 44
 #: Bytes around an anchor that are compared before the whole item, and the share of them that may be edited.
 NEAR, NEAR_EDITS = 48, 0.33
-#: Before that: the share of a stretch's byte trigrams that the window must hold (by a signature of SIGNS 64-bit words).
-SHARED, SIGNS = 0.45, 2
+#: Bytes that the comparison near an anchor tells apart: letters, digits and the space each for itself, the others in groups.
+CLASSES = np.array([1 + b - 97 if 97 <= b <= 122 else 27 + b - 48 if 48 <= b <= 57 else 37 if b == 32 else 38 + b % 26 for b in range(256)])
 #: Bytes of items that one block broadcasts at most.
 BLOCK = 4 << 20
 SCHEMA = "doc_id long, item_id long, distance int, similarity double, start int"
@@ -92,29 +92,6 @@ def word_starts(buffer: np.ndarray) -> np.ndarray:
     return starts[buffer[starts] > 32].astype(np.int32)
 
 
-def trigram_bits(buffer: np.ndarray) -> list[np.ndarray]:
-    """For each position the bit of its byte trigram, in one of ``SIGNS`` words."""
-    b = buffer.astype(np.uint32)
-    h = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(8)
-    bits = np.uint64(1) << (h & np.uint32(63)).astype(np.uint64)
-    word = (h >> np.uint32(6)) % np.uint32(SIGNS)
-    return [np.where(word == w, bits, np.uint64(0)) for w in range(SIGNS)]
-
-
-def signatures(bits: list[np.ndarray], length: int) -> list[np.ndarray]:
-    """The union of the trigrams of each stretch of ``length`` bytes (by doubling)."""
-    out = []
-    for word in bits:
-        have, n, want = word, 1, length - 2
-        while n < want:
-            step = min(n, want - n)
-            have = have[:-step] | have[step:]
-            n += step
-        out.append(have)
-    return out
-
-
 class Items:
     """Anchors of one block of items."""
 
@@ -138,14 +115,6 @@ class Items:
         self.back = self.offset - begin
         self.near = (at - self.back).astype(np.int64)
         self.bytes = buffer
-        # Trigrams of that stretch, and how many of their bits a window must hold.
-        signs = [np.zeros(len(at), np.uint64) for _ in range(SIGNS)]
-        for word, total in zip(trigram_bits(buffer), signs):
-            word = np.append(word, np.zeros(NEAR, np.uint64))
-            for j in range(NEAR - 2):
-                total |= np.where(j < self.near_length - 2, word[self.near + j], np.uint64(0))
-        self.signs = signs
-        self.needed = (SHARED * sum(np.bitwise_count(x).astype(np.int64) for x in signs)).astype(np.int64)
         self.early, self.late, self.sorted, self.order = [], [], [], []
         for r in range(REPEATS):
             pos, key = keys(buffer, at, r, 0, EARLY, np.zeros(len(at), np.uint64))
@@ -164,8 +133,6 @@ class Items:
         found: set[tuple[int, int]] = set()
         if not len(self.owner):
             return found
-        slack = NEAR // 4
-        held = signatures(trigram_bits(buffer), NEAR + 2 * slack)
         for a in range(0, len(starts), chunk):
             here = starts[a : a + chunk]
             hits = []
@@ -186,10 +153,6 @@ class Items:
             both = np.unique(np.concatenate(hits))
             for k in range(0, len(both), chunk):
                 at, anchor = both[k : k + chunk] >> 32, both[k : k + chunk] & 0xFFFFFFFF
-                place = np.clip(at - self.back[anchor] - slack, 0, len(held[0]) - 1)
-                shared = sum(np.bitwise_count(w[place] & x[anchor]).astype(np.int64) for w, x in zip(held, self.signs))
-                ok = shared >= self.needed[anchor]
-                at, anchor = at[ok], anchor[ok]
                 ok = self.alike(buffer, at, anchor)
                 at, anchor = at[ok], anchor[ok]
                 found.update(zip(self.owner[anchor].tolist(), ((at - self.offset[anchor]) >> 4).tolist()))
@@ -197,28 +160,32 @@ class Items:
 
     def alike(self, buffer: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         """Whether the bytes near each anchor stand near its window with at most NEAR_EDITS edits (bit-parallel, all at once)."""
+        used, which = np.unique(anchor, return_inverse=True)
+        # Per anchor and class of bytes, the places of the stretch that have it: a step of the comparison is one look-up.
+        places = np.zeros((len(used), 64), np.uint64)
+        every = np.arange(len(used))
+        for j in range(NEAR):
+            inside = self.near_length[used] > j
+            places[every[inside], CLASSES[self.bytes[self.near[used[inside]] + j]]] |= np.uint64(1 << j)
+        places, which = places.ravel(), which * 64
         m = self.near_length[anchor]
-        pattern = self.bytes[self.near[anchor][:, None] + np.arange(NEAR)]
-        inside = np.arange(NEAR)[None, :] < m[:, None]
         full = (np.uint64(1) << m.astype(np.uint64)) - np.uint64(1)
         top, one = (m - 1).astype(np.uint64), np.uint64(1)
         slack = NEAR // 4
-        text = buffer[np.clip((at - self.back[anchor] - slack)[:, None] + np.arange(NEAR + 2 * slack), 0, len(buffer) - 1)]
+        begin = at - self.back[anchor] - slack
+        classes = CLASSES[buffer]
         pv, mv = full.copy(), np.zeros(len(at), np.uint64)
-        score = m.copy()
-        best = m.copy()
-        for j in range(text.shape[1]):
-            same = (pattern == text[:, j, None]) & inside
-            eq = np.zeros((len(at), 8), np.uint8)
-            eq[:, : NEAR // 8] = np.packbits(same, axis=1, bitorder="little")
-            eq = eq.view(np.uint64)[:, 0]
+        score, best = m.astype(np.uint64), m.astype(np.uint64)
+        for j in range(NEAR + 2 * slack):
+            eq = places.take(which + classes.take(begin + j, mode="clip"))
             d0 = ((((eq & pv) + pv) ^ pv) | eq | mv) & full
             hp, hn = mv | (full & ~(d0 | pv)), pv & d0
-            score += ((hp >> top) & one).astype(np.int64) - ((hn >> top) & one).astype(np.int64)
+            score += (hp >> top) & one
+            score -= (hn >> top) & one
             np.minimum(best, score, out=best)
             hp, hn = hp << one & full, hn << one & full
             pv, mv = hn | (full & ~(d0 | hp)), hp & d0
-        return best <= (NEAR_EDITS * m).astype(np.int64)
+        return best.astype(np.int64) <= (NEAR_EDITS * m).astype(np.int64)
 
 
 def most_edits(length: int) -> int:
