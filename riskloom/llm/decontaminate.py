@@ -18,7 +18,10 @@ first, all candidates at once. An item of up to ``SHORT`` bytes is searched
 exactly: one of its ``most + 1`` pieces stands unedited in every occurrence.
 
 Both sides are compared in lower case with white space squeezed. Documents are
-read once and not shuffled; items are taken in blocks of bounded size.
+read once and not shuffled. Items of up to ``BLOCK`` bytes in all are
+broadcast; more are written to the shared folder in blocks of that size, which
+every task reads for each ``SLAB`` bytes of texts. The driver never holds more
+than one block.
 
 Contract: one row per (row of documents, item) that leaks. Null and empty
 texts or items leak nothing. Repeated documents give repeated rows, repeated
@@ -29,9 +32,12 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +55,8 @@ SHORT = 44
 NEAR, NEAR_EDITS = 48, 0.33
 #: Bytes that the comparison near an anchor tells apart: letters, digits and the space each for itself, the others in groups.
 CLASSES = np.array([1 + b - 97 if 97 <= b <= 122 else 27 + b - 48 if 48 <= b <= 57 else 37 if b == 32 else 38 + b % 26 for b in range(256)])
-#: Bytes of items that one block broadcasts at most.
-BLOCK = 4 << 20
+#: Bytes of items in a block (one block is broadcast), and of texts that go through all blocks together where there are more.
+BLOCK, SLAB = 2 << 20, 32 << 20
 SCHEMA = "doc_id long, item_id long, distance int, similarity double, start int"
 TABLE_BITS = 22
 
@@ -133,6 +139,7 @@ class Items:
         found: set[tuple[int, int]] = set()
         if not len(self.owner):
             return found
+        classes = CLASSES[buffer]
         for a in range(0, len(starts), chunk):
             here = starts[a : a + chunk]
             hits = []
@@ -153,12 +160,12 @@ class Items:
             both = np.unique(np.concatenate(hits))
             for k in range(0, len(both), chunk):
                 at, anchor = both[k : k + chunk] >> 32, both[k : k + chunk] & 0xFFFFFFFF
-                ok = self.alike(buffer, at, anchor)
+                ok = self.alike(classes, at, anchor)
                 at, anchor = at[ok], anchor[ok]
                 found.update(zip(self.owner[anchor].tolist(), ((at - self.offset[anchor]) >> 4).tolist()))
         return found
 
-    def alike(self, buffer: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    def alike(self, classes: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         """Whether the bytes near each anchor stand near its window with at most NEAR_EDITS edits (bit-parallel, all at once)."""
         used, which = np.unique(anchor, return_inverse=True)
         # Per anchor and class of bytes, the places of the stretch that have it: a step of the comparison is one look-up.
@@ -173,7 +180,6 @@ class Items:
         top, one = (m - 1).astype(np.uint64), np.uint64(1)
         slack = NEAR // 4
         begin = at - self.back[anchor] - slack
-        classes = CLASSES[buffer]
         pv, mv = full.copy(), np.zeros(len(at), np.uint64)
         score, best = m.astype(np.uint64), m.astype(np.uint64)
         for j in range(NEAR + 2 * slack):
@@ -282,58 +288,98 @@ def short_leak(item: str, text: str) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
-def blocks(benchmark: DataFrame) -> list[Items]:
-    """The items in blocks of at most about ``BLOCK`` bytes, so that what is broadcast at once is bounded."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length(F.trim("text")) > 0)
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = 1 + int(total // BLOCK)
-    out = []
-    for k in range(count):
-        part = items if count == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(count)) == k)
-        out.append(Items([(r["item_id"], r["text"]) for r in part.distinct().orderBy("item_id", "text").collect()]))
-    return [b for b in out if b.items]
+class Source(NamedTuple):
+    """The items: one broadcast block, or ``count`` blocks of them as files in a folder that all executors reach."""
+
+    shared: object
+    folder: str
+    count: int
+
+    def blocks(self) -> Iterator[Items]:
+        if self.shared is not None:
+            rows = self.shared.value
+            yield common.held(rows, lambda: Items(rows))
+            return
+        fs, path = pafs.FileSystem.from_uri(self.folder)
+        for k in range(self.count):
+            chosen = pafs.FileSelector(f"{path}/block={k}", allow_not_found=True)
+            rows = [r for f in fs.get_file_info(chosen) if f.path.endswith(".parquet") for r in zip(*(c.to_pylist() for c in pq.read_table(f.path, filesystem=fs, partitioning=None).columns))]
+            yield Items(rows)
+
+
+def source(benchmark: DataFrame, most: int = BLOCK) -> Source:
+    """The distinct items, broadcast while they are measured to be at most ``most`` bytes, else written in blocks of about that size."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length(F.trim("text")) > 0).distinct()
+    spark = benchmark.sparkSession
+    size, rows = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    if size + 16 * rows <= most:
+        found = [tuple(r) for r in items.orderBy("item_id", "text").collect()]
+        return Source(spark.sparkContext.broadcast(found), "", 1)
+    count = 1 + int((size + 16 * rows) // most)
+    folder = common.run_folder(spark, "items") + "/blocks"
+    items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(count))).repartition("block").write.partitionBy("block").parquet(folder)
+    return Source(None, folder, count)
+
+
+def slabs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """The slices of the batches, gathered to about ``size`` bytes of text."""
+    held, total = [], 0
+    for batch in common.pieces(batches, 128):
+        held.append(batch)
+        total += int(common.row_bytes(batch).sum())
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def leaks_of(items: Source, batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Each slice of rows with its leaks: (row, item id, item's length, distance, start).
+
+    A row is read once: blocks in files are gone through for ``SLAB`` bytes of
+    texts at a time, so that reading a block costs little beside its use.
+    """
+    for slab in slabs(batches, 0 if items.shared is not None else SLAB):
+        found: list[list[tuple]] = [[] for _ in slab]
+        for block in items.blocks():
+            for out, batch in zip(found, slab):
+                body = batch.column(batch.schema.get_field_index(column)).to_pylist()
+                out += [(row, block.items[k][0], len(block.items[k][1]), d, s) for row, k, d, s in leaks(block, body)]
+        yield from zip(slab, found)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK) -> DataFrame:
     """``doc_id, item_id, distance, similarity, start`` of every leak (start in the squeezed text)."""
-    body, context = common.texts(docs), docs.sparkSession.sparkContext
-    parts = []
-    for block in blocks(benchmark):
-        shared = context.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in common.pieces(batches, 128):
-                ids, found = batch.column(0).to_pylist(), leaks(items, batch.column(1).to_pylist())
-                known = [items.items[k] for _, k, _, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[r] for r, *_ in found], pa.int64()),
-                        pa.array([i for i, _ in known], pa.int64()),
-                        pa.array([d for *_, d, _ in found], pa.int32()),
-                        pa.array([1 - d / len(t) for (*_, d, _), (_, t) in zip(found, known)], pa.float64()),
-                        pa.array([s for *_, s in found], pa.int32()),
-                    ],
-                    ["doc_id", "item_id", "distance", "similarity", "start"],
-                )
-
-        parts.append(body.mapInArrow(run, SCHEMA))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
-    return functools.reduce(DataFrame.union, parts)
-
-
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    items = source(benchmark, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in leaks_of(items, batches, "text"):
+            rows = np.array([r for r, *_ in found], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(rows)),
+                    pa.array([i for _, i, *_ in found], pa.int64()),
+                    pa.array([d for *_, d, _ in found], pa.int32()),
+                    pa.array([1 - d / n for *_, n, d, _ in found], pa.float64()),
+                    pa.array([s for *_, s in found], pa.int32()),
+                ],
+                ["doc_id", "item_id", "distance", "similarity", "start"],
+            )
+
+    return common.texts(docs).mapInArrow(run, SCHEMA)
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK) -> DataFrame:
     """``docs`` without the rows into which an item leaks; all columns stay."""
-    for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    items = source(benchmark, most)
 
-        def decide(_, body, shared=shared):
-            hit = {row for row, *_ in leaks(shared.value, body)}
-            return [row not in hit for row in range(len(body))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in leaks_of(items, batches, "text"):
+            hit = {row for row, *_ in found}
+            yield batch.filter(pa.array([row not in hit for row in range(batch.num_rows)], pa.bool_()))
 
-        docs = common.keep_rows(docs, decide)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,6 +331,20 @@ def test_leak_rows(spark, edge):
     kept = decontaminate.keep_uncontaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 2
     assert decontaminate.find_leaks(docs, bench.where("false")).count() == 0
+    # Many blocks in files find what one broadcast block finds.
+    in_blocks = decontaminate.source(bench, 40)
+    assert in_blocks.shared is None and in_blocks.count > 2 and sum(len(b.items) for b in in_blocks.blocks()) == 2
+    assert sorted(map(tuple, decontaminate.find_leaks(docs, bench, 40).collect()), key=str) == sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()), key=str)
+    assert decontaminate.keep_uncontaminated(docs, bench, 40).count() == docs.count() - 2
+
+
+def test_leak_in_a_very_long_text():
+    words = random.Random(12)
+    prose = lambda n: " ".join("".join(words.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    item = prose(20)
+    edited = item[:60] + "zz" + item[63:]
+    found = decontaminate.leaks(decontaminate.Items([(1, item)]), [prose(60_000) + " " + edited + " " + prose(60_000)])
+    assert [(row, k, d) for row, k, d, _ in found] == [(0, 0, plain_distance(item, edited))]
 
 
 # --- I-Match
