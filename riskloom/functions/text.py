@@ -91,37 +91,63 @@ def whole_phrase(text: Column, phrases: Sequence[str]) -> Column:
     return text.rlike(r"(?iU)(?<!\w)(?:" + "|".join(re.escape(p).replace(r"\ ", " ") for p in phrases) + r")(?!\w)")
 
 
-def coordinates(locations: Column) -> Column:
-    """(lat, lon) of the mentions that have both."""
-    return F.filter(F.transform(mentions(locations), lambda m: F.struct(m["lat"].alias("lat"), m["lon"].alias("lon"))), lambda m: m["lat"].isNotNull())
+def _masks(pairs) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for key, bit in pairs:
+        out[key] = out.get(key, 0) | bit
+    return out
 
 
-def route_tags(locations: Column, points: Column, registry: Mapping[str, dict] = C.ROUTES, places: Sequence[tuple] = C.PLACES) -> Column:
-    """Route ids, in registry order, that any mention meets by name, by country (and region), or by bounding box.
+def _looked_up(masks: Mapping[str, int], key: Column) -> Column:
+    if not masks:
+        return F.lit(0).cast("long")
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in masks.items() for x in kv]), key).cast("long"), F.lit(0).cast("long"))
 
-    Names and codes are patterns over the list itself, so only the boxes look
-    at parsed ``points`` (see ``coordinates``).
+
+def route_mask(locations: Column, registry: Mapping[str, dict] = C.ROUTES, places: Sequence[tuple] = C.PLACES) -> Column:
+    """The routes that any mention meets by name, by country (and region) or by bounding box, as bits in registry order.
+
+    A mention is parsed once. Codes are look-ups, boxes comparisons; names are
+    looked for only where the list has any of them at all.
     """
+    if len(registry) > 62:
+        raise ValueError("a mask holds 62 routes")
+    bits = {route: 1 << i for i, route in enumerate(registry)}
+    plain = _masks((c, bits[r]) for r, spec in registry.items() if not spec["adm1"] for c in spec["countries"])
+    regional = _masks((f"{c}#{a}", bits[r]) for r, spec in registry.items() for c in spec["countries"] for a in spec["adm1"])
+
+    def boxed(lat: Column, lon: Column) -> Column:
+        found = [F.when(lat.between(s, n) & lon.between(w, e), F.lit(bits[r])).otherwise(0) for r, spec in registry.items() if spec["bounds"] for s, n, w, e in [spec["bounds"]]]
+        return F.when(lon.isNotNull(), reduce(lambda a, b: a.bitwiseOR(b), found)).otherwise(0).cast("long")
+
+    def met(entry: Column) -> Column:
+        country, adm1 = F.upper(F.get(entry, F.lit(2))), F.upper(F.get(entry, F.lit(3)))
+        lat, lon = (F.get(entry, F.lit(i)).try_cast("double") for i in (4, 5))
+        found = _looked_up(plain, country).bitwiseOR(_looked_up(regional, F.concat(country, F.lit("#"), adm1))).bitwiseOR(boxed(lat, lon))
+        return F.when(F.size(entry) >= 6, found).otherwise(F.lit(0).cast("long"))
+
     text = F.coalesce(locations, F.lit(""))
+    entries = F.transform(F.split(text, ";"), lambda e: F.split(e, "#"))
+    by_field = F.aggregate(entries, F.lit(0).cast("long"), lambda mask, e: mask.bitwiseOR(met(e)))
     field, rest = r"[^#;]*#", r"#[^#;]*#[^#;]*#[^#;]*#"
+    aliases = {r: [re.escape(a).replace(r"\ ", " ") for p in places if p[6] == r for a in p[1]] for r in registry}
+    named = [F.when(text.rlike(rf"(?iU)(?:^|;){field}[^#;]*(?<!\w)(?:{'|'.join(names)})(?!\w)[^#;]*{rest}"), F.lit(bits[r])).otherwise(0) for r, names in aliases.items() if names]
+    spelt = {a.lower() for p in places for a in p[1]}
+    least = sorted(a for a in spelt if not any(b in a for b in spelt - {a}))
+    low = F.lower(text)
+    any_name = reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in least], F.lit(False))
+    by_name = F.when(any_name, reduce(lambda a, b: a.bitwiseOR(b), named, F.lit(0)).cast("long")).otherwise(0)
+    return by_field.bitwiseOR(by_name)
 
-    def hit(route: str, spec: dict) -> Column:
-        adm1 = f"(?:{'|'.join(spec['adm1'])})" if spec["adm1"] else "[^#;]*"
-        found = text.rlike(rf"(?i)(?:^|;){field}{field}(?:{'|'.join(spec['countries'])})#{adm1}#[^#;]*#")
-        aliases = [a for p in places if p[6] == route for a in p[1]]
-        if aliases:
-            named = "|".join(re.escape(a).replace(r"\ ", " ") for a in aliases)
-            found = found | text.rlike(rf"(?iU)(?:^|;){field}[^#;]*(?<!\w)(?:{named})(?!\w)[^#;]*{rest}")
-        if spec["bounds"]:
-            south, north, west, east = spec["bounds"]
-            found = found | F.exists(points, lambda m: m["lat"].between(south, north) & m["lon"].between(west, east))
-        return found
 
-    return F.array_compact(F.array(*[F.when(hit(r, s), F.lit(r)) for r, s in registry.items()]))
+def masked_routes(mask: Column, registry: Mapping[str, dict] = C.ROUTES) -> Column:
+    """The route ids of a mask, in registry order."""
+    return F.array_compact(F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(r)) for i, r in enumerate(registry)]))
 
 
 def routes(locations: Column, registry: Mapping[str, dict] = C.ROUTES, places: Sequence[tuple] = C.PLACES) -> Column:
-    return route_tags(locations, coordinates(locations), registry, places)
+    """Route ids, in registry order, that any mention meets (see ``route_mask``)."""
+    return masked_routes(route_mask(locations, registry, places), registry)
 
 
 def place_blocks(text: Column, gazetteer: Sequence[tuple[str, Sequence[str], str]]) -> Column:

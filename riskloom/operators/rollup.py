@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bands
@@ -58,16 +58,20 @@ def category_pivot(scored: DataFrame) -> DataFrame:
 
 
 def by_group(scored: DataFrame, keys: Column, name: str) -> DataFrame:
-    """``day, <name>, risk_sum, total_articles, raw_ratio``: positives exploded over an array of keys, against all articles of the day."""
-    totals = scored.groupBy("day").agg(F.count("*").alias("total_articles"))
-    sums = scored.where(positive()).select("day", "risk_score", F.explode(keys).alias(name)).groupBy("day", name).agg(F.sum("risk_score").alias("risk_sum"))
-    return sums.join(totals, "day").withColumn("raw_ratio", bands.ratio(F.col("risk_sum"), F.col("total_articles")))
+    """``day, <name>, risk_sum, total_articles, raw_ratio``: positives exploded over an array of keys, against all articles of the day.
+
+    Articles are read once: a null key stands for the article itself, so that
+    totals come out of the same aggregate.
+    """
+    marked = F.when(positive(), F.concat(F.array(F.lit(None).cast("string")), keys)).otherwise(F.array(F.lit(None).cast("string")))
+    sums = scored.select("day", "risk_score", F.explode(marked).alias(name)).groupBy("day", name).agg(F.sum("risk_score").alias("risk_sum"), F.count("*").alias("_n"))
+    total = F.max(F.when(F.col(name).isNull(), F.col("_n"))).over(Window.partitionBy("day"))
+    told = sums.withColumn("total_articles", total).where(F.col(name).isNotNull()).drop("_n")
+    return told.withColumn("raw_ratio", bands.ratio(F.col("risk_sum"), F.col("total_articles")))
 
 
 def group_index(grouped: DataFrame, name: str, start: str, end: str) -> DataFrame:
     """``raw_ratio`` as a percentage of each group's mean over the baseline days (1 where that is 0 or missing)."""
-    from pyspark.sql import Window
-
     over = Window.partitionBy(name)
     base = F.avg(F.when(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.col("raw_ratio"))).over(over)
     return grouped.withColumn("group_index", F.col("raw_ratio") / F.coalesce(F.when(base != 0, base), F.lit(1.0)) * 100.0)

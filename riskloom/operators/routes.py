@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import bands
+from ..functions import bands, text
 from ..functions import constants as C
 from . import timeseries
 from .rollup import positive
@@ -17,29 +19,62 @@ def registry(spark: SparkSession, routes: dict[str, dict] = C.ROUTES) -> DataFra
     return spark.createDataFrame(rows, "route string, name string, category string, energy double, goods double")
 
 
+def mask_of(scored: DataFrame, routes: str) -> Column:
+    """The routes of a row as a mask (see ``text.route_mask``), from a mask or an array of ids."""
+    if not dict(scored.dtypes)[routes].startswith("array"):
+        return F.col(routes)
+    bits = [F.when(F.array_contains(routes, r), F.lit(1 << i)).otherwise(0).cast("long") for i, r in enumerate(C.ROUTES)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
 def hits(scored: DataFrame, routes: str = "routes") -> DataFrame:
     """One row per positive article and route."""
-    return scored.where(positive()).select("day", F.explode(routes).alias("route"), "risk_score", "category", "risk_type")
+    found = text.masked_routes(mask_of(scored, routes))
+    return scored.where(positive()).select("day", F.explode(found).alias("route"), "risk_score", "category", "risk_type")
 
 
-def panel(scored: DataFrame, members: DataFrame, routes: str = "routes") -> DataFrame:
-    """Day by route: sums and counts of hits, zeros where none, against the day's articles.
+def panel_of_hits(found: DataFrame, days: DataFrame, members: DataFrame) -> DataFrame:
+    """The panel from saved hits (``day, route, risk_score``) and saved day totals (``total_articles, positive_articles, matched_positive_articles``)."""
+    sums = found.groupBy("day", "route").agg(F.sum("risk_score").alias("risk_sum"), F.count("*").alias("hit_count"))
+    return _dense(sums, days, members)
 
-    Articles are aggregated before anything is joined; the grid of days and
-    routes is small beside them.
-    """
-    pos = positive()
-    days = scored.groupBy("day").agg(
-        F.count("*").alias("total_articles"),
-        F.count_if(pos).alias("positive_articles"),
-        F.count_if(pos & (F.size(routes) > 0)).alias("matched_positive_articles"),
-    )
-    sums = hits(scored, routes).groupBy("day", "route").agg(F.sum("risk_score").alias("risk_sum"), F.count("*").alias("hit_count"))
+
+def _dense(sums: DataFrame, days: DataFrame, members: DataFrame) -> DataFrame:
     grid = days.crossJoin(F.broadcast(members.select("route")))
     out = grid.join(sums, ["day", "route"], "left").na.fill(0, ["risk_sum", "hit_count"])
     return out.withColumn("raw_ratio", bands.ratio(F.col("risk_sum"), F.col("total_articles")))
 
 
+def by_mask(scored: DataFrame, routes: str = "routes") -> DataFrame:
+    """``day, mask, n, positives, risk_sum``: articles by day and the routes of positive ones, in one pass and one shuffle of small rows."""
+    pos = positive()
+    mask = F.when(pos, mask_of(scored, routes)).otherwise(0)
+    return scored.groupBy("day", mask.alias("mask")).agg(F.count("*").alias("n"), F.count_if(pos).alias("positives"), F.sum(F.when(pos, F.col("risk_score")).otherwise(0.0)).alias("risk_sum"))
+
+
+def panel(scored: DataFrame, members: DataFrame, routes: str = "routes") -> DataFrame:
+    """Day by route: sums and counts of hits, zeros where none, against the day's articles.
+
+    Articles are read and tagged once: everything is made from the sums by day
+    and mask, of which there are as many as combinations of routes.
+    """
+    sums = by_mask(scored, routes)
+    whole = Window.partitionBy("day")
+    days = {
+        "total_articles": F.sum("n").over(whole),
+        "positive_articles": F.sum("positives").over(whole),
+        "matched_positive_articles": F.sum(F.when(F.col("mask") != 0, F.col("positives")).otherwise(0)).over(whole),
+    }
+    told = sums.withColumns(days)
+    # Each day's totals go to every route once, with the day's first mask; hits go to the routes of their masks.
+    first = F.row_number().over(whole.orderBy("mask")) == 1
+    every = F.array(*[F.struct(F.lit(r).alias("route"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c")) for r in C.ROUTES])
+    own = F.transform(text.masked_routes(F.col("mask")), lambda r: F.struct(r.alias("route"), F.col("risk_sum").alias("s"), F.col("positives").alias("c")))
+    rows = told.withColumn("_first", first).select("day", *days, F.inline(F.concat(own, F.when(F.col("_first"), every).otherwise(F.slice(every, 1, 0)))))
+    out = rows.groupBy("day", "route").agg(*[F.first(c).alias(c) for c in days], F.sum("s").alias("risk_sum"), F.sum("c").alias("hit_count"))
+    return out.join(F.broadcast(members.select("route")), "route", "left_semi").withColumn("raw_ratio", bands.ratio(F.col("risk_sum"), F.col("total_articles")))
+
+
 def normalise(days: DataFrame, members: DataFrame, start: str, end: str, cut: str | None = None) -> DataFrame:
     """Threat index (0 to 100) per route, exposure channels, the larger of them as risk, and its moving means."""
     days = timeseries.with_scope(days, cut)

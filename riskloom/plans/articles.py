@@ -60,9 +60,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored articles with their routes."""
-    located = scored(spark, sf_dir).withColumn("_xy", text.coordinates(F.col("locations")))
-    return located.withColumn("routes", text.route_tags(F.col("locations"), F.col("_xy"))).drop("_xy")
+    """Scored articles with the mask of their routes."""
+    return scored(spark, sf_dir).withColumn("routes", text.route_mask(F.col("locations")))
 
 
 def listed(values) -> str:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import bands, labels
+from ..functions import bands, labels, text
 from ..functions import constants as C
 from ..operators import gaps, rollup, routes, scoring, tables, timeseries
 from . import articles as A
@@ -128,10 +129,12 @@ def threshold_sweep(spark, sf_dir):
 
 @query(f"{W}{A.ROUTES_SQL} SELECT route, count(*) AS articles, count(*) FILTER (WHERE risk_score > 0.2) AS positives, round(100.0 * count(*) / (SELECT count(*) FROM scored), 6)::DOUBLE AS match_pct FROM tagged JOIN scored USING (id) GROUP BY route")
 def route_match_rates(spark, sf_dir):
-    rows = A.routed(spark, sf_dir)
-    total = rows.agg(F.count("*").alias("total"))
-    hits = rows.select(F.explode("routes").alias("route"), "risk_score").groupBy("route").agg(F.count("*").alias("articles"), F.count_if(F.col("risk_score") > 0.2).alias("positives"))
-    return hits.crossJoin(total).select("route", "articles", "positives", F.round(100.0 * F.col("articles") / F.col("total"), 6).alias("match_pct"))  # one row on the right
+    pos = F.col("risk_score") > 0.2
+    sums = A.routed(spark, sf_dir).groupBy(F.col("routes").alias("mask")).agg(F.count("*").alias("n"), F.count_if(pos).alias("p"))
+    # As many rows as combinations of routes: the total and the routes are made of them.
+    told = sums.withColumn("total", F.sum("n").over(Window.partitionBy()))
+    hits = told.select(F.explode(text.masked_routes(F.col("mask"))).alias("route"), "n", "p", "total").groupBy("route").agg(F.sum("n").alias("articles"), F.sum("p").alias("positives"), F.max("total").alias("total"))
+    return hits.select("route", "articles", "positives", F.round(100.0 * F.col("articles") / F.col("total"), 6).alias("match_pct"))
 
 
 _ENTRIES = ", ".join(f"('{k}', '{v['name']}', '{v['category']}')" for k, v in C.ROUTES.items())

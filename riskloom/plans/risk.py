@@ -119,7 +119,7 @@ def country_index(spark, sf_dir):
 
 @query(f"{W}{A.ROUTES_SQL} SELECT s.id, coalesce((SELECT string_agg(route, ',' ORDER BY n) FROM tagged t WHERE t.id = s.id), '') AS routes FROM scored s")
 def route_tags(spark, sf_dir):
-    return A.routed(spark, sf_dir).select("id", F.array_join("routes", ",").alias("routes"))
+    return A.routed(spark, sf_dir).select("id", F.array_join(text.masked_routes(F.col("routes")), ",").alias("routes"))
 
 
 MEMBERS_SQL = "members AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v['name']}', {v['energy']}::DOUBLE, {v['goods']}::DOUBLE)" for k, v in C.ROUTES.items()) + ") AS m(route, name, energy, goods))"
