@@ -110,3 +110,9 @@ def label_sets(expected: Column, forbidden: Column, found: Column) -> Column:
 def lookup(mapping: Mapping[str, str], key: Column, default: Column) -> Column:
     pairs = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return F.coalesce(F.try_element_at(pairs, key), default)
+
+
+def board(rows: DataFrame, value: Column | None, tie: str) -> DataFrame:
+    """A short list with ``position``: by a value from the top down (nulls last), then by a column."""
+    order = ([value.desc_nulls_last()] if value is not None else []) + [F.asc(tie)]
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy().orderBy(*order)).cast("long"))

@@ -36,10 +36,6 @@ def hits(scored: DataFrame, routes: str = "routes") -> DataFrame:
 def panel_of_hits(found: DataFrame, days: DataFrame, members: DataFrame) -> DataFrame:
     """The panel from saved hits (``day, route, risk_score``) and saved day totals (``total_articles, positive_articles, matched_positive_articles``)."""
     sums = found.groupBy("day", "route").agg(F.sum("risk_score").alias("risk_sum"), F.count("*").alias("hit_count"))
-    return _dense(sums, days, members)
-
-
-def _dense(sums: DataFrame, days: DataFrame, members: DataFrame) -> DataFrame:
     grid = days.crossJoin(F.broadcast(members.select("route")))
     out = grid.join(sums, ["day", "route"], "left").na.fill(0, ["risk_sum", "hit_count"])
     return out.withColumn("raw_ratio", bands.ratio(F.col("risk_sum"), F.col("total_articles")))
@@ -52,6 +48,12 @@ def by_mask(scored: DataFrame, routes: str = "routes") -> DataFrame:
     return scored.groupBy("day", mask.alias("mask")).agg(F.count("*").alias("n"), F.count_if(pos).alias("positives"), F.sum(F.when(pos, F.col("risk_score")).otherwise(0.0)).alias("risk_sum"))
 
 
+def day_totals(scored: DataFrame, routes: str = "routes") -> DataFrame:
+    """``day, total_articles, positive_articles, matched_positive_articles``: what the panel divides by, to be saved beside the hits."""
+    pos = positive()
+    return scored.groupBy("day").agg(F.count("*").alias("total_articles"), F.count_if(pos).alias("positive_articles"), F.count_if(pos & (mask_of(scored, routes) != 0)).alias("matched_positive_articles"))
+
+
 def panel(scored: DataFrame, members: DataFrame, routes: str = "routes") -> DataFrame:
     """Day by route: sums and counts of hits, zeros where none, against the day's articles.
 

@@ -47,7 +47,7 @@ def day_files(spark: SparkSession, path: str, start: str, end: str, pattern: str
 
 
 def series(spark: SparkSession, path: str | list[str], name: str = "close") -> DataFrame:
-    """``day, <name>`` from a CSV whose first column is a date and second a number; bad rows go, the last of a day stays."""
+    """``day, <name>`` from a CSV whose first column is a date and second a number; bad rows go; of several values of a day the largest stays."""
     raw = spark.read.csv(path, header=True, inferSchema=False)
     date, value = raw.columns[:2]
     rows = raw.select(F.coalesce(F.try_to_date(F.col(date)), F.try_to_date(F.col(date), "MM/dd/yyyy")).alias("day"), F.col(value).try_cast("double").alias(name))
@@ -88,3 +88,10 @@ def feed_entries(spark: SparkSession, path: str, streaming: bool = False) -> Dat
     reader = spark.readStream.schema(schema) if streaming else spark.read.schema(schema)
     rows = reader.json(path)
     return rows.withColumns({"event_time": F.coalesce("published", "updated"), "body": F.coalesce("summary", "description", F.lit(""))})
+
+
+def synced(spark: SparkSession, path: str, start: str, columns: dict[str, str], needed: str, day: str = "day") -> DataFrame:
+    """A CSV product as typed rows: those before ``start`` or without ``needed`` go; what can't be cast is null."""
+    raw = spark.read.csv(path, header=True, inferSchema=False)
+    rows = raw.select(F.try_to_date(F.col(day)).alias(day), *[F.col(c).try_cast("double").try_cast(t).alias(c) for c, t in columns.items()])
+    return rows.where((F.col(day) >= F.lit(start).cast("date")) & F.col(needed).isNotNull())

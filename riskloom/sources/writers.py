@@ -20,10 +20,19 @@ def replace(rows: DataFrame, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     rows.write.parquet(aside)
-    target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
+    target, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside, f"{aside}.old"))
     fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    fs.rename(new, target)
+    # The old table is moved away, not deleted, until the new one stands: a crash in between leaves both on disk.
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(new, target):
+        raise OSError(f"{aside} can't be moved to {path}")
+    fs.delete(old, True)
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Rows added to a log; those of earlier runs stay."""
+    rows.write.mode("append").parquet(path)
 
 
 def products(path: str, **tables: DataFrame) -> None:
