@@ -116,3 +116,35 @@ TOPIC_PATTERNS = (
     ("TRADE", "SANCTION|TRADE|EMBARGO|BLOCKADE|SHIPPING|PORT"),
     ("CONFLICT", "CONFLICT|WAR|INVAS|BORDER|FIGHT|COUP|VIOLENCE|DISPUTE"),
 )
+
+# Points of the routes as (latitude, longitude), and their centres.
+WAYPOINTS = {
+    "strait_of_hormuz": ((26.0, 52.0), (26.5667, 56.25), (25.5, 58.5)),
+    "red_sea_suez": ((12.5833, 43.3333), (20.0, 38.0), (30.455, 32.35)),
+    "strait_of_malacca": ((5.5, 98.5), (2.5, 101.0), (1.3, 103.9)),
+    "cape_of_good_hope": ((-20.0, 5.0), (-34.3568, 18.474), (-15.0, 42.0)),
+    "danish_straits_baltic": ((55.75, 12.75), (57.0, 19.0)),
+    "taiwan_south_china_sea": ((2.5, 101.0), (12.0, 114.0), (24.0, 119.5)),
+    "india_china_lac": ((28.0, 77.0), (34.1526, 77.5771)),
+    "india_pakistan_attari": ((31.63, 74.87), (31.6048, 74.572)),
+    "india_bangladesh_petrapole": ((22.5, 88.2), (23.05, 88.83)),
+    "india_nepal_raxaul": ((26.8, 84.7), (26.9833, 84.85)),
+    "imec": ((20.5937, 78.9629), (25.2048, 55.2708)),
+    "instc_chabahar": ((20.5937, 78.9629), (25.2919, 60.643)),
+}
+CENTRES = {
+    "strait_of_hormuz": (26.5667, 56.25),
+    "red_sea_suez": (20.0, 38.0),
+    "strait_of_malacca": (2.5, 101.0),
+    "cape_of_good_hope": (-34.3568, 18.474),
+    "danish_straits_baltic": (55.75, 12.75),
+    "taiwan_south_china_sea": (12.0, 114.0),
+    "india_china_lac": (34.1526, 77.5771),
+    "india_pakistan_attari": (31.6048, 74.572),
+    "india_bangladesh_petrapole": (23.05, 88.83),
+    "india_nepal_raxaul": (26.9833, 84.85),
+    "imec": (25.2048, 55.2708),
+    "instc_chabahar": (25.2919, 60.643),
+}
+# Seconds between two fetches of the feeds of a tier.
+FEED_SECONDS = {1: 420, 2: 720}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import constants as C
+
 #: Where a sector leans when risk is elevated, and otherwise.
 SECTORS = (("energy", "headwind", "mixed"), ("it_exporters", "tailwind", "mixed"), ("banks", "mixed", "tailwind"), ("consumer_autos", "headwind", "mixed"), ("defence_infra", "mixed", "mixed"), ("pharma", "mixed", "mixed"))
 
@@ -75,3 +77,67 @@ def staled(status: Column, freshness: Column, tier: Column, artefact_day: Column
     """A passing offline headline check warns once its artefacts are older than the live index."""
     stale = F.coalesce(artefact_day < live_day, F.lit(False)) & (freshness == "offline") & (tier == "headline")
     return F.when(stale & (status == "pass"), "warn").otherwise(status)
+
+
+def what_changed(index_days: Column, change_7: Column, label: Column, change: Column) -> Column:
+    """A line on the week's move of the index and the largest mover of the day (from 0.05 % on)."""
+    week = F.when(index_days < 8, "News risk 7d change needs 8+ index days").when(
+        change_7.isNotNull(), F.concat(F.lit("News risk "), F.when(change_7 >= 0, "up").otherwise("down"), F.format_string(" %.1f%% over 7 days", F.abs(change_7)))
+    )
+    mover = F.when(F.abs(change) >= 0.05, F.concat(label, F.when(change >= 0, " +").otherwise(" "), F.format_string("%.2f%% today", change)))
+    return F.coalesce(F.nullif(F.concat_ws(" \u00b7 ", week, mover), F.lit("")), F.lit("Waiting for market and news updates\u2026"))
+
+
+def quote_source(exchange: Column, session_open: Column, fast_day: Column, intraday: Column, daily_day: Column, today: Column) -> Column:
+    """Which quote to show: the fast one, an intraday one, the day's or a file's; null without any.
+
+    An exchange's symbol takes the fast quote while the session is open, others
+    if it isn't older than the daily one. Intraday history is asked for in an
+    open session, or if the daily quote is a day old.
+    """
+    fast = fast_day.isNotNull() & F.when(exchange, session_open).otherwise(daily_day.isNull() | (fast_day >= daily_day))
+    asked = F.when(exchange & session_open, True).otherwise(daily_day.isNull() | (F.datediff(today, daily_day) >= 1))
+    return F.when(fast, "fast").when(asked & intraday, "intraday").when(daily_day.isNotNull(), "daily").when(fast_day.isNotNull(), "fast")
+
+
+def quote_day(epoch_seconds: Column, daily_day: Column, today: Column, zone: str = "Asia/Kolkata") -> Column:
+    """The day of a quote: of its own time on the exchange's clock, else the daily row's, else today."""
+    return F.coalesce(F.to_date(F.from_utc_timestamp(F.timestamp_seconds(epoch_seconds), zone)), daily_day, today)
+
+
+def toggled(watched: Column, item: Column) -> Column:
+    """A watchlist without repeats, the item taken out if it is in it and added at its end if not."""
+    once = F.array_distinct(F.coalesce(watched, F.array().cast("array<string>")))
+    return F.when(F.array_contains(once, item), F.array_remove(once, item)).otherwise(F.array_append(once, item))
+
+
+def waypoints(route: Column) -> Column:
+    """The route's points as (latitude, longitude) pairs; its centre where it has none, nothing for an unknown route."""
+    out = F.array().cast("array<array<double>>")
+    for name in C.ROUTES:
+        points = C.WAYPOINTS.get(name) or (C.CENTRES[name],)
+        out = F.when(F.lower(route) == name, F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in points])).otherwise(out)
+    return out
+
+
+def centre(route: Column) -> Column:
+    """The route's centre as (longitude, latitude)."""
+    out = F.lit(None).cast("array<double>")
+    for name, (lat, lon) in C.CENTRES.items():
+        out = F.when(F.lower(route) == name, F.array(F.lit(lon), F.lit(lat))).otherwise(out)
+    return out
+
+
+def route_category(route: Column, own: Column) -> Column:
+    """A row's own category, else the registry's, else sea."""
+    known = F.create_map(*[F.lit(x) for k, v in C.ROUTES.items() for x in (k, v["category"])])
+    return F.coalesce(own, F.try_element_at(known, F.lower(route)), F.lit("sea"))
+
+
+def risk_colour(risk: Column) -> Column:
+    return F.when(risk >= 50, "error").when(risk >= 20, "tertiary").otherwise("secondary")
+
+
+def stale_reason(artefact_day: Column, live_day: Column) -> Column:
+    """Why a report is stale; null if it isn't."""
+    return F.when(artefact_day < live_day, "Offline benchmarks predate the current index. Re-run validate after index rebuild.")

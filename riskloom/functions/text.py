@@ -147,7 +147,8 @@ def masked_routes(mask: Column, registry: Mapping[str, dict] = C.ROUTES) -> Colu
 
 def routes(locations: Column, registry: Mapping[str, dict] = C.ROUTES, places: Sequence[tuple] = C.PLACES) -> Column:
     """Route ids, in registry order, that any mention meets (see ``route_mask``)."""
-    return masked_routes(route_mask(locations, registry, places), registry)
+    mask = F.array(route_mask(locations, registry, places))  # bound once: it is long
+    return F.transform(mask, lambda m: masked_routes(m, registry))[0]
 
 
 def place_blocks(text: Column, gazetteer: Sequence[tuple[str, Sequence[str], str]]) -> Column:
@@ -213,6 +214,26 @@ def article_topic(themes: Column) -> Column:
     return F.coalesce(bucket, humanise(F.get(found, F.lit(0))), F.lit("General"))
 
 
+def theme_display(themes: Column, keywords: Column) -> Column:
+    """The themes, or else the matched keywords: a JSON list joined by commas, an object as ``key: value`` pairs, anything else as it stands."""
+    raw = F.trim(keywords)
+    listed = F.array_join(F.filter(F.from_json(raw, "array<string>"), lambda k: F.coalesce(k, F.lit("")) != ""), ", ")
+    pairs = F.array_join(F.transform(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e: F.concat_ws(": ", e["key"], e["value"])), ", ")
+    shown = F.when(raw.startswith("["), listed).when(raw.startswith("{"), pairs)
+    return F.coalesce(F.nullif(themes, F.lit("")), shown, keywords, F.lit(""))
+
+
+def text_of_locations(locations: Column) -> Column:
+    """The distinct names of a location list, in order of mention, as a line of text."""
+    names = F.transform(F.split(F.coalesce(locations, F.lit("")), ";"), lambda e: F.get(F.split(e, "#"), F.lit(1)))
+    return F.array_join(F.array_distinct(F.filter(names, lambda n: F.coalesce(n, F.lit("")) != "")), " ")
+
+
+def extractor_id(*parts: str) -> Column:
+    """The versions that made a row's tags, as one identifier."""
+    return F.lit("+".join(parts))
+
+
 def slug(text: Column, longest: int = 40) -> Column:
     return F.left(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit(longest))
 

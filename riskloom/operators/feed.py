@@ -116,3 +116,40 @@ def board(rows: DataFrame, value: Column | None, tie: str) -> DataFrame:
     """A short list with ``position``: by a value from the top down (nulls last), then by a column."""
     order = ([value.desc_nulls_last()] if value is not None else []) + [F.asc(tie)]
     return rows.withColumn("position", F.row_number().over(Window.partitionBy().orderBy(*order)).cast("long"))
+
+
+def extracted() -> Column:
+    """Canonical articles whose tags are all there."""
+    there = [F.col(c).isNotNull() for c in ("tier", "extracted_at", "tone_neg", "tone_polarity", "version")]
+    return reduce(lambda a, b: a & b, there) & F.col("duplicate_of").isNull() & (F.coalesce("dims", F.lit("")) != "")
+
+
+def feeds_due(feeds: DataFrame, health: DataFrame, now: Column, seconds: Mapping[int, int] = C.FEED_SECONDS) -> DataFrame:
+    """``tier, due, stale``: whether any feed of a tier waits since its interval, and how many had no success in two.
+
+    ``feeds`` is ``feed, tier``; ``health`` is ``feed, last_attempt, last_success``. A feed never tried is due and stale.
+    """
+    wait = F.create_map(*[F.lit(x) for kv in seconds.items() for x in kv])
+    passed = lambda c: F.unix_seconds(now) - F.unix_seconds(c)
+    rows = feeds.join(health, "feed", "left").withColumn("_wait", F.try_element_at(wait, F.col("tier")))
+    due = F.col("last_attempt").isNull() | (passed(F.col("last_attempt")) >= F.col("_wait"))
+    stale = F.col("last_success").isNull() | (passed(F.col("last_success")) > 2 * F.col("_wait"))
+    return rows.groupBy("tier").agg(F.bool_or(due).alias("due"), F.count_if(stale).alias("stale"))
+
+
+def status_rank(status: Column) -> Column:
+    return F.when(status == "pass", 0).when(status == "warn", 1).when(status == "fail", 2).when(status == "na", 3).otherwise(4)
+
+
+def check_cells(checks: DataFrame, most: int = 80) -> DataFrame:
+    """Checks for display: passes first, then warnings, failures and the rest, at most ``most``."""
+    return checks.withColumn("_r", status_rank(F.col("status"))).orderBy("_r", "id").limit(most).drop("_r")
+
+
+def headline_checks(checks: DataFrame, fixed: Sequence[str], most: int = 5, least: int = 4) -> DataFrame:
+    """The fixed checks, in their order; if fewer than ``least`` are there, others that apply join up to ``most``."""
+    slot = F.coalesce(*[F.when(F.col("id") == f, F.lit(i)) for i, f in enumerate(fixed)], F.lit(len(fixed)))
+    picks = F.count_if(F.col("id").isin(*fixed)).over(Window.partitionBy())  # a report's checks: some dozens
+    rows = checks.withColumns({"_slot": slot, "_n": picks})
+    joins = (F.col("_slot") < len(fixed)) | ((F.col("_n") < least) & (F.col("status") != "na"))
+    return rows.where(joins).orderBy("_slot", "id").limit(most).drop("_slot", "_n")

@@ -13,8 +13,8 @@ DEPTH, TREES, RATE, SHARE, FEATURES, LEAST, PENALTY, BINS = 3, 300, 0.05, 0.8, 0
 SCHEMA = "block string, day date, target double, naive double, predicted double, high int, probability double"
 
 
-def boosted(train: np.ndarray, y: np.ndarray, test: np.ndarray, classify: bool = False, trees: int = TREES, seed: int = 0) -> np.ndarray:
-    """Predictions (probabilities of class 1) for ``test`` by second-order boosting over histograms."""
+def boosted(train: np.ndarray, y: np.ndarray, test: np.ndarray, classify: bool = False, trees: int = TREES, seed: int = 0, gains: np.ndarray | None = None) -> np.ndarray:
+    """Predictions (probabilities of class 1) for ``test`` by second-order boosting over histograms; ``gains`` is added up by feature."""
     rng, n, p = np.random.default_rng(seed), len(train), train.shape[1]
     both = np.concatenate([train, test])
     edges = [np.unique(np.quantile(train[:, f], np.arange(1, BINS) / BINS)) for f in range(p)]
@@ -40,7 +40,10 @@ def boosted(train: np.ndarray, y: np.ndarray, test: np.ndarray, classify: bool =
             gain = np.where((left_h >= LEAST) & (right_h >= LEAST), gain, 0.0).reshape(nodes, -1)
             best = gain.argmax(1)
             # A node without a gain sends all its rows to the left.
-            bound = np.where(gain[np.arange(nodes), best] > 1e-12, best % BINS, BINS)
+            won = gain[np.arange(nodes), best]
+            bound = np.where(won > 1e-12, best % BINS, BINS)
+            if gains is not None:
+                np.add.at(gains, chosen[best // BINS], np.maximum(won, 0))
             node = 2 * node + (bins[np.arange(len(both)), chosen[best // BINS][node]] > bound[node])
         leaves = 1 << DEPTH
         sums, weights = (np.bincount(node[rows], v, leaves) for v in (g, h))
@@ -84,3 +87,39 @@ def experiment(
 
     tasks = spark.range(0, len(work), 1, min(len(work), 4 * spark.sparkContext.defaultParallelism))
     return tasks.mapInArrow(run, SCHEMA)
+
+
+def latest(rows: DataFrame, blocks: Mapping[str, Sequence[str]], target: str, trees: int = TREES, q: float = 0.75, least: int = 100) -> DataFrame:
+    """``block, feature, importance, as_of, predicted, probability``: per feature block a model of all rows with a known target, applied to the last row.
+
+    ``importance`` is a feature's share of the gains of all splits. The series is one row a day; a block is one task.
+    """
+    features = sorted({c for columns in blocks.values() for c in columns})
+    chosen = rows.select(F.col("day").cast("date").alias("day"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)])
+    table = chosen.na.drop(subset=[f"c{i}" for i in range(len(features))]).orderBy("day").toArrow()
+    days, y = table.column("day").to_pylist(), table.column("y").to_numpy()
+    values = np.column_stack([table.column(i + 2).to_numpy() for i in range(len(features))])
+    known = ~np.isnan(y.astype(float))
+    if known.sum() < least:
+        raise ValueError(f"at least {least} rows with a target are needed")
+    spark, names = rows.sparkSession, list(blocks)
+    shared = spark.sparkContext.broadcast((values, y))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, y = shared.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                own = list(blocks[names[k]])
+                x = values[:, [features.index(c) for c in own]]
+                gains = np.zeros(len(own))
+                predicted = float(boosted(x[known], y[known], x[-1:], trees=trees, gains=gains)[0])
+                high = (y[known] > np.quantile(y[known], q)).astype(float)
+                probability = float(boosted(x[known], high, x[-1:], True, trees)[0])
+                share = gains / (gains.sum() or 1.0)
+                n = len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[k]] * n), pa.array(own), pa.array(share), pa.array([days[-1]] * n, pa.date32()), pa.array([predicted] * n), pa.array([probability] * n)],
+                    ["block", "feature", "importance", "as_of", "predicted", "probability"],
+                )
+
+    return spark.range(0, len(names), 1, len(names)).mapInArrow(run, "block string, feature string, importance double, as_of date, predicted double, probability double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,8 @@ def payload(rows: DataFrame, key: str, columns: Sequence[str] | None = None) ->
     kinds = dict(rows.dtypes)
     safe = [F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in chosen]
     return rows.select(key, F.to_json(F.struct(*safe)).alias("payload"))
+
+
+def renamed(items: str, old: str, new: str) -> Column:
+    """An array of structs with one of their fields renamed."""
+    return F.transform(items, lambda x: x.withField(new, x[old]).dropFields(old))
