@@ -277,3 +277,89 @@ def latest_forecast(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     """Each feature's share of the gains of all splits (in place of SHAP values)."""
     return _forecast(spark, sf_dir).select("block", "feature", "importance")
+
+
+# --- the quality report: checks of the index, of the routes, of feeds and of the benchmark
+
+LIMITS = {
+    "index_days": ("x >= 30", lambda x: x >= 30), "index_mean": ("abs(x - 100) < 0.001", lambda x: F.abs(x - 100) < 0.001), "index_std": ("x BETWEEN 20 AND 60", lambda x: x.between(20, 60)),
+    "index_skew": ("x > 0", lambda x: x > 0), "index_p99": ("x >= 150", lambda x: x >= 150), "index_autocorr": ("x > 0.3", lambda x: x > 0.3), "positive_share": ("x BETWEEN 0.05 AND 0.5", lambda x: x.between(0.05, 0.5)),
+    "benchmark_corr": ("x > 0.5", lambda x: x > 0.5), "gap_days": ("x = 0", lambda x: x == 0), "route_leakage": ("x = 0", lambda x: x == 0), "routes_scored": ("x >= 1", lambda x: x >= 1),
+    "route_coverage": ("x >= 0.2", lambda x: x >= 0.2), "slot_bias": ("x <= 0.1", lambda x: x <= 0.1), "tagged_pct": ("x >= 95", lambda x: x >= 95), "duplicate_pct": ("x <= 20", lambda x: x <= 20), "vol_model_auc": ("x > 0.5", lambda x: x > 0.5),
+}
+_slot = "(CAST(strftime(event_time, '%H') AS INTEGER) * 4 + CAST(strftime(event_time, '%M') AS INTEGER) // 15) % 4 = 0"
+_sources = {
+    "index_days": "SELECT count(*) FROM indexed", "index_mean": "SELECT avg(risk_index) FROM indexed", "index_std": "SELECT stddev_samp(risk_index) FROM indexed", "index_skew": "SELECT skewness(risk_index) FROM indexed",
+    "index_p99": "SELECT quantile_cont(risk_index, 0.99) FROM indexed", "index_autocorr": "SELECT corr(risk_index, p) FROM (SELECT risk_index, lag(risk_index) OVER (ORDER BY day) AS p FROM indexed)",
+    "positive_share": "SELECT sum(positive_count) / sum(total_articles) FROM indexed", "benchmark_corr": "SELECT corr(risk_index, bench) FROM indexed JOIN bench USING (day)", "gap_days": "SELECT count(*) FROM rows_ WHERE is_imputed",
+    "route_leakage": "SELECT count(*) FROM (SELECT route FROM route_days JOIN (SELECT day, risk_index FROM indexed) USING (day) GROUP BY route HAVING abs(CASE WHEN stddev_pop(threat_index) > 0 THEN corr(threat_index, risk_index) END) > 0.95)",
+    "routes_scored": "SELECT count(DISTINCT route) FROM route_days WHERE score_status = 'ok'", "route_coverage": "SELECT sum(matched_positive_articles) / sum(positive_articles) FROM per_day",
+    "slot_bias": f"SELECT abs(avg(s - f) / avg(f)) FROM (SELECT day, sum(CASE WHEN risk_score > 0.2 THEN risk_score ELSE 0 END) / count(*) AS f FROM scored GROUP BY day) JOIN (SELECT day, sum(CASE WHEN risk_score > 0.2 THEN risk_score ELSE 0 END) / count(*) AS s FROM scored WHERE {_slot} GROUP BY day) USING (day)",
+    "tagged_pct": "SELECT 100.0 * count(*) FILTER (WHERE event_type <> 'view') / count(*) FROM scored", "duplicate_pct": "SELECT 100.0 * count(*) FILTER (WHERE id % 11 = 0) / count(*) FROM scored", "vol_model_auc": "SELECT NULL",
+}
+_checks = " UNION ALL ".join(f"SELECT '{k}' AS id, CAST(x AS DOUBLE) AS value, CASE WHEN x IS NULL THEN 'na' WHEN {LIMITS[k][0]} THEN 'pass' ELSE 'fail' END AS status FROM (SELECT round(CAST(({sql}) AS DOUBLE) + 1e-9, 6) AS x)" for k, sql in _sources.items())
+QUALITY_SQL = RISK_SQL + ", " + INDEX_SQL[len(A.SCORED_SQL) + 1 :].lstrip(", \n") + ", " + OBSERVED_SQL[len(INDEX_SQL) + 1 :].lstrip(", \n") + f", bench AS (SELECT CAST(ts AS DATE) AS day, round(avg(value), 6) AS bench FROM events GROUP BY 1), checks AS ({_checks})"
+
+
+def checks(spark, sf_dir) -> DataFrame:
+    """``id, value, status`` of every check: one-row figures of each producer, joined and turned into records."""
+    index, scored = indexed(spark, sf_dir), A.scored(spark, sf_dir)
+    lagged = index.withColumn("p", F.lag("risk_index", 1).over(timeseries.ordered()))
+    one = lagged.agg(
+        F.count("*").cast("double").alias("index_days"), F.avg("risk_index").alias("index_mean"), F.stddev_samp("risk_index").alias("index_std"), stats.skew("risk_index").alias("index_skew"),
+        stats.quantile("risk_index", 0.99).alias("index_p99"), stats.correlation("risk_index", "p").alias("index_autocorr"), (F.sum("positive_count") / F.sum("total_articles")).alias("positive_share"),
+    )
+    bench = index.join(R.bench(spark, sf_dir), "day").agg(stats.correlation("risk_index", "bench").alias("benchmark_corr"))
+    missing = timeseries.missing_days(R.observed(spark, sf_dir), "2024-01-01", "2024-01-31").agg(F.count("*").cast("double").alias("gap_days"))
+    days = route_days(spark, sf_dir).join(index.select("day", "risk_index"), "day")
+    per_route = days.groupBy("route").agg(stats.correlation("threat_index", "risk_index").alias("c"), F.max((F.col("score_status") == "ok").cast("double")).alias("ok"), F.sum("positive_articles").alias("p"), F.sum("matched_positive_articles").alias("m"))
+    route = per_route.agg(F.count_if(F.abs("c") > 0.95).cast("double").alias("route_leakage"), F.sum("ok").alias("routes_scored"), (F.max("m") / F.max("p")).alias("route_coverage"))
+    slot = (F.hour("event_time") * 4 + F.floor(F.minute("event_time") / 15)) % 4 == 0
+    value = F.when(F.col("risk_score") > 0.2, F.col("risk_score")).otherwise(0.0)
+    daily = scored.groupBy("day").agg((F.sum(value) / F.count("*")).alias("f"), (F.sum(F.when(slot, value)) / F.count_if(slot)).alias("s")).where("s is not null")
+    bias = daily.agg(F.abs(F.avg(F.col("s") - F.col("f")) / F.avg("f")).alias("slot_bias"))
+    feeds = scored.agg((100.0 * F.count_if(F.col("event_type") != "view") / F.count("*")).alias("tagged_pct"), (100.0 * F.count_if(F.col("id") % 11 == 0) / F.count("*")).alias("duplicate_pct"))
+    all_ = reduce(lambda a, b: a.crossJoin(b), [one, bench, missing, route, bias, feeds]).withColumn("vol_model_auc", F.lit(None).cast("double"))  # one row each
+    rounded = {k: F.round(F.col(k) + 1e-9, 6) for k in LIMITS}
+    records = F.array(*[feed.check(k, v, LIMITS[k][1](v), LIMITS[k][0]) for k, v in rounded.items()])
+    return all_.select(F.inline(records)).select("id", "value", "status")
+
+
+@query(f"{W}{QUALITY_SQL} SELECT id, value, status FROM checks")
+def quality_report(spark, sf_dir):
+    return checks(spark, sf_dir)
+
+
+@query(f"{W}{QUALITY_SQL} SELECT count(*) FILTER (WHERE status = 'pass') AS pass, count(*) FILTER (WHERE status = 'fail') AS fail, count(*) FILTER (WHERE status = 'warn') AS warn, count(*) FILTER (WHERE status = 'na') AS na, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' WHEN bool_or(status = 'pass') THEN 'pass' ELSE 'na' END AS overall FROM checks")
+def quality_summary(spark, sf_dir):
+    return feed.checks_summary(checks(spark, sf_dir))
+
+
+_rank = "CASE status WHEN 'pass' THEN 0 WHEN 'warn' THEN 1 WHEN 'fail' THEN 2 WHEN 'na' THEN 3 ELSE 4 END"
+
+
+@query(f"{W}{QUALITY_SQL} SELECT id, status FROM checks ORDER BY {_rank}, id LIMIT 12")
+def quality_cells(spark, sf_dir):
+    return feed.check_cells(checks(spark, sf_dir), 12).select("id", "status")
+
+
+_fixed = ("benchmark_corr", "route_leakage", "vol_model_auc")
+
+
+@query(f"{W}{QUALITY_SQL}, s AS (SELECT *, coalesce(list_position([{A.listed(_fixed)}], id), 99) AS slot, count(*) FILTER (WHERE id IN ({A.listed(_fixed)})) OVER () AS n FROM checks) SELECT id, status FROM s WHERE slot < 99 OR (n < 4 AND status <> 'na') ORDER BY slot, id LIMIT 5")
+def quality_headlines(spark, sf_dir):
+    return feed.headline_checks(checks(spark, sf_dir), _fixed).select("id", "status")
+
+
+_bundle = {"home": ("news_stats", "total", "canonical"), "health": ("health_snapshot", "documents", "sources"), "quality": ("quality_summary", "pass", "overall"), "signal": ("readiness", "n_days", "ready"), "routes": ("corridor_payload", "n_rows", "first_route"), "archive": ("slot_sample_bias", "n_days", "pass")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{page}' AS page, CAST({one} AS VARCHAR) AS first, CAST({two} AS VARCHAR) AS second FROM ({ORACLE_SQL[name]})" for page, (name, one, two) in _bundle.items()))
+def page_bundles(spark, sf_dir):
+    """Each page's figures as one JSON payload, and two of them read back."""
+    parts = []
+    for page, (name, one, two) in _bundle.items():
+        rows = QUERIES[name](spark, sf_dir)
+        payload = rows.select(F.to_json(F.struct(*rows.columns)).alias("payload"))
+        parts.append(payload.select(F.lit(page).alias("page"), F.get_json_object("payload", f"$.{one}").alias("first"), F.get_json_object("payload", f"$.{two}").alias("second")))
+    return reduce(DataFrame.union, parts)
