@@ -3,26 +3,68 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def as_of(left: DataFrame, right: DataFrame, by: str, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Each left row with the values of the last right row at or before it.
 
     One sort of the union instead of a range join: right rows come first at
-    equal times, and the last non-null struct is carried forward.
+    equal times, and the last non-null struct is carried forward. Without keys
+    the rows are dealt by ranges of time, so no task sees all of them.
     """
     packed = F.struct(*values)
     marked = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.select(packed.alias("v")).schema["v"].dataType)})
     source = right.select(*keys, by, F.lit(0).alias("_side"), packed.alias("_v"))
     both = marked.unionByName(source, allowMissingColumns=True)
-    over = Window.partitionBy(*keys).orderBy(by, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("_v", F.last("_v", ignorenulls=True).over(over)).where("_side = 1")
+    if not keys:
+        both = both.withColumn("_b", ordered.range_of(ordered.numeric(both, by), ordered.bounds(left, by)))
+    over = Window.partitionBy(*(keys or ["_b"])).orderBy(by, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("_v", F.last("_v", ignorenulls=True).over(over))
+    if not keys:
+        # What a range of times begins with: the last right row of the ranges before, one row a range.
+        ends = both.groupBy("_b").agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col(by))).alias("_e"))
+        before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        begins = ends.select("_b", F.last("_e", ignorenulls=True).over(before).alias("_e"))
+        carried = carried.join(F.broadcast(begins), "_b").withColumn("_v", F.coalesce("_v", "_e"))
+    carried = carried.where("_side = 1")
     return carried.select(*left.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
+def containing(texts: DataFrame, items: DataFrame, text: str, item: str, block: int = 4 << 20) -> DataFrame:
+    """Rows of ``texts`` with each row of ``items`` whose ``item`` stands in their ``text``, verbatim.
+
+    An item of three words or more has an inner word, which stands as a whole
+    word wherever the item does: only texts with such a word are compared. The
+    shorter items are looked for as they are. Items come in blocks of measured
+    size, each copied to all tasks; texts are not shuffled.
+    """
+    words = F.split(item, r"\s+")
+    inner = F.when(F.size(words) > 2, F.element_at(F.array_sort(F.slice(words, F.lit(2), F.size(words) - 2), lambda a, b: F.length(b) - F.length(a)), 1))
+    keyed = items.where(F.length(item) > 0).withColumn("_w", inner)
+    count = 1 + int((items.agg(F.sum(F.octet_length(item) + 64)).first()[0] or 0) // block)
+    parts = []
+    for k in range(count):
+        part = keyed if count == 1 else keyed.where(F.pmod(F.xxhash64(item), F.lit(count)) == k)
+        long, short = part.where("_w is not null"), part.where("_w is null")
+        known = [r[0] for r in long.select("_w").distinct().collect()]
+        if known:
+            hits = texts.withColumn("_w", F.explode(F.array_intersect(F.split(text, r"\s+"), F.array(*[F.lit(w) for w in known]))))
+            parts.append(hits.join(F.broadcast(long), "_w").where(F.contains(text, item)).drop("_w"))
+        some = [r[0] for r in short.select(item).distinct().collect()]
+        if some:
+            hits = texts.withColumn("_s", F.explode(F.filter(F.array(*[F.lit(w) for w in some]), lambda x: F.contains(F.col(text), x))))
+            parts.append(hits.join(F.broadcast(short), F.col("_s") == F.col(item)).drop("_s", "_w"))
+    if not parts:
+        return texts.join(items.where("false"), F.lit(False))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def band(left: DataFrame, right: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
     """Rows whose ``at`` lies in the other side's [low, high], by cells of ``width``: an equi-join, then the exact test."""
     cells = right.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))

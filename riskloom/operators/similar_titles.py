@@ -6,10 +6,25 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 THRESHOLD, SECONDS = 0.85, 7200
+LETTERS = "etaoinshrdlu "
+
+
+def count(title: str, letter: str | None = None) -> Column:
+    """How often a title has a letter, or anything but ``LETTERS``."""
+    rest = F.length(F.translate(F.col(title), letter or LETTERS, ""))
+    return F.length(title) - rest if letter else rest
+
+
+def alike(a: str, b: str, threshold: float = THRESHOLD) -> bool:
+    """Whether the ratio reaches the threshold; its cheap upper bounds are taken first."""
+    m = difflib.SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
 
 
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -31,7 +46,9 @@ def pairs(titles: DataFrame, threshold: float = THRESHOLD, seconds: int = SECOND
     before = F.struct("a", "early") < F.struct("b", "late")
     bound = 2.0 * F.least(F.length("ta"), F.length("tb")) / (F.length("ta") + F.length("tb"))
     near = early.join(late, "cell").where(before & (F.unix_seconds("b") - F.unix_seconds("a") <= seconds) & (bound >= threshold))
-    # The chars two titles share (as sets) bound their match as well, and cost little.
+    # The letters that two titles share bound their match as well: counted here, so that Python sees few pairs.
+    common_letters = sum((F.least(count("ta", c), count("tb", c)) for c in LETTERS), F.least(count("ta"), count("tb")))
+    near = near.where(2.0 * common_letters / (F.length("ta") + F.length("tb")) >= threshold)
     measured = near.withColumn("ratio", F.pandas_udf(ratio, "double")("ta", "tb"))
     return measured.where(F.col("ratio") >= threshold).select("early", "late", "a", "b", "ratio")
 
@@ -39,27 +56,25 @@ def pairs(titles: DataFrame, threshold: float = THRESHOLD, seconds: int = SECOND
 def resolve(titles: DataFrame, threshold: float = THRESHOLD, seconds: int = SECONDS) -> DataFrame:
     """``id, duplicate_of``: in time order, a title copies the earliest similar one that copies none itself.
 
-    Greedy, so order matters: similar pairs are resolved together per cluster
-    of times without a gap of a window, which no similarity can cross.
+    Settled in rounds over the pairs, however many titles hang together: a
+    title is an original once all earlier ones like it are copies, and a copy
+    once the earliest of those that aren't copies is known to be an original.
+    The earliest open title settles in each round, most in the first two.
     """
-    found = pairs(titles, threshold, seconds)
-    w = Window.partitionBy().orderBy("second")
-    seconds_seen = titles.select(F.unix_seconds(F.col("event_time").cast("timestamp")).alias("second")).where("second is not null").distinct()
-    gaps = seconds_seen.withColumn("new", (F.col("second") - F.lag("second", 1).over(w) > seconds).cast("int"))
-    clusters = gaps.select("second", F.coalesce(F.sum("new").over(w), F.lit(0)).alias("cluster"))
-    placed = found.join(clusters, F.unix_seconds("a") == F.col("second"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        copies: dict[int, int] = {}
-        for late, group in pdf.sort_values(["b", "late", "a", "early"]).groupby("late", sort=False):
-            for early in group["early"]:
-                if early not in copies:
-                    copies[late] = early
-                    break
-        return pd.DataFrame({"id": list(copies), "duplicate_of": list(copies.values())}, dtype="int64")
-
-    resolved = placed.groupBy("cluster").applyInPandas(greedy, "id long, duplicate_of long")
-    return titles.select("id").join(resolved, "id", "left")
+    at = lambda t, i: F.struct(F.col(t).alias("at"), F.col(i).alias("id"))
+    edges = shared.cut(pairs(titles, threshold, seconds).select("early", "late", at("a", "early").alias("order")))
+    settled = shared.cut(edges.select(F.col("early").alias("id")).distinct().join(edges.select(F.col("late").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(None).cast("long").alias("duplicate_of")))
+    open_edges = edges
+    while not open_edges.isEmpty():
+        known = open_edges.join(settled.select(F.col("id").alias("early"), F.col("duplicate_of").isNull().alias("original")), "early", "left")
+        seen = known.groupBy("late").agg(
+            F.min(F.when(F.col("original"), F.col("order"))).alias("first"), F.min(F.when(F.col("original").isNull(), F.col("order"))).alias("waits")
+        )
+        done = F.col("waits").isNull() | (F.col("first").isNotNull() & (F.col("first") < F.col("waits")))
+        fresh = shared.cut(seen.where(done).select(F.col("late").alias("id"), F.col("first.id").alias("duplicate_of")))
+        settled = shared.cut(settled.union(fresh))
+        open_edges = shared.cut(open_edges.join(fresh.select(F.col("id").alias("late")), "late", "left_anti"))
+    return titles.select("id").join(settled, "id", "left")
 
 
 def encode(batches: Iterator[pd.Series], dim: int = 64) -> Iterator[pd.Series]:

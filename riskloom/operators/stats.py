@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+from . import ordered
+
 
 def skew(value: str) -> Column:
     """Bias-corrected sample skewness; null for fewer than three values."""
@@ -29,9 +32,13 @@ def average_rank(rows: DataFrame, value: str, out: str, keys: Sequence[str] = ()
     """Ranks from 1, ties sharing their mean rank.
 
     Ranks come from counts of distinct values, so rows are aggregated before
-    the ordered window and a tie of any size is one row in it.
+    the ordered window and a tie of any size is one row in it. Without keys
+    the values are dealt by ranges, so no task sees all of them.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    if not keys:
+        ranked = ordered.running(shared.cut(counts), value, {"_before": "_c"})
+        return rows.join(ranked.select(value, (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(out)), value)
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = counts.select(*keys, value, (before + (F.col("_c") + 1) / 2.0).alias(out))
     return rows.join(ranks, [*keys, value])
@@ -55,9 +62,9 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
 def average_precision(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Sum of precision times recall gained at each distinct score, from the top."""
     by_score = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label)).alias("tp"), F.count("*").alias("n"))
-    down = Window.partitionBy().orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = by_score.select("tp", F.sum("tp").over(down).alias("ctp"), F.sum("n").over(down).alias("cn"))
-    return curve.agg(F.try_divide(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")), F.sum("tp")).alias("average_precision"))
+    curve = ordered.running(shared.cut(by_score), "s", {"ctp": "tp", "cn": "n"}, descending=True)
+    gained = F.col("tp") * (F.col("ctp") + F.col("tp")) / (F.col("cn") + F.col("n"))
+    return curve.agg(F.try_divide(F.sum(gained), F.sum("tp")).alias("average_precision"))
 
 
 def f1(predicted: Column, label: Column) -> Column:
@@ -92,8 +99,3 @@ def ols_hac(rows: DataFrame, y: str, x: str, order: str, lags: int = 6) -> DataF
         F.first("b").alias("slope"), F.first("a").alias("intercept"), (F.sqrt(total) / F.sum(F.col("d") * F.col("d"))).alias("slope_se"),
         F.regr_r2("y", "x").alias("r2"), F.count("*").alias("n"),
     )
-
-
-def percentile_of(value: Column, history: Column) -> Column:
-    """Share (percent) of the history at or below a value, as an aggregate."""
-    return F.avg(F.when(history <= value, 1.0).otherwise(0.0)) * 100.0

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """New rows replace old ones of the same key; columns that only one side has are null on the other."""
@@ -71,10 +73,19 @@ def gate(rows: DataFrame, *conditions: tuple[Column, str]) -> DataFrame:
 
 
 def systematic_sample(rows: DataFrame, order: Sequence[str], step: int, offset: int = 0) -> DataFrame:
-    """Every ``step``-th row of the order."""
+    """Every ``step``-th row of the order.
+
+    Rows are dealt by ranges of the first column of the order and numbered
+    within them; the rows of the ranges before are one number a range.
+    """
     if step < 1 or not 0 <= offset < step:
         raise ValueError("0 <= offset < step is needed")
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy().orderBy(*order)) - 1).where(F.col("_n") % step == offset).drop("_n")
+    number = ordered.range_of(ordered.numeric(rows, order[0]), ordered.bounds(rows, order[0]))
+    placed = rows.withColumn("_b", number)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = placed.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    at = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1 + F.col("_o")
+    return placed.join(F.broadcast(sizes), "_b").withColumn("_n", at).where(F.col("_n") % step == offset).drop("_n", "_b", "_o")
 
 
 def seeded_sample(rows: DataFrame, keys: Sequence[str], identifier: str, n: int, seed: int = 42) -> DataFrame:

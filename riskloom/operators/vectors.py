@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,13 @@ def prototypes(vectors: DataFrame, label: str, vector: str) -> DataFrame:
 def assign(vectors: DataFrame, protos: DataFrame, label: str, vector: str, identifier: str, threshold: float | None = None) -> DataFrame:
     """Similarity of each vector with each prototype; with a threshold, those at or above it.
 
-    Prototypes are a short list (one per label): up to ``COPIED`` of them are
-    copied to every task, more are left to Spark.
+    Prototypes (one per label) are copied to every task, ``COPIED`` at a time
+    where they are more.
     """
-    few = protos.limit(COPIED + 1).count() <= COPIED
-    out = vectors.select(identifier, vector).crossJoin(F.broadcast(protos) if few else protos).select(identifier, label, cosine(F.col(vector), F.col("prototype")).alias("similarity"))
-    return out if threshold is None else out.where(F.col("similarity") >= threshold)
+    blocks = 1 + protos.count() // COPIED
+    parts = []
+    for k in range(blocks):
+        part = protos if blocks == 1 else protos.where(F.pmod(F.xxhash64(label), F.lit(blocks)) == k)
+        out = vectors.select(identifier, vector).crossJoin(F.broadcast(part)).select(identifier, label, cosine(F.col(vector), F.col("prototype")).alias("similarity"))
+        parts.append(out if threshold is None else out.where(F.col("similarity") >= threshold))
+    return reduce(DataFrame.union, parts)

@@ -164,18 +164,20 @@ def near_dup_titles(spark, sf_dir):
     return similar_titles.resolve(rows)
 
 
-@query("WITH t AS (SELECT doc_id, regexp_replace(left(split_part(text, chr(10), 1), 60), '[^ -~]', '?', 'g') AS a FROM documents) SELECT x.doc_id AS early, y.doc_id AS late, levenshtein(x.a, y.a) AS distance FROM t x JOIN t y ON y.doc_id BETWEEN x.doc_id + 1 AND x.doc_id + 12 AND levenshtein(x.a, y.a) <= 6")
+@query("WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS a FROM documents) SELECT x.doc_id AS early, y.doc_id AS late, CASE WHEN x.a = y.a THEN 0 ELSE levenshtein(x.a, y.a) END AS distance FROM t x JOIN t y ON y.doc_id BETWEEN x.doc_id + 1 AND x.doc_id + 12 AND abs(strlen(x.a) - strlen(y.a)) <= 6 AND (x.a = y.a OR levenshtein(x.a, y.a) <= 6)")
 def near_title_distance(spark, sf_dir):
-    t = docs(spark, sf_dir).select("doc_id", F.regexp_replace(F.left(F.get(F.split("text", "\n"), F.lit(0)), F.lit(60)), "[^ -~]", "?").alias("a"))
+    """Whole first lines among the 12 that follow, at most six edits of their UTF-8 bytes apart."""
+    line = F.decode(F.encode(F.get(F.split("text", "\n"), F.lit(0)), "UTF-8"), "ISO-8859-1")  # one character a byte
+    t = docs(spark, sf_dir).select("doc_id", line.alias("a"))
     late = t.select(F.col("doc_id").alias("late"), F.col("a").alias("b"), F.explode(F.sequence(F.col("doc_id") - 12, F.col("doc_id") - 1)).alias("doc_id"))
     return t.join(late, "doc_id").select(F.col("doc_id").alias("early"), "late", F.levenshtein("a", "b", 6).alias("distance")).where("distance >= 0").select("early", "late", F.col("distance").cast("long"))
 
 
 @query("SELECT doc_id, contains(lower(d.text), lower(b.text)) AS verbatim, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def verbatim_items(spark, sf_dir):
-    """Items that stand verbatim in documents: their first and last words are looked up, then the whole is tested."""
+    """Items that stand verbatim in documents."""
+    from ..operators import joins
+
     items = A.table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("item"))
-    key = F.get(F.split("item", r"\s+"), F.lit(1))
-    words = docs(spark, sf_dir).select("doc_id", F.lower("text").alias("body"))
-    tokens = words.select("doc_id", "body", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("w"))
-    return tokens.join(items.withColumn("w", key), "w").where(F.contains("body", "item")).select("doc_id", F.lit(True).alias("verbatim"), "item_id")
+    found = joins.containing(docs(spark, sf_dir).select("doc_id", F.lower("text").alias("body")), items, "body", "item")
+    return found.select("doc_id", F.lit(True).alias("verbatim"), "item_id")

@@ -49,7 +49,7 @@ def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         newest = max(newest, at)
         held = [h for h in held if at - h[1] <= similar_titles.SECONDS]
         text = row.title.strip().lower()
-        copy = next((h[0] for h in held if similar_titles.ratio(pd.Series([h[2]]), pd.Series([text]))[0] >= similar_titles.THRESHOLD), None)
+        copy = next((h[0] for h in held if similar_titles.alike(h[2], text)), None)
         if copy is None:
             held.append((row.id, at, text))
         out.append((row.id, copy))
@@ -61,7 +61,11 @@ def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 
 
 def similar_within(entries: DataFrame, key: str, delay: str = "2 hours") -> DataFrame:
-    """``id, duplicate_of`` as titles arrive, compared within a key over the last window; older titles leave the state."""
+    """``id, duplicate_of`` as titles arrive, compared within a key over the last window; older titles leave the state.
+
+    A constant key compares across all sources, as one state; a key such as a
+    topic or language spreads the work and compares within it.
+    """
     return (
         entries.withWatermark("event_time", delay)
         .select(key, "id", "title", "event_time")
