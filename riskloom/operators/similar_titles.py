@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,26 +30,26 @@ def alike(a: str, b: str, threshold: float = THRESHOLD) -> bool:
 
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block similarity of two trimmed, lower-case titles."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
 def pairs(titles: DataFrame, threshold: float = THRESHOLD, seconds: int = SECONDS) -> DataFrame:
     """``early, late, ratio`` of similar titles within the window.
 
     Times are filed in cells of one window, so only neighbouring cells meet
-    in an equi-join; the length bound 2*min/(sum), which no ratio exceeds,
-    drops most pairs before the similarity (vectorised Python) is taken.
+    in an equi-join; bounds by length and letters, which no ratio exceeds,
+    drop most pairs before the similarity is taken in Python.
     """
     rows = titles.select("id", F.lower(F.trim("title")).alias("t"), F.col("event_time").cast("timestamp").alias("at")).where("t <> ''")
-    rows = rows.withColumn("cell", F.floor(F.unix_seconds("at") / seconds))
-    late = rows.select(F.col("id").alias("late"), F.col("t").alias("tb"), F.col("at").alias("b"), F.explode(F.array(F.col("cell") - 1, F.col("cell"))).alias("cell"))
-    early = rows.select(F.col("id").alias("early"), F.col("t").alias("ta"), F.col("at").alias("a"), "cell")
+    rows = rows.withColumns({"cell": F.floor(F.unix_seconds("at") / seconds), "n": F.length("t")} | {f"c{i}": count("t", c) for i, c in enumerate([*LETTERS, None])})
+    names = ["n", *[f"c{i}" for i in range(len(LETTERS) + 1)]]
+    late = rows.select(F.col("id").alias("late"), F.col("t").alias("tb"), F.col("at").alias("b"), F.explode(F.array(F.col("cell") - 1, F.col("cell"))).alias("cell"), *[F.col(c).alias(f"{c}b") for c in names])
+    early = rows.select(F.col("id").alias("early"), F.col("t").alias("ta"), F.col("at").alias("a"), "cell", *[F.col(c).alias(f"{c}a") for c in names])
     before = F.struct("a", "early") < F.struct("b", "late")
-    bound = 2.0 * F.least(F.length("ta"), F.length("tb")) / (F.length("ta") + F.length("tb"))
-    near = early.join(late, "cell").where(before & (F.unix_seconds("b") - F.unix_seconds("a") <= seconds) & (bound >= threshold))
-    # The letters that two titles share bound their match as well: counted here, so that Python sees few pairs.
-    common_letters = sum((F.least(count("ta", c), count("tb", c)) for c in LETTERS), F.least(count("ta"), count("tb")))
-    near = near.where(2.0 * common_letters / (F.length("ta") + F.length("tb")) >= threshold)
+    both = F.col("na") + F.col("nb")
+    # The letters that two titles share bound their match: counted per title, so that Python sees few pairs.
+    shared_letters = reduce(lambda x, y: x + y, [F.least(F.col(f"{c}a"), F.col(f"{c}b")) for c in names[1:]])
+    near = early.join(late, "cell").where(before & (F.unix_seconds("b") - F.unix_seconds("a") <= seconds) & (2.0 * F.least("na", "nb") / both >= threshold) & (2.0 * shared_letters / both >= threshold))
     measured = near.withColumn("ratio", F.pandas_udf(ratio, "double")("ta", "tb"))
     return measured.where(F.col("ratio") >= threshold).select("early", "late", "a", "b", "ratio")
 
