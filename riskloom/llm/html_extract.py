@@ -6,7 +6,7 @@ same number of times: their occurrence vectors over the host's pages are
 equal. Tokens with equal vectors form a class; a class is valid if it is
 frequent (in at least ``SUPPORT`` of the host's pages) and large (``LARGE``
 tokens or more), and a valid token is nested if the element that holds it is
-valid too. Nested valid tokens are the template, what stands between them are
+valid too, or else if it is in the class of the nearest valid element around. Nested valid tokens are the template, what stands between them are
 slots, and the slots of the article are the page's text.
 
 A vector is never held: per token, the number of pages and the XOR of the
@@ -212,22 +212,34 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def nested(tokens: list[int], holders: list[int]) -> list[int]:
-    """The tokens whose holders are all among the tokens, up to the page itself."""
-    held = dict(zip(tokens, holders))
+def nested(tokens: list[int], holders: list[int], large: list[bool], classes: list[int]) -> list[int]:
+    """The valid tokens, of all frequent ones, that are nested up to the page itself.
+
+    A token is nested in the element that holds it if that is valid. If it
+    isn't (an element that pages repeat as often as they like, as paragraphs),
+    the token must be in the class of the nearest valid element around it.
+    """
+    held, valid, class_of = dict(zip(tokens, holders)), {t for t, ok in zip(tokens, large) if ok}, dict(zip(tokens, classes))
     good = {0: True}
 
-    def valid(t: int) -> bool:
+    def outer(t: int) -> int | None:
+        """The nearest valid element around a token that nests it, 0 for the page, None for neither."""
+        h = held[t]
+        if h == 0 or h in valid:
+            return h
+        while h in held and h not in valid:
+            h = held[h]
+        return h if h in valid and class_of[h] == class_of[t] else None
+
+    for t in valid:
         chain = []
-        while t not in good and t in held:
+        while t is not None and t not in good:
             chain.append(t)
-            t = held[t]
-        found = good.get(t, False)
+            t = outer(t)
+        found = t is not None and good[t]
         for c in chain:
             good[c] = found
-        return found
-
-    return sorted(t for t in held if valid(t))
+    return sorted(t for t in valid if good[t])
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -240,14 +252,14 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = frequent.groupBy("host", "pages", "vector").agg(F.count("*").alias("size"))
     # Tokens in half of a host's pages: at most twice the tokens of a page, so the lists are bounded.
     chosen = frequent.join(classes, ["host", "pages", "vector"]).groupBy("host").agg(
-        F.collect_list("token").alias("tokens"), F.collect_list("holder").alias("holders"), F.collect_list(F.col("size") >= LARGE).alias("large")
+        *[F.collect_list(c).alias(n) for n, c in (("tokens", F.col("token")), ("holders", F.col("holder")), ("large", F.col("size") >= LARGE), ("classes", F.xxhash64("pages", "vector")))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, others = [], []
-            for t, h, large in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                kept.append(nested([x for x, ok in zip(t, large) if ok], [x for x, ok in zip(h, large) if ok]))
+            for t, *rest in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                kept.append(nested(t, *rest))
                 others.append(sorted(set(t) - set(kept[-1])))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (kept, others)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["host", "template", "others"])
