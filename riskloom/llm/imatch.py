@@ -55,25 +55,22 @@ def term_hash(word: str) -> int:
 
 
 class Hasher:
-    """64-bit hashes of words, remembered for frequent ones; 0 for words outside a lexicon (sorted hashes), where there is one."""
+    """64-bit hashes of words, remembered for frequent ones, and those of a lexicon (sorted hashes), where there is one."""
 
     def __init__(self, lexicon: np.ndarray | None = None) -> None:
         self.lexicon = lexicon
-        self.known = common.BoundedCache(self._made, 200_000)
-
-    def _made(self, word: str) -> int:
-        h = term_hash(word)
-        if self.lexicon is not None:
-            at = int(np.searchsorted(self.lexicon, np.uint64(h)))
-            if at == len(self.lexicon) or int(self.lexicon[at]) != h:
-                return 0
-        return h
+        self.known = common.BoundedCache(term_hash, 200_000)
 
     def terms(self, text: str) -> np.ndarray:
         """Sorted distinct term hashes of a text, of those in the lexicon."""
         known = self.known
         found = np.unique(np.array([known[w] for w in set(words_of(text))], np.uint64))
-        return found[1:] if len(found) and not found[0] else found
+        if self.lexicon is None or not len(found):
+            return found
+        if not len(self.lexicon):
+            return found[:0]
+        at = self.lexicon.searchsorted(found)
+        return found[self.lexicon.take(at, mode="clip") == found]
 
     def fingerprint(self, text: str) -> np.ndarray:
         """The hashes of all subsets, over all terms if none is in the lexicon."""
