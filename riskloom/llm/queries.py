@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, cross_align, decontaminate, html_extract, imatch, langid, records, secret_scan, simhash, toxicity
+from . import (
+    backtrack_bpe,
+    byte_bpe,
+    chat_format,
+    cross_align,
+    decontaminate,
+    html_extract,
+    imatch,
+    langid,
+    periodic,
+    records,
+    secret_scan,
+    simhash,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -20,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": html_extract.query,
     "op10_secret_scan": secret_scan.query,
     "op11_align": cross_align.query,
+    "op12_periodic": periodic.query,
+    "op13_backtrack_bpe": backtrack_bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat_format.SQL}
