@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .records import APART, CLOSING, PARTS, PLAIN, byte_letters
+from .records import APART, CLOSING, PARTS, PLAIN, byte_letters, known_split
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Distinct chunks, words and pairs remembered by one worker.
@@ -54,9 +54,6 @@ CACHE = 200_000
 END = "\0"
 SUFFIX = "</w>"
 NEVER = 1 << 60
-#: The split pattern and normalizers (fixed values) for which chunks of plain Latin text are split without the library.
-KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-KNOWN_FORMS = ["NFC", "Replace", "Lowercase"]
 
 
 class Vocabulary:
@@ -139,7 +136,7 @@ class Backtracker:
         self.special = {t["content"]: t["id"] for t in special}
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if special else None
         self.by_space = self._by_space()
-        self.known = self._known(file)
+        self.known = known_split(file)
         self.letters = byte_letters()
         spelt = {**vocabulary.spelt, **{i: t for t, i in self.special.items()}}
         # The offset table: entry i of the buffer is token i and a space.
@@ -161,15 +158,6 @@ class Backtracker:
         """Whether chunks between spaces can be encoded apart."""
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str("a b  c")] == ["a", "b", "c"]
 
-    @staticmethod
-    def _known(file: dict) -> bool:
-        try:
-            split, levels = file["pre_tokenizer"]["pretokenizers"]
-            forms = [n["type"] for n in file["normalizer"]["normalizers"]]
-            return split["pattern"]["Regex"] == KNOWN_SPLIT and levels["type"] == "ByteLevel" and not levels["use_regex"] and forms == KNOWN_FORMS
-        except (KeyError, TypeError, ValueError):
-            return False
-
     def tokens_of(self, word: str) -> list[int]:
         """Ids of a word in byte-level letters."""
         text = word + END

@@ -17,10 +17,12 @@ files of the attempts that succeeded make the manifest, so a lost executor or
 a speculative twin leaves an unlisted file at most. Files close at
 ``FILE_BYTES``, which bounds what a reader holds.
 
-Tokenization is that of the library's tokenizer file. Text is encoded by
-space-delimited chunks, each distinct chunk once (white space is dropped by
-this tokenizer, so no token spans it); chunks of plain Latin letters take the
-model of the library directly, everything else its whole pipeline.
+Tokenization is that of the library's tokenizer file; strings of its special
+tokens in texts become their ids, as the library has it. With the known
+normalizer and split pattern text is encoded by space-delimited chunks, each
+distinct chunk once (white space is dropped, so no token spans it); chunks of
+plain Latin letters take the model of the library directly, everything else
+its whole pipeline. Any other tokenizer file encodes whole texts.
 
 Contract: one row per input row. A null text is the empty text (its only id is
 the end id). Null doc_ids sort first. Repeated rows are repeated records.
@@ -28,6 +30,7 @@ the end id). Null doc_ids sort first. Repeated rows are repeated records.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -141,6 +144,20 @@ PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]+")
 APART = re.compile(r"[_²³¹¼½¾]|<\|")
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[^\w\s]+")
 CLOSING = frozenset(",.;:!?")
+#: The split pattern and normalizers (fixed values) for which chunks may be encoded apart.
+KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+KNOWN_FORMS = ["NFC", "Replace", "Lowercase"]
+
+
+def known_split(file: dict) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space and splits by the known pattern, with plain special tokens."""
+    try:
+        split, levels = file["pre_tokenizer"]["pretokenizers"]
+        forms = [n["type"] for n in file["normalizer"]["normalizers"]]
+        plain = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"])
+        return plain and split["pattern"]["Regex"] == KNOWN_SPLIT and levels["type"] == "ByteLevel" and not levels["use_regex"] and forms == KNOWN_FORMS
+    except (KeyError, TypeError, ValueError):
+        return False
 
 
 def byte_letters() -> dict[int, str]:
@@ -158,7 +175,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.known = known_split(json.loads(spec))
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
@@ -186,7 +203,7 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned integers of 16 or (``wide``) 32 bits."""
-        if "<|" in text:
+        if not self.known or "<|" in text:
             return self._whole(text)
         if text.isascii():
             text = text.lower()

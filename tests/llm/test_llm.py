@@ -243,7 +243,6 @@ def test_records_round_trip(spark, edge, tmp_path):
     manifest = records.write(edge, path, folder)
     got = [tuple(r) for r in records.read(spark, folder, manifest).orderBy("start").collect()]
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     want, start = [], 0
     rows = sorted(edge.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     for r in rows:
@@ -269,7 +268,6 @@ def test_damage_is_seen():
 def test_chunk_encoder_equals_library():
     path = P.path("word_bpe_49k.json")
     own, library = records.ChunkEncoder(common.read_bytes(path)), Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rng = random.Random(8)
     pool = list("abXY é É ß İΣſ²½Ⅷ_ '\"<>|.,!?\t\n\r\x1c\u0085中🙂0129ª") + ["'ll", "'S", "<|endoftext|>", "of,"]
     for _ in range(1500):
