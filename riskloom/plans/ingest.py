@@ -73,8 +73,8 @@ def rss_entries(spark, sf_dir):
     return found.select("link", "source_code", "tier", "confidence", F.array_join("matched_keywords", ",").alias("keywords"), "title", "description", F.unix_seconds("published").alias("at"), F.col("published_raw").alias("raw"))
 
 
-@query(f"""WITH f AS (SELECT upper(event_type) AS code, event_id // {FETCH} AS fetch, count(*) AS fetched, count(*) FILTER (WHERE event_id % 11 <> 0) AS seen FROM events GROUP BY 1, 2)
-SELECT code AS source_code, count(*) AS fetches, CAST(sum(fetched) AS BIGINT) AS fetched, CAST(sum(seen) AS BIGINT) AS seen, count(*) FILTER (WHERE fetch % 3 <> 0) AS fallbacks, CAST(sum(CASE WHEN fetch % 3 = 0 THEN 1 ELSE 2 END) AS BIGINT) AS attempts, 0 AS failed FROM f GROUP BY 1""")
+@query(f"""WITH f AS (SELECT upper(event_type) AS code, event_id // {FETCH} AS part, count(*) AS fetched, count(*) FILTER (WHERE event_id % 11 <> 0) AS seen FROM events GROUP BY 1, 2)
+SELECT code AS source_code, count(*) AS fetches, CAST(sum(fetched) AS BIGINT) AS fetched, CAST(sum(seen) AS BIGINT) AS seen, count(*) FILTER (WHERE part % 3 <> 0) AS fallbacks, CAST(sum(CASE WHEN part % 3 = 0 THEN 1 ELSE 2 END) AS BIGINT) AS attempts, 0 AS failed FROM f GROUP BY 1""")
 def rss_status(spark, sf_dir):
     """Per feed: fetches, entries, valid entries, answers by the second address, attempts, and fetches without entries."""
     root = shared.run_folder(spark, "feeds")
