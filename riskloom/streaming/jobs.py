@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import similar_titles, tables
+from ..sources import readers
 
 
 def first_links(entries: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -49,7 +51,7 @@ def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         newest = max(newest, at)
         held = [h for h in held if at - h[1] <= similar_titles.SECONDS]
         text = row.title.strip().lower()
-        copy = next((h[0] for h in held if similar_titles.alike(h[2], text)), None)
+        copy = next((h[0] for h in held if similar_titles.alike(text, h[2])), None)
         if copy is None:
             held.append((row.id, at, text))
         out.append((row.id, copy))
@@ -74,6 +76,88 @@ def similar_within(entries: DataFrame, key: str, delay: str = "2 hours") -> Data
     )
 
 
+class Pairs(StatefulProcessor):
+    """Titles of one index key, held for a window: each that arrives is paired with those like it.
+
+    Two titles share many keys; only the first that both have makes the pair.
+    A title's first key alone also says that it came.
+    """
+
+    def __init__(self, threshold: float, seconds: int) -> None:
+        self.threshold, self.seconds = threshold, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("titles", "id long", "at double, title string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = {i[0]: tuple(v) for i, v in self.held.iterator()}
+        out = []
+        arrived = pd.concat(list(rows)).sort_values(["at", "id"])
+        for row in arrived.itertuples():
+            mine = similar_titles.keys(row.t, self.threshold)
+            if mine[0] == key[0]:
+                out.append((row.id, row.at, None, None))
+            for i, (at, t) in held.items():
+                if i != row.id and abs(row.at - at) <= self.seconds and next(k for k in mine if k in set(similar_titles.keys(t, self.threshold))) == key[0]:
+                    if similar_titles.alike(row.t, t, self.threshold):
+                        out.append((row.id, row.at, i, at))
+            if row.id not in held:
+                held[row.id] = row.at, row.t
+                self.held.updateValue((row.id,), (row.at, row.t))
+                self.handle.registerTimer(int((row.at + self.seconds) * 1000) + 1)
+        yield pd.DataFrame(out, columns=["id", "at", "early", "early_at"]).astype({"id": "int64", "at": "float64", "early": "Int64", "early_at": "float64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        gone = [i for i, v in self.held.iterator() if int((v[0] + self.seconds) * 1000) + 1 <= expiredTimerInfo.getExpiryTimeInMs()]
+        for i in gone:
+            self.held.removeKey(i)
+        yield pd.DataFrame({"id": pd.Series(dtype="int64"), "at": pd.Series(dtype="float64"), "early": pd.Series(dtype="Int64"), "early_at": pd.Series(dtype="float64")})
+
+    def close(self) -> None:
+        """Nothing is open."""
+
+
+def similar_pairs(entries: DataFrame, delay: str = "2 hours", threshold: float = similar_titles.THRESHOLD, seconds: int = similar_titles.SECONDS) -> DataFrame:
+    """``id, at, early, early_at``: every title once with null ends, and once per held title that it is like, across all sources.
+
+    Titles are routed by their index keys, so the work of a window is spread
+    over as many groups as there are keys. Needs the RocksDB state store.
+    """
+    rows = entries.withWatermark("event_time", delay).select("id", similar_titles.clean(F.col("title")).alias("t"), (F.unix_micros("event_time") / 1e6).alias("at"), "event_time").where("t <> '' AND at IS NOT NULL")
+    keyed = rows.withColumn("key", F.explode(similar_titles._keys_of(threshold)("t")))
+    return keyed.groupBy("key").transformWithStateInPandas(Pairs(threshold, seconds), "id long, at double, early long, early_at double", "Append", "EventTime")
+
+
+def claim_titles(path: str):
+    """A ``foreachBatch`` sink of ``similar_pairs``: decisions ``id, duplicate_of, at`` in ``path``, one folder a batch.
+
+    A title copies the earliest similar original, those of earlier batches
+    included, whose decisions stand. A batch that runs again writes the same.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.persist()
+        new = rows.where("early IS NULL").select("id", "at").dropDuplicates(["id"])
+        seen = rows.where("early IS NOT NULL").select(F.col("id").alias("late"), "at", "early", "early_at").dropDuplicates(["late", "early"])
+        fresh = new.select(F.col("id").alias("early"), F.lit(True).alias("new"))
+        marked = seen.join(fresh, "early", "left")
+        # Among titles of this batch the earlier one decides; one of an earlier batch always does.
+        forward = F.col("new").isNull() | (F.struct("early_at", "early") < F.struct(F.col("at"), F.col("late")))
+        edges = marked.select(F.when(forward, F.col("late")).otherwise(F.col("early")).alias("late"), F.when(forward, F.col("early")).otherwise(F.col("late")).alias("early"), F.when(forward, F.col("early_at")).otherwise(F.col("at")).alias("at")).distinct()
+        old = spark.createDataFrame([], "id long, duplicate_of long, at double")
+        if number and readers.first_existing(spark, [path]):
+            old = spark.read.schema("id long, duplicate_of long, at double, batch long").parquet(path).where(F.col("batch") < number).drop("batch")
+        known = old.join(edges.select(F.col("early").alias("id")).distinct(), "id", "left_semi").select("id", "duplicate_of")
+        settled = similar_titles.settle(edges, known)
+        decided = new.join(settled, "id", "left").select("id", "duplicate_of", "at")
+        decided.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows.unpersist()
+
+    return write
+
+
 def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "append") -> None:
     """Process what there is, batch by batch, and stop: the scheduled form of a stream."""
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
