@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,3 +103,77 @@ def ols_hac(rows: DataFrame, y: str, x: str, order: str, lags: int = 6) -> DataF
         F.first("b").alias("slope"), F.first("a").alias("intercept"), (F.sqrt(total) / F.sum(F.col("d") * F.col("d"))).alias("slope_se"),
         F.regr_r2("y", "x").alias("r2"), F.count("*").alias("n"),
     )
+
+
+TERMS = "array<struct<term: string, coef: double, se: double, z: double, p: double, low: double, high: double>>"
+NORMAL_95 = 1.959963984540054
+
+
+def _solved(normal: pd.Series, moments: pd.Series) -> pd.DataFrame:
+    """Coefficients and inverse of the normal equations of each row (k x k; nulls where they are singular)."""
+    out = []
+    for a, b in zip(normal, moments):
+        k = len(b)
+        matrix = np.array(a, float).reshape(k, k)
+        if not np.isfinite(matrix).all() or np.linalg.matrix_rank(matrix) < k:
+            out.append((None, None))
+            continue
+        inverse = np.linalg.inv(matrix)
+        out.append(((inverse @ np.array(b, float)).tolist(), inverse.ravel().tolist()))
+    return pd.DataFrame(out, columns=["beta", "inverse"])
+
+
+def _described(names: Sequence[str]):
+    @F.pandas_udf(TERMS)
+    def terms(beta: pd.Series, inverse: pd.Series, gamma: pd.Series, lagged: pd.Series) -> pd.Series:
+        out = []
+        for b, i, g, w in zip(beta, inverse, gamma, lagged):
+            if b is None:
+                out.append([{"term": n} for n in names])
+                continue
+            k = len(b)
+            i, g, w = (np.array(x, float).reshape(k, k) for x in (i, g, w))
+            errors = np.sqrt(np.maximum(np.diag(i @ (g + w + w.T) @ i), 0))
+            rows = []
+            for name, c, e in zip(names, b, errors):
+                z = c / e if e else None
+                rows.append({"term": name, "coef": c, "se": e, "z": z, "p": None if z is None else math.erfc(abs(z) / math.sqrt(2)), "low": c - NORMAL_95 * e, "high": c + NORMAL_95 * e})
+            out.append(rows)
+        return pd.Series(out)
+
+    return terms
+
+
+def ols(rows: DataFrame, y: str, xs: Sequence[str], order: str, lags: int = 6) -> DataFrame:
+    """Least squares on a constant and ``xs``, with Newey-West errors: ``term, coef, se, z, p, low, high, r2, adj_r2, dw, n``.
+
+    Rows with all values, one per value of ``order`` (numbers, dates or
+    times). The normal equations and the lagged outer products of the scores
+    are sums over all rows; rows get their position by ranges and meet those
+    before them by an equi-join on it, so no task sees the whole series. Only
+    k x k matrices are solved in Python. Terms of a singular system are null.
+    """
+    names = ["const", *xs]
+    k = len(names)
+    x = [f"_x{i}" for i in range(k)]
+    known = rows.select(F.col(order).alias("_t"), F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("_x0"), *[F.col(c).cast("double").alias(f"_x{i + 1}") for i, c in enumerate(xs)])
+    known = shared.cut(known.na.drop())
+    cells = lambda left, right: F.array(*[F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0)) for a in left for b in right])
+    sums = known.agg(cells(x, x).alias("normal"), cells(x, ["_y"]).alias("moments"), F.count("*").alias("n"), F.var_pop("_y").alias("_v"))
+    solved = F.pandas_udf(_solved, "struct<beta: array<double>, inverse: array<double>>")
+    fit = sums.withColumn("fit", solved("normal", "moments")).select("n", "_v", "fit.*")
+    fitted = known.crossJoin(F.broadcast(fit.select("beta")))  # one row on the right
+    residual = F.col("_y") - reduce(lambda a, b: a + b, [F.col(c) * F.get("beta", F.lit(i)) for i, c in enumerate(x)])
+    scores = fitted.withColumn("_e", residual).select("_t", "_e", F.lit(1).alias("_one"), *[(F.col(c) * F.col("_e")).alias(f"_u{i}") for i, c in enumerate(x)])
+    u = [f"_u{i}" for i in range(k)]
+    placed = shared.cut(ordered.running(scores, "_t", {"_at": "_one"}))
+    before = placed.select(F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + lags)).alias("_to"), F.col("_at").alias("_from"), F.col("_e").alias("_eb"), *[F.col(c).alias(f"{c}b") for c in u])
+    joined = placed.join(before, F.col("_at") == F.col("_to"))
+    weighted = joined.withColumn("_w", 1 - (F.col("_at") - F.col("_from")) / (lags + 1.0))
+    with_weights = weighted.agg(F.array(*[F.coalesce(F.sum(F.col("_w") * F.col(a) * F.col(f"{b}b")), F.lit(0.0)) for a in u for b in u]).alias("lagged"), F.sum(F.when(F.col("_at") - F.col("_from") == 1, (F.col("_e") - F.col("_eb")) ** 2)).alias("_dd"))
+    now = placed.agg(cells(u, u).alias("gamma"), F.sum(F.col("_e") ** 2).alias("_ss"))
+    one = fit.crossJoin(now).crossJoin(with_weights)  # one row each
+    r2 = 1 - F.try_divide(F.col("_ss"), F.col("_v") * F.col("n"))
+    adjusted = 1 - (1 - F.col("r2")) * F.try_divide(F.col("n") - 1, F.col("n") - k)
+    told = one.withColumn("r2", r2).withColumns({"adj_r2": adjusted, "dw": F.try_divide(F.col("_dd"), F.col("_ss")), "t": _described(names)("beta", "inverse", "gamma", "lagged")})
+    return told.select(F.explode("t").alias("t"), "r2", "adj_r2", "dw", "n").select("t.*", "r2", "adj_r2", "dw", "n")

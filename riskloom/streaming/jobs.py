@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import similar_titles, tables
-from ..sources import readers
+from ..operators import rollup, scoring, similar_titles, tables, timeseries
+from ..sources import readers, shared, versions
 
 
 def first_links(entries: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -76,6 +76,56 @@ def similar_within(entries: DataFrame, key: str, delay: str = "2 hours") -> Data
     )
 
 
+def refresh_index(path: str, base: tuple[str, str], product: str, cut: str | None = None, least: int = 7):
+    """A ``foreachBatch`` sink that keeps articles, day sums and the index of all days, under ``path``.
+
+    Per batch: articles that are new (the first of an id stays) are kept by
+    batch and day; the days they touch, late ones included, are scored again
+    from all their articles; the other days come in as sums; and the whole
+    series is normalised, since one day alone would always be at its own mean.
+    With fewer than ``least`` days since ``product`` (or all of them, while
+    there are fewer) the sums are kept and the index waits. Index and sums are
+    one version, switched to once per batch: a batch that runs again after its
+    switch changes nothing, before it writes the same.
+    """
+    held, series = f"{path}/articles", f"{path}/series"
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        last = versions.current(spark, series)
+        if number <= last:
+            return
+        first = tables.dedup(batch.where("id IS NOT NULL AND day IS NOT NULL"), ["id"], [F.asc("event_time")])
+        touched = first.select("day").distinct()
+        kept = None
+        if last >= 0 and readers.first_existing(spark, [held]):
+            # Partition pruning by batch and day: only articles of touched days are read.
+            kept = spark.read.option("mergeSchema", "true").parquet(held).where(F.col("batch") < number).join(F.broadcast(touched), "day", "left_semi").drop("batch")
+            first = first.join(kept.select("id"), "id", "left_anti")
+        first.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(held)
+        stored = spark.read.parquet(held).where(F.col("batch") == number).drop("batch")
+        rows = stored if kept is None else stored.unionByName(kept, allowMissingColumns=True).join(F.broadcast(stored.select("day").distinct()), "day", "left_semi")
+        fresh = rollup.daily(scoring.score_articles(rows))
+        if last >= 0:
+            before = spark.read.parquet(versions.folder(series, last)).select(*fresh.columns)
+            fresh = tables.replace_days(before, fresh)
+        days = rollup.ensure_ratios(shared.cut(fresh))
+        start = F.lit(product).cast("date")
+        since = days.agg(F.count_if(F.col("day") >= start).alias("n"), F.greatest(F.lit(0), F.date_diff(F.max("day"), start) + 1).alias("most")).first()
+        ready = since["n"] > 0 and since["n"] >= min(least, since["most"])
+        index = timeseries.index_series(days, *base, cut=cut)
+        names = [c for c in index.columns if c not in days.columns]
+        out = index if ready else days.withColumns({c: F.lit(None).cast("double") for c in names})
+        versions.write(out.withColumn("ready", F.lit(ready)), series, number)
+
+    return write
+
+
+def current_index(spark, path: str) -> DataFrame:
+    """The series that the last finished batch of ``refresh_index`` left."""
+    return versions.read(spark, f"{path}/series")
+
+
 class Pairs(StatefulProcessor):
     """Titles of one index key, held for a window: each that arrives is paired with those like it.
 
