@@ -148,3 +148,116 @@ CENTRES = {
 }
 # Seconds between two fetches of the feeds of a tier.
 FEED_SECONDS = {1: 420, 2: 720}
+
+# Countries (FIPS 10-4 codes) with the words that mention them: (code, name, latitude, longitude, words).
+COUNTRIES = (
+    ("IN", "India", 20.0, 77.0, ("india", "indian")),
+    ("PK", "Pakistan", 30.0, 70.0, ("pakistan", "pakistani")),
+    ("BG", "Bangladesh", 23.7, 90.4, ("bangladesh", "bangladeshi")),
+    ("CE", "Sri Lanka", 7.0, 81.0, ("sri lanka", "sri lankan")),
+    ("NP", "Nepal", 28.0, 84.0, ("nepal", "nepali")),
+    ("BM", "Myanmar", 17.0, 96.0, ("myanmar",)),
+    ("AF", "Afghanistan", 33.0, 65.0, ("afghanistan", "afghan")),
+    ("MV", "Maldives", 3.2, 73.2, ("maldives",)),
+    ("BT", "Bhutan", 27.5, 90.5, ("bhutan",)),
+    ("CH", "China", 35.0, 105.0, ("china", "chinese")),
+    ("JA", "Japan", 36.0, 138.0, ("japan", "japanese")),
+    ("TW", "Taiwan", 23.5, 121.0, ("taiwan",)),
+    ("KS", "South Korea", 37.0, 128.0, ("south korea",)),
+    ("KN", "North Korea", 40.0, 127.0, ("north korea",)),
+    ("VM", "Vietnam", 16.0, 108.0, ("vietnam",)),
+    ("ID", "Indonesia", -5.0, 120.0, ("indonesia",)),
+    ("MY", "Malaysia", 2.5, 112.5, ("malaysia",)),
+    ("RP", "Philippines", 13.0, 122.0, ("philippines",)),
+    ("TH", "Thailand", 15.0, 100.0, ("thailand",)),
+    ("SN", "Singapore", 1.4, 103.8, ("singapore",)),
+    ("IR", "Iran", 32.0, 53.0, ("iran", "iranian")),
+    ("IZ", "Iraq", 33.0, 44.0, ("iraq",)),
+    ("IS", "Israel", 31.5, 34.8, ("israel", "israeli")),
+    ("SA", "Saudi Arabia", 24.0, 45.0, ("saudi arabia", "saudi")),
+    ("TU", "Turkey", 39.0, 35.0, ("turkey", "turkish")),
+    ("AE", "United Arab Emirates", 24.0, 54.0, ("uae", "united arab emirates")),
+    ("QA", "Qatar", 25.3, 51.5, ("qatar",)),
+    ("KU", "Kuwait", 29.5, 47.8, ("kuwait",)),
+    ("JO", "Jordan", 31.0, 36.0, ("jordan",)),
+    ("MU", "Oman", 21.0, 57.0, ("oman",)),
+    ("YM", "Yemen", 15.5, 48.0, ("yemen",)),
+    ("SY", "Syria", 35.0, 38.0, ("syria",)),
+    ("LE", "Lebanon", 33.9, 35.5, ("lebanon",)),
+    ("WE", "West Bank", 32.0, 35.3, ("palestine",)),
+    ("GZ", "Gaza Strip", 31.4, 34.4, ("gaza",)),
+    ("AJ", "Azerbaijan", 40.5, 47.5, ("azerbaijan",)),
+    ("AM", "Armenia", 40.0, 45.0, ("armenia",)),
+    ("RS", "Russia", 60.0, 100.0, ("russia", "russian")),
+    ("UP", "Ukraine", 49.0, 32.0, ("ukraine", "ukrainian")),
+    ("UK", "United Kingdom", 54.0, -2.0, ("united kingdom", "britain", "british", "england")),
+    ("FR", "France", 46.0, 2.0, ("france", "french")),
+    ("GM", "Germany", 51.0, 10.0, ("germany", "german")),
+    ("IT", "Italy", 42.8, 12.8, ("italy",)),
+    ("SP", "Spain", 40.0, -4.0, ("spain",)),
+    ("PL", "Poland", 52.0, 20.0, ("poland",)),
+    ("SW", "Sweden", 62.0, 15.0, ("sweden",)),
+    ("NO", "Norway", 62.0, 10.0, ("norway",)),
+    ("FI", "Finland", 64.0, 26.0, ("finland",)),
+    ("GR", "Greece", 39.0, 22.0, ("greece",)),
+    ("NL", "Netherlands", 52.5, 5.8, ("netherlands",)),
+    ("SZ", "Switzerland", 47.0, 8.0, ("switzerland",)),
+    ("AU", "Austria", 47.5, 14.6, ("austria",)),
+    ("EZ", "Czech Republic", 49.8, 15.5, ("czech",)),
+    ("HU", "Hungary", 47.0, 19.5, ("hungary",)),
+    ("RO", "Romania", 46.0, 25.0, ("romania",)),
+    ("RI", "Serbia", 44.0, 21.0, ("serbia",)),
+    ("US", "United States", 38.0, -97.0, ("united states", "america", "american", "usa", "washington")),
+    ("CA", "Canada", 60.0, -95.0, ("canada", "canadian")),
+    ("MX", "Mexico", 23.0, -102.0, ("mexico",)),
+    ("BR", "Brazil", -10.0, -55.0, ("brazil",)),
+    ("AR", "Argentina", -34.0, -64.0, ("argentina",)),
+    ("CO", "Colombia", 4.0, -72.0, ("colombia",)),
+    ("VE", "Venezuela", 8.0, -66.0, ("venezuela",)),
+    ("NI", "Nigeria", 10.0, 8.0, ("nigeria",)),
+    ("SF", "South Africa", -29.0, 25.0, ("south africa",)),
+    ("ET", "Ethiopia", 8.0, 38.0, ("ethiopia",)),
+    ("KE", "Kenya", 1.0, 38.0, ("kenya",)),
+    ("EG", "Egypt", 27.0, 30.0, ("egypt", "egyptian")),
+    ("SU", "Sudan", 15.0, 30.0, ("sudan",)),
+    ("SO", "Somalia", 6.0, 46.0, ("somalia",)),
+    ("LY", "Libya", 27.0, 17.0, ("libya",)),
+    ("MO", "Morocco", 32.0, -5.0, ("morocco",)),
+    ("AG", "Algeria", 28.0, 3.0, ("algeria",)),
+    ("AS", "Australia", -25.0, 135.0, ("australia", "australian")),
+    ("NZ", "New Zealand", -41.0, 174.0, ("new zealand",)),
+)
+
+# What the prototype of each theme code says, and the similarity from which a text has the theme.
+DESCRIPTIONS = {
+    "ARMEDCONFLICT": "armed conflict military war battle fighting troops killed airstrike",
+    "TERROR_ATTACK": "terror attack bombing explosion blast suicide attack killed civilians",
+    "INVASION": "invasion troops cross border military forces enter territory occupation",
+    "COUP": "military coup overthrow government takeover power seized junta",
+    "ETHNIC_VIOLENCE": "ethnic violence communal riots religious conflict massacre sectarian",
+    "GENOCIDE": "genocide ethnic cleansing mass killing systematic murder atrocities",
+    "NUCLEAR_WEAPONS": "nuclear weapon warhead atomic bomb detonation nuclear strike",
+    "CHEMICAL_WEAPONS": "chemical weapon sarin chlorine gas attack nerve agent toxic",
+    "BIOLOGICAL_WEAPONS": "biological weapon anthrax bioterrorism weaponized pathogen",
+    "TERROR": "terrorism terrorist threat plot radicalization extremism",
+    "TAX_FNCACT_MILITARY": "military forces army navy air force defence personnel",
+    "TAX_FNCACT_SOLDIER": "soldier troops military personnel armed forces combat veteran",
+    "TAX_FNCACT_REBEL": "rebel insurgent militant armed group guerrilla uprising resistance",
+    "TAX_FNCACT_TERRORIST": "terrorist jihadist extremist bomber attacker radicalized",
+    "SANCTION": "sanctions economic penalties trade restrictions embargo asset freeze",
+    "NUCLEAR": "nuclear program enrichment reactor uranium plutonium proliferation",
+    "DIPLOMATIC_CRISIS": "diplomatic crisis relations severed ambassador expelled tensions",
+    "BLOCKADE": "blockade siege naval blockade supply cut access denied embargo",
+    "BORDER_DISPUTE": "border dispute territorial claim Line of Control LAC skirmish",
+    "MARITIME_DISPUTE": "maritime dispute territorial waters island claim naval standoff",
+    "PROXY_WAR": "proxy war foreign-backed militia arms supply proxy conflict",
+    "BALLISTIC_MISSILES": "ballistic missile launch ICBM test fire nuclear capable",
+    "ESPIONAGE": "espionage spy intelligence leak classified surveillance covert",
+    "CYBERATTACK": "cyberattack hacking ransomware data breach infrastructure attack",
+    "WAR_CRIME": "war crime civilian target atrocity human rights violation torture",
+}
+SIMILARITY = 0.34
+
+# What calibration asks of the theme score's median and mean, and the least sample that may change a threshold.
+CALIBRATION_MEDIAN, CALIBRATION_MEAN = (0.30, 0.40), (0.35, 0.45)
+LEAST_POSITIVE, LEAST_SHARE, LEAST_SAMPLE = 30, 0.10, 100

@@ -162,6 +162,28 @@ def route_gazetteer(places: Sequence[tuple] = C.PLACES) -> list[tuple[str, Seque
     return [(name, aliases, f"4#{name}#{country}#{adm1}#{lat}#{lon}#0") for name, aliases, lat, lon, country, adm1, _ in places]
 
 
+def _named(body: Column, names: Mapping[str, int], blocks: Sequence[str], left: str, right: str) -> Column:
+    """Blocks, in their order, of what is named in a text: one pass, the left-most and there the longest name, without overlaps."""
+    longest = sorted(names, key=lambda n: (-len(n), n))
+    pattern = f"(?iU){left}(" + "|".join(re.escape(n).replace(r"\ ", " ") for n in longest) + f"){right}"
+    number = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    found = F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), lambda n: F.try_element_at(number, F.lower(n)))
+    listed = strings(blocks)
+    return F.transform(F.array_sort(F.array_compact(F.array_distinct(found))), lambda i: F.element_at(listed, i))
+
+
+def located(title: Column, body: Column, countries: Sequence[tuple] = C.COUNTRIES, places: Sequence[tuple] = C.PLACES) -> Column:
+    """``;`` list of the countries and route places that a title and a text name: countries by code, then places by name."""
+    both = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(body, F.lit("")))
+    by_code = sorted(countries, key=lambda c: c[:4])
+    of_country = {w: i for i, c in enumerate(by_code, 1) for w in c[4]}
+    by_name = sorted(places, key=lambda p: p[0])
+    of_place = {a.lower(): i for i, p in enumerate(by_name, 1) for a in p[1]}
+    one = _named(both, of_country, [f"1#{name}#{code}#{code}#{lat}#{lon}#0" for code, name, lat, lon, _ in by_code], r"\b", r"\b")
+    two = _named(both, of_place, [f"4#{name}#{country}#{adm1}#{lat}#{lon}#0" for name, _, lat, lon, country, adm1, _ in by_name], r"(?<!\w)", r"(?!\w)")
+    return F.array_join(F.concat(one, two), ";")
+
+
 def words(text: Column) -> Column:
     """Lower-case words of ASCII letters with inner apostrophes."""
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z]+(?:'[A-Za-z]+)?"), F.lit(0)), F.lower)

@@ -165,20 +165,3 @@ def settle(edges: DataFrame, known: DataFrame) -> DataFrame:
         settled = shared.cut(settled.unionByName(fresh))
         open_edges = shared.cut(open_edges.join(fresh.select(F.col("id").alias("late")), "late", "left_anti"))
     return settled.join(late, "id", "left_semi")
-
-
-def encode(batches: Iterator[pd.Series], dim: int = 64) -> Iterator[pd.Series]:
-    """Hashed bag-of-words unit vectors: the default text encoder, replaceable by any of the same shape."""
-    import zlib
-
-    import numpy as np
-
-    for texts in batches:
-        out = []
-        for t in texts.fillna(""):
-            v = np.zeros(dim, np.float64)
-            for w in t.lower().split():
-                v[zlib.crc32(w.encode()) % dim] += 1.0
-            n = float(np.linalg.norm(v))
-            out.append((v / n if n else v).tolist())
-        yield pd.Series(out)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import xlsx
+
 #: Positions, in a 27-column slot file, of the columns that are kept.
 SLOT_COLUMNS = {1: "stamp", 3: "source", 4: "identifier", 8: "themes", 10: "locations", 15: "tone", 17: "dims"}
 SLOT_WIDTH, SLOTS_PER_DAY = 27, 96
@@ -56,7 +59,10 @@ def series(spark: SparkSession, path: str | list[str], name: str = "close") -> D
 
 def benchmark(spark: SparkSession, path: str, value: str, date_pattern: str = "date|day|month") -> DataFrame:
     """A benchmark table whose date column is found by its name: ``day, bench``."""
-    rows = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=False)
+    if path.endswith(".xlsx"):
+        rows = xlsx.sheet(spark, path)
+    else:
+        rows = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=False)
     named = [c for c in rows.columns if re.search(date_pattern, c, re.I)]
     if not named or value not in rows.columns:
         raise ValueError(f"a date column and {value} are needed, not {rows.columns}")
@@ -95,3 +101,18 @@ def synced(spark: SparkSession, path: str, start: str, columns: dict[str, str],
     raw = spark.read.csv(path, header=True, inferSchema=False)
     rows = raw.select(F.try_to_date(F.col(day)).alias(day), *[F.col(c).try_cast("double").try_cast(t).alias(c) for c, t in columns.items()])
     return rows.where((F.col(day) >= F.lit(start).cast("date")) & F.col(needed).isNotNull())
+
+
+def freshness(spark: SparkSession, artefacts: dict[str, str]) -> DataFrame:
+    """``artefact, files, as_of``: how many data files each folder or file has and when the last was written; 0 and null if it isn't there.
+
+    Only the file system's listing is read: contents are pruned from the scan.
+    """
+    parts = []
+    for name, path in artefacts.items():
+        if first_existing(spark, [path]) is None:
+            parts.append(spark.range(1).select(F.lit(name).alias("artefact"), F.lit(0).cast("long").alias("files"), F.lit(None).cast("timestamp").alias("as_of")))
+            continue
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        parts.append(listed.agg(F.count("*").alias("files"), F.max("modificationTime").alias("as_of")).select(F.lit(name).alias("artefact"), "files", "as_of"))
+    return reduce(DataFrame.unionByName, parts)

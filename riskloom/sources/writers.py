@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -74,3 +76,36 @@ def documents(rows: DataFrame, folder: str, name: str, content: str) -> int:
 
     chosen = rows.select(F.col(folder).cast("string"), F.col(name).cast("string"), F.col(content).cast("binary"))
     return chosen.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+BOOK = {
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="data" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+    "xl/styles.xml": '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+}
+
+
+def day_books(rows: DataFrame, folder: str, day: str = "day") -> int:
+    """A series of numbers as workbooks in ``folder``, one a year with a header and serial dates; how many."""
+    names = [day, *[c for c in rows.columns if c != day]]
+    cell = lambda value, style: F.when(value.isNotNull(), F.concat(F.lit(f'<c s="{style}"><v>'), value, F.lit("</v></c>"))).otherwise("<c/>")
+    serial = F.date_diff(F.col(day), F.lit("1899-12-30").cast("date")).cast("string")
+    line = F.concat(F.lit("<row>"), cell(serial, 1), *[cell(F.col(c).cast("string"), 0) for c in names[1:]], F.lit("</row>"))
+    header = "<row>" + "".join(f'<c t="inlineStr"><is><t>{n}</t></is></c>' for n in names) + "</row>"
+    # A year is 366 lines at most.
+    years = rows.groupBy(F.year(day).alias("year")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), line.alias("x")))), lambda r: r["x"]), "").alias("body"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            books = []
+            for body in batch.column(1).to_pylist():
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as book:
+                    for name, part in BOOK.items():
+                        book.writestr(name, part)
+                    book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{header}{body}</sheetData></worksheet>')
+                books.append(raw.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(books, pa.binary())], ["year", "book"])
+
+    made = years.select("year", "body").mapInArrow(packed, "year int, book binary")
+    return documents(made.select(F.lit(folder).alias("folder"), F.format_string("%d.xlsx", "year").alias("name"), "book"), "folder", "name", "book")

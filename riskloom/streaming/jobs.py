@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -208,6 +209,55 @@ def claim_titles(path: str):
     return write
 
 
+class Progress(StreamingQueryListener):
+    """Stops the queries it guards at the first batch that had rows and brought nothing forward."""
+
+    def __init__(self) -> None:
+        self.stuck: dict[int, int] = {}
+        self.stopped: list[str] = []
+
+    def guard(self, sink):
+        """A ``foreachBatch`` sink around one that returns how many rows it brought forward."""
+
+        def write(batch: DataFrame, number: int) -> None:
+            if not sink(batch, number) and not batch.isEmpty():
+                self.stuck[number] = self.stuck.get(number, 0) + 1
+
+        return write
+
+    def onQueryStarted(self, event) -> None:
+        """Nothing to watch yet."""
+
+    def onQueryIdle(self, event) -> None:
+        """No batch, no progress to miss."""
+
+    def onQueryProgress(self, event) -> None:
+        if event.progress.batchId in self.stuck:
+            self.stopped.append(str(event.progress.id))
+            SparkSession.active().streams.get(str(event.progress.id)).stop()
+
+    def onQueryTerminated(self, event) -> None:
+        """Its state is in the checkpoint."""
+
+
+def run_guarded(stream: DataFrame, sink, checkpoint: str, mode: str = "append") -> bool:
+    """Process what there is, but stop after a batch without progress; whether all of it went through.
+
+    ``sink(batch, number)`` returns the number of rows it brought forward. The
+    batches after the stop stay unread for the next run.
+    """
+    spark, watch = stream.sparkSession, Progress()
+    spark.streams.addListener(watch)
+    try:
+        query = stream.writeStream.foreachBatch(watch.guard(sink)).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+        while not query.awaitTermination(1):
+            if watch.stuck:
+                query.stop()
+        return not watch.stuck
+    finally:
+        spark.streams.removeListener(watch)
+
+
 def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "append") -> None:
     """Process what there is, batch by batch, and stop: the scheduled form of a stream."""
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
