@@ -6,16 +6,17 @@ distance get embeddings at small Hamming distance, because two walks meet
 again soon after an edit. Sampling the same steps of the embedding gives one
 LSH key; ``REPEATS`` independent walks and samples bring the recall to target.
 
-A document's windows begin at every word, as an item's anchors do, and a
-window is as long as the item it is compared with. Its key is read along the
+A document's windows begin at every word (after any byte that is no letter or
+digit), and inside long words, as in scripts without spaces, at places that
+two bytes mark; an item's anchors are at both everywhere. A window is as long as the item it is compared with. Its key is read along the
 walk, so a window leaves as soon as its partial key matches no anchor: the
 keys are those of the whole sample, at the cost of their first steps. Windows
 with a full key are candidates; the item-sized window is then verified by the
 exact semi-global edit distance (bit-parallel), at most ``1 - SIMILARITY`` of
 the item's length. Keys are short, so that some anchor
 survives edits up to the limit; a candidate's bytes near the anchor are compared
-first, all candidates at once. An item of up to ``SHORT`` bytes is searched
-exactly: one of its ``most + 1`` pieces stands unedited in every occurrence.
+first, all candidates at once. An item of up to ``SHORT`` bytes, or with fewer
+than ``LEAST_ANCHORS`` anchors, is searched exactly: one of its ``most + 1`` pieces stands unedited in every occurrence.
 
 Both sides are compared in lower case with white space squeezed. Documents are
 read once and not shuffled. Items of up to ``BLOCK`` bytes in all are
@@ -55,6 +56,15 @@ SHORT = 44
 NEAR, NEAR_EDITS = 48, 0.33
 #: Bytes that the comparison near an anchor tells apart: letters, digits and the space each for itself, the others in groups.
 CLASSES = np.array([1 + b - 97 if 97 <= b <= 122 else 27 + b - 48 if 48 <= b <= 57 else 37 if b == 32 else 38 + b % 26 for b in range(256)])
+#: Bytes of words: ASCII letters and digits, and all of other scripts. The walk reads any other byte as a space.
+LETTER = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+READ = np.where(LETTER, np.arange(256), 32).astype(np.uint8)
+READ[0] = 0
+#: One in so many pairs of bytes marks a place; words of more bytes than that have windows at such places.
+PLACE_EVERY, LONG_WORD = 5, 20
+PLACE = np.random.default_rng(999).integers(0, 1 << 20, (2, 256))
+#: An item with fewer anchors is searched exactly, as a short one is.
+LEAST_ANCHORS = 3
 #: Bytes of items in a block (one block is broadcast), and of texts that go through all blocks together where there are more.
 BLOCK, SLAB = 2 << 20, 32 << 20
 SCHEMA = "doc_id long, item_id long, distance int, similarity double, start int"
@@ -91,11 +101,29 @@ def bit(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def word_starts(buffer: np.ndarray) -> np.ndarray:
-    """Positions after a space or a text's end mark."""
-    gaps = np.flatnonzero(buffer[:-1] <= 32)
-    starts = gaps + 1
-    return starts[buffer[starts] > 32].astype(np.int32)
+def anchors(buffer: np.ndarray, everywhere: bool) -> np.ndarray:
+    """Positions where windows begin: words, and content-defined places ``everywhere`` or in words of over ``LONG_WORD`` bytes.
+
+    Such a place is told by two bytes that stand in any copy, so a text
+    without spaces has windows too, and one whose spaces are gone meets the
+    anchors inside the item's words.
+    """
+    letter = LETTER[buffer]
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    inner = np.zeros(len(buffer), bool)
+    inner[:-1] = letter[:-1] & letter[1:] & ((PLACE[0][buffer[:-1]] + PLACE[1][buffer[1:]]) % PLACE_EVERY == 0)
+    if not everywhere:
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8)))
+        first, last = edges[::2], edges[1::2]
+        long = last - first > LONG_WORD
+        if not long.any():
+            return np.flatnonzero(begins).astype(np.int32)
+        inside = np.zeros(len(buffer) + 1, np.int8)
+        inside[first[long]] += 1
+        inside[last[long]] -= 1
+        inner &= np.cumsum(inside[:-1]).astype(bool)
+    return np.flatnonzero(begins | inner).astype(np.int32)
 
 
 class Items:
@@ -108,11 +136,14 @@ class Items:
         raw = [b"\0" + t.encode() for _, t in self.items]
         size = np.array([len(r) for r in raw], np.int64) if raw else np.zeros(0, np.int64)
         buffer = np.frombuffer(b"".join(raw) + b"\0" + pad, np.uint8)
-        at = word_starts(buffer)
+        at = anchors(buffer, everywhere=True)
         ends = np.cumsum(size)
         owner = np.searchsorted(ends, at, side="right")
         short = np.array([n - 1 <= SHORT for n in size] + [True])
         ok = (owner < len(raw)) & ~short[owner] & (at + ROOM <= ends[np.minimum(owner, max(0, len(raw) - 1))]) if len(raw) else np.zeros(len(at), bool)
+        few = np.bincount(owner[ok], minlength=len(raw)) < LEAST_ANCHORS
+        self.short = sorted({*self.short, *np.flatnonzero(few).tolist()})
+        ok[ok] &= ~few[owner[ok]]
         at, self.owner = at[ok], owner[ok]
         self.offset = at - (ends - size)[self.owner] - 1 if len(at) else at
         # The stretch of the item that is compared near each anchor: NEAR bytes, or the whole item.
@@ -123,11 +154,11 @@ class Items:
         self.bytes = buffer
         self.early, self.late, self.sorted, self.order = [], [], [], []
         for r in range(REPEATS):
-            pos, key = keys(buffer, at, r, 0, EARLY, np.zeros(len(at), np.uint64))
+            pos, key = keys(READ[buffer], at, r, 0, EARLY, np.zeros(len(at), np.uint64))
             table = np.zeros(1 << TABLE_BITS, bool)
             table[bit(key)] = True
             self.early.append(table)
-            _, key = keys(buffer, pos, r, EARLY, STEPS, key)
+            _, key = keys(READ[buffer], pos, r, EARLY, STEPS, key)
             self.late.append(np.zeros(1 << TABLE_BITS, bool))
             self.late[-1][bit(key)] = True
             order = np.argsort(key, kind="stable")
@@ -139,16 +170,16 @@ class Items:
         found: set[tuple[int, int]] = set()
         if not len(self.owner):
             return found
-        classes = CLASSES[buffer]
+        classes, read = CLASSES[buffer], READ[buffer]
         for a in range(0, len(starts), chunk):
             here = starts[a : a + chunk]
             hits = []
             for r in range(REPEATS):
-                pos, key = keys(buffer, here, r, 0, EARLY, np.zeros(len(here), np.uint64))
+                pos, key = keys(read, here, r, 0, EARLY, np.zeros(len(here), np.uint64))
                 live = np.flatnonzero(self.early[r].take(bit(key)))
                 if not len(live):
                     continue
-                _, key = keys(buffer, pos[live], r, EARLY, STEPS, key[live])
+                _, key = keys(read, pos[live], r, EARLY, STEPS, key[live])
                 whole = np.flatnonzero(self.late[r].take(bit(key)))
                 live, key = live[whole], key[whole]
                 low, high = np.searchsorted(self.sorted[r], key, "left"), np.searchsorted(self.sorted[r], key, "right")
@@ -236,7 +267,7 @@ def leaks(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, in
     ends = np.cumsum(size)
     buffer = np.frombuffer(b"\0" + b"\0".join(raw) + b"\0" * (2 * NEAR), np.uint8)
     wanted: dict[tuple[int, int], list[int]] = {}
-    for item, begin in items.candidates(buffer, word_starts(buffer)):
+    for item, begin in items.candidates(buffer, anchors(buffer, everywhere=False)):
         row = int(np.searchsorted(ends, max(0, (begin << 4) + 8 - 1), side="right"))
         for r in {min(row, len(raw) - 1)} | ({row + 1} if row + 1 < len(raw) and (begin << 4) + 64 > ends[row] else set()):
             wanted.setdefault((r, item), []).append((begin << 4) - int(ends[r] - size[r]) - 1)

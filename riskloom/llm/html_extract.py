@@ -9,9 +9,10 @@ tokens or more), and a valid token is nested if the element that holds it is
 valid too, or else if it is in the class of the nearest valid element around. Nested valid tokens are the template, what stands between them are
 slots, and the slots of the article are the page's text.
 
-A vector is never held: per token, the number of pages and the XOR of the
+A vector is never held: per token, the number of pages and the sum of the
 hashes of (page, count) identify it, both of which add up map-side, so a host
-with any number of pages costs a few rows per token. Templates are joined back
+with any number of pages costs a few rows per token. A page that is listed
+more than once counts once, whether or not it has an id. Templates are joined back
 by broadcast while they are measurably small, else by a salted shuffle.
 
 Template text is left out on every page, inside ``article``/``main`` elements
@@ -26,7 +27,9 @@ decide. A page that is template throughout keeps its text.
 Contract: one row per page. Null or empty html gives empty text; a null or
 odd url counts as a host of its own name (empty); broken markup is read as
 browsers do in the main (unclosed and unopened tags, unclosed comments).
-Repeated pages give repeated rows; extra columns are ignored.
+Repeated pages give repeated rows with the text that one of them would have;
+a null ``page_id`` stays null; extra columns are ignored. A page of n
+characters takes memory and time in proportion, however deep its elements.
 """
 
 from __future__ import annotations
@@ -76,20 +79,21 @@ MAIN_LABELS = frozenset("article articlebody main maincontent".split())
 
 
 class Block(NamedTuple):
-    path: str  # names and labels of the open elements
+    path: int  # rolling hash of the names and labels of the open elements, 0 for the page
     article: int  # number of the innermost article element, 0 outside
     dropped: bool  # by name, role or as hidden
     hinted: bool  # by class or id words, paragraphs and headings too
-    hints: tuple[str, ...]  # paths of the open elements with such words that are no paragraph or heading
+    hints: tuple | None  # (path, those around) of the open elements with such words that are no paragraph or heading
     text: str
 
 
 class Element(NamedTuple):
     name: str
-    path: str
+    path: int
     article: int
     dropped: bool
     hinted: bool
+    hints: tuple | None
 
 
 def labels(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
@@ -108,10 +112,21 @@ def labels(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
     return ".".join([name, *sorted(tokens)]), article, dropped, hinted
 
 
-def parse(source: str) -> tuple[list[str], list[Block]]:
-    """(path of every opened block element, text blocks) of a page, in page order."""
-    stack, opened, blocks, run = [Element("", "", 0, False, False)], [], [], []
+def below(path: int, label: str) -> int:
+    """The path of an element in another: as long as nesting is deep, a path is one number."""
+    return xxhash.xxh64_intdigest(f"{path}/{label}".encode("utf-8", "surrogatepass")) or 1
+
+
+def parse(source: str) -> tuple[list[tuple[int, int]], list[Block]]:
+    """((path, path around) of every opened block element, text blocks) of a page, in page order."""
+    stack, opened, blocks, run = [Element("", 0, 0, False, False, None)], [], [], []
     articles = 0
+    held: Counter = Counter()  # open elements by name, so that a stray end tag needn't search for its start
+
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            held[e.name] -= 1
+        del stack[k:]
 
     def flush():
         if run:
@@ -119,9 +134,7 @@ def parse(source: str) -> tuple[list[str], list[Block]]:
             run.clear()
             if text:
                 top = stack[-1]
-                hinted = [e for e in stack if e.hinted]
-                hints = tuple(e.path for e in hinted if e.name not in PLAIN)
-                blocks.append(Block(top.path, top.article, top.dropped, bool(hinted), hints, text))
+                blocks.append(Block(top.path, top.article, top.dropped, top.hinted, top.hints, text))
 
     at = 0
     for m in MARKUP.finditer(source):
@@ -137,17 +150,18 @@ def parse(source: str) -> tuple[list[str], list[Block]]:
             continue
         flush()
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
+            if held[name]:
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                close(k)
             continue
         if name in ENDS_P and stack[-1].name in PLAIN:
-            stack.pop()
-        if name in CLOSES:
+            close(len(stack) - 1)
+        if name in CLOSES and any(held[n] for n in CLOSES[name]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name in CLOSES[name]:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].name in SCOPES:
                     break
@@ -155,21 +169,23 @@ def parse(source: str) -> tuple[list[str], list[Block]]:
         top = stack[-1]
         if name == "header" and not top.article and not article:
             dropped = True
-        path = f"{top.path}/{label}"
-        opened.append(path)
+        path = below(top.path, label)
+        opened.append((path, top.path))
         if name in VOID or (m[4] or "").rstrip().endswith("/"):
             continue
         number = top.article
         if article and not top.article:
             articles += 1
             number = articles
-        stack.append(Element(name, path, number, dropped or top.dropped, hinted))
+        hints = (path, top.hints) if hinted and name not in PLAIN else top.hints
+        stack.append(Element(name, path, number, dropped or top.dropped, hinted or top.hinted, hints))
+        held[name] += 1
     run.append(source[at:])
     flush()
     return opened, blocks
 
 
-def token(kind: str, path: str, text: str = "") -> int:
+def token(kind: str, path: int, text: str = "") -> int:
     h = xxhash.xxh64_intdigest(f"{kind}\0{path}\0{text}".encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
@@ -178,8 +194,7 @@ def page_tokens(source: str) -> Counter:
     """(token, token of the element that holds it) counts of a page."""
     opened, blocks = parse(source)
     counts: Counter = Counter()
-    for path in opened:
-        outer = path.rpartition("/")[0]
+    for path, outer in opened:
         counts[token("tag", path), token("tag", outer) if outer else 0] += 1
     for b in blocks:
         counts[token("text", b.path, b.text), token("tag", b.path) if b.path else 0] += 1
@@ -190,28 +205,43 @@ def host_of(column: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(column), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+TOKENS = "host string, token long, holder long, pages long, high long, low long"
+
+
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host, token, holder, pages, vector`` summed over the pages of a task; token 0 counts the pages."""
+    """``TOKENS`` summed over the pages of a task; token 0 counts the pages. A vector is a sum of hashes modulo 2^64, in two halves."""
     sums: dict[tuple[str, int, int], list[int]] = {}
 
     def out():
-        rows = [(*k, *v) for k, v in sums.items()]
+        rows = [(*k, n, v >> 32 & 0xFFFFFFFF, v & 0xFFFFFFFF) for k, (n, v) in sums.items()]
         sums.clear()
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 5, kinds)], ["host", "token", "holder", "pages", "vector"])
+        kinds = (pa.string(), *[pa.int64()] * 5)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * 6, kinds)], [c.split()[0] for c in TOKENS.split(", ")])
 
     for batch in common.pieces(batches, 128):
         for page, host, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            key = f"{page} {xxhash.xxh64_intdigest(source)}"
+            hashes: dict[int, int] = {}
             for (t, holder), n in [((0, 0), 1), *page_tokens(source).items()]:
-                h = xxhash.xxh64_intdigest(f"{page} {n}")
+                h = hashes.get(n)
+                if h is None:
+                    h = hashes[n] = xxhash.xxh64_intdigest(f"{key} {n}")
                 entry = sums.setdefault((host, t, holder), [0, 0])
                 entry[0] += 1
-                entry[1] ^= h - (1 << 64) if h >> 63 else h
+                entry[1] += h
         if len(sums) > GATHERED:
             yield out()
     yield out()
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """Each page of a host once. Pages are only shuffled if any is listed more than once (a count of hashes tells)."""
+    keys = ["page_id", "host", F.xxhash64("html").alias("h")]
+    if pages.select(*keys).groupBy("page_id", "host", "h").count().where("count > 1").isEmpty():
+        return pages
+    return pages.select("*", keys[2]).dropDuplicates(["page_id", "host", "h"]).drop("h")
+
+
 def nested(tokens: list[int], holders: list[int], large: list[bool], classes: list[int]) -> list[int]:
     """The valid tokens, of all frequent ones, that are nested up to the page itself.
 
@@ -244,8 +274,11 @@ def nested(tokens: list[int], holders: list[int], large: list[bool], classes: li
 
 def templates(pages: DataFrame) -> DataFrame:
     """``host, template array<long>, others array<long>``: the nested valid tokens of each host with enough pages, and its other frequent ones."""
-    schema = "host string, token long, holder long, pages long, vector long"
-    seen = pages.select("page_id", "host", "html").mapInArrow(gathered, schema).groupBy("host", "token", "holder").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"))
+    once = distinct_pages(pages.select("page_id", "host", "html"))
+    seen = once.mapInArrow(gathered, TOKENS).groupBy("host", "token", "holder").agg(*[F.sum(c).alias(c) for c in ("pages", "high", "low")])
+    # Halves that were summed by different tasks carry to one value.
+    high = F.pmod(F.col("high") + F.shiftright("low", 32), F.lit(1 << 32))
+    seen = seen.select("host", "token", "holder", "pages", F.shiftleft(high, 32).bitwiseOR(F.col("low").bitwiseAND(F.lit((1 << 32) - 1))).alias("vector"))
     seen = common.cut(seen.where((F.col("pages") >= 2)))
     whole = seen.where("token = 0").select("host", F.col("pages").alias("of")).where(F.col("of") >= LEAST_PAGES)
     frequent = seen.where("token <> 0").join(whole, "host").where(F.col("pages") >= F.col("of") * SUPPORT)
@@ -274,8 +307,18 @@ def main_text(source: str | None, template: frozenset | set, others: frozenset |
     _, blocks = parse(source)
     if template:
 
+        told: dict[int, bool] = {}  # by the innermost path with a hint, whose chain is then known
+
         def hinted(b):
-            return any((t := token("tag", p)) in template or t in others for p in b.hints)
+            chain, unknown = b.hints, []
+            while chain and chain[0] not in told:
+                unknown.append(chain[0])
+                chain = chain[1]
+            found = bool(chain) and told[chain[0]]
+            for p in reversed(unknown):
+                t = token("tag", p)
+                found = told[p] = found or t in template or t in others
+            return found
     else:
 
         def hinted(b):

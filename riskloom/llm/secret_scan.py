@@ -47,7 +47,7 @@ LOG_GUESSES = 9.0
 #: Parts of a segmentation that need looking at: one of more parts has that many orders of guesses by the order of its parts alone (k! of them).
 MOST_PARTS = next(k for k in range(1, 99) if math.log10(math.factorial(k + 1)) >= LOG_GUESSES)
 #: Values that name a secret instead of being one: templates, and words joined like ``your_secret_here``.
-PLACEHOLDER = re.compile(r"^(?:[*x.#_-]+|\$\{?[A-Za-z_][A-Za-z_]*\}?|\$\{\w+\}|%\w+%|(?:your|example|changeme|placeholder|redacted)(?:[_-][a-z]+)*|https?:.*)$", re.I | re.A)
+PLACEHOLDER = re.compile(r"^(?:[*x.#_-]+|\$\{?[A-Za-z_][A-Za-z_]*\}?|\$\{\w+\}|%\w+%|(?:your|example|changeme|placeholder|redacted)(?:[_-][a-z]+)*)$", re.I | re.A)
 
 # Frequent password words, most frequent first (the rank is the number of guesses).
 WORDS = (
