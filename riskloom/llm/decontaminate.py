@@ -6,9 +6,10 @@ distance get embeddings at small Hamming distance, because two walks meet
 again soon after an edit. Sampling the same steps of the embedding gives one
 LSH key; ``REPEATS`` independent walks and samples bring the recall to target.
 
-A document's windows begin at every word (after any byte that is no letter or
-digit), and inside long words, as in scripts without spaces, at places that
-two bytes mark; an item's anchors are at both everywhere. A window is as long as the item it is compared with. Its key is read along the
+A document's windows begin after white space, and inside long stretches
+without it, as in scripts without spaces, after any byte that is no letter or
+digit and at places that two bytes mark; an item's anchors are at all of these
+everywhere. A window is as long as the item it is compared with. Its key is read along the
 walk, so a window leaves as soon as its partial key matches no anchor: the
 keys are those of the whole sample, at the cost of their first steps. Windows
 with a full key are candidates; the item-sized window is then verified by the
@@ -60,7 +61,7 @@ CLASSES = np.array([1 + b - 97 if 97 <= b <= 122 else 27 + b - 48 if 48 <= b <=
 LETTER = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 READ = np.where(LETTER, np.arange(256), 32).astype(np.uint8)
 READ[0] = 0
-#: One in so many pairs of bytes marks a place; words of more bytes than that have windows at such places.
+#: One in so many pairs of bytes marks a place; stretches of more bytes than that without white space have windows at such places.
 PLACE_EVERY, LONG_WORD = 5, 20
 PLACE = np.random.default_rng(999).integers(0, 1 << 20, (2, 256))
 #: An item with fewer anchors is searched exactly, as a short one is.
@@ -101,29 +102,34 @@ def bit(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
+def placed(buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The positions that begin a word of letters or digits, or are marked by the two bytes there."""
+    here, before = LETTER[buffer[at]], LETTER[buffer[at - 1]]
+    after = buffer[at + 1]
+    marked = LETTER[after] & ((PLACE[0][buffer[at]] + PLACE[1][after]) % PLACE_EVERY == 0)
+    return at[here & (~before | marked)]
+
+
 def anchors(buffer: np.ndarray, everywhere: bool) -> np.ndarray:
-    """Positions where windows begin: words, and content-defined places ``everywhere`` or in words of over ``LONG_WORD`` bytes.
+    """Positions where windows begin: after white space, and at ``placed`` ones ``everywhere`` or in stretches of over ``LONG_WORD`` bytes without it.
 
-    Such a place is told by two bytes that stand in any copy, so a text
-    without spaces has windows too, and one whose spaces are gone meets the
-    anchors inside the item's words.
+    A place is told by two bytes that stand in any copy, so a text without
+    spaces has windows too, and one whose spaces are gone or are other marks
+    meets the anchors inside the item. The buffer begins and ends with an end mark.
     """
-    letter = LETTER[buffer]
-    begins = letter.copy()
-    begins[1:] &= ~letter[:-1]
-    inner = np.zeros(len(buffer), bool)
-    inner[:-1] = letter[:-1] & letter[1:] & ((PLACE[0][buffer[:-1]] + PLACE[1][buffer[1:]]) % PLACE_EVERY == 0)
-    if not everywhere:
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8)))
-        first, last = edges[::2], edges[1::2]
-        long = last - first > LONG_WORD
-        if not long.any():
-            return np.flatnonzero(begins).astype(np.int32)
-        inside = np.zeros(len(buffer) + 1, np.int8)
-        inside[first[long]] += 1
-        inside[last[long]] -= 1
-        inner &= np.cumsum(inside[:-1]).astype(bool)
-    return np.flatnonzero(begins | inner).astype(np.int32)
+    gaps = np.flatnonzero(buffer <= 32)
+    starts = gaps[:-1] + 1
+    sizes = gaps[1:] - starts
+    words = starts[sizes > 0]
+    if everywhere:
+        inner = placed(buffer, np.arange(1, len(buffer) - 1))
+    else:
+        long = sizes > LONG_WORD
+        first, n = starts[long], sizes[long]
+        if not len(n):
+            return words.astype(np.int32)
+        inner = placed(buffer, np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n))
+    return np.union1d(words, inner).astype(np.int32)
 
 
 class Items:
