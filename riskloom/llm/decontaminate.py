@@ -110,8 +110,8 @@ def placed(buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
     return at[here & (~before | marked)]
 
 
-def anchors(buffer: np.ndarray, everywhere: bool) -> np.ndarray:
-    """Positions where windows begin: after white space, and at ``placed`` ones ``everywhere`` or in stretches of over ``LONG_WORD`` bytes without it.
+def anchors(buffer: np.ndarray, everywhere: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions where windows begin: those after white space, and ``placed`` ones ``everywhere`` or in stretches of over ``LONG_WORD`` bytes without it.
 
     A place is told by two bytes that stand in any copy, so a text without
     spaces has windows too, and one whose spaces are gone or are other marks
@@ -120,36 +120,45 @@ def anchors(buffer: np.ndarray, everywhere: bool) -> np.ndarray:
     gaps = np.flatnonzero(buffer <= 32)
     starts = gaps[:-1] + 1
     sizes = gaps[1:] - starts
-    words = starts[sizes > 0]
+    words = starts[sizes > 0].astype(np.int32)
     if everywhere:
-        inner = placed(buffer, np.arange(1, len(buffer) - 1))
-    else:
-        long = sizes > LONG_WORD
-        first, n = starts[long], sizes[long]
-        if not len(n):
-            return words.astype(np.int32)
-        inner = placed(buffer, np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n))
-    return np.union1d(words, inner).astype(np.int32)
+        return words, placed(buffer, np.arange(1, len(buffer) - 1, dtype=np.int32))
+    long = sizes > LONG_WORD
+    first, n = starts[long], sizes[long]
+    return words, placed(buffer, (np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)).astype(np.int32))
 
 
 class Items:
-    """Anchors of one block of items."""
+    """One block of items, with their anchors."""
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.items = [(i, t) for i, text in items if (t := squeeze(text))]
-        self.short = [k for k, (_, t) in enumerate(self.items) if len(t.encode()) <= SHORT]
-        pad = b"\0" * (STEPS + 1)
         raw = [b"\0" + t.encode() for _, t in self.items]
         size = np.array([len(r) for r in raw], np.int64) if raw else np.zeros(0, np.int64)
-        buffer = np.frombuffer(b"".join(raw) + b"\0" + pad, np.uint8)
-        at = anchors(buffer, everywhere=True)
+        buffer = np.frombuffer(b"".join(raw) + b"\0" + b"\0" * (STEPS + 1), np.uint8)
+        short = size - 1 <= SHORT
+        found = Anchors(buffer, size, short, np.union1d(*anchors(buffer, everywhere=True)))
+        short = short | (np.bincount(found.owner, minlength=len(raw)) < LEAST_ANCHORS)
+        self.short = np.flatnonzero(short).tolist()
+        #: What windows after white space meet, and what those inside long stretches meet.
+        self.words = Anchors(buffer, size, short, np.union1d(*anchors(buffer, everywhere=False)))
+        self.every = Anchors(buffer, size, short, np.union1d(*anchors(buffer, everywhere=True)))
+
+    def candidates(self, buffer: np.ndarray) -> set[tuple[int, int]]:
+        """(item, presumed begin of the item in the buffer, rounded) of all windows of a buffer of texts."""
+        words, inner = anchors(buffer, everywhere=False)
+        return self.words.candidates(buffer, words) | self.every.candidates(buffer, inner)
+
+
+class Anchors:
+    """Anchors of a block of items, with their keys."""
+
+    def __init__(self, buffer: np.ndarray, size: np.ndarray, short: np.ndarray, at: np.ndarray) -> None:
+        at = at.astype(np.int32)
         ends = np.cumsum(size)
         owner = np.searchsorted(ends, at, side="right")
-        short = np.array([n - 1 <= SHORT for n in size] + [True])
-        ok = (owner < len(raw)) & ~short[owner] & (at + ROOM <= ends[np.minimum(owner, max(0, len(raw) - 1))]) if len(raw) else np.zeros(len(at), bool)
-        few = np.bincount(owner[ok], minlength=len(raw)) < LEAST_ANCHORS
-        self.short = sorted({*self.short, *np.flatnonzero(few).tolist()})
-        ok[ok] &= ~few[owner[ok]]
+        short = np.append(short, True)
+        ok = (owner < len(size)) & ~short[owner] & (at + ROOM <= ends[np.minimum(owner, max(0, len(size) - 1))]) if len(size) else np.zeros(len(at), bool)
         at, self.owner = at[ok], owner[ok]
         self.offset = at - (ends - size)[self.owner] - 1 if len(at) else at
         # The stretch of the item that is compared near each anchor: NEAR bytes, or the whole item.
@@ -159,12 +168,13 @@ class Items:
         self.near = (at - self.back).astype(np.int64)
         self.bytes = buffer
         self.early, self.late, self.sorted, self.order = [], [], [], []
+        read = READ[buffer]
         for r in range(REPEATS):
-            pos, key = keys(READ[buffer], at, r, 0, EARLY, np.zeros(len(at), np.uint64))
+            pos, key = keys(read, at, r, 0, EARLY, np.zeros(len(at), np.uint64))
             table = np.zeros(1 << TABLE_BITS, bool)
             table[bit(key)] = True
             self.early.append(table)
-            _, key = keys(READ[buffer], pos, r, EARLY, STEPS, key)
+            _, key = keys(read, pos, r, EARLY, STEPS, key)
             self.late.append(np.zeros(1 << TABLE_BITS, bool))
             self.late[-1][bit(key)] = True
             order = np.argsort(key, kind="stable")
@@ -174,7 +184,7 @@ class Items:
     def candidates(self, buffer: np.ndarray, starts: np.ndarray, chunk: int = 1 << 15) -> set[tuple[int, int]]:
         """(item, presumed begin of the item in the buffer, rounded) of the windows with an anchor's key and like bytes near it."""
         found: set[tuple[int, int]] = set()
-        if not len(self.owner):
+        if not len(self.owner) or not len(starts):
             return found
         classes, read = CLASSES[buffer], READ[buffer]
         for a in range(0, len(starts), chunk):
@@ -273,7 +283,7 @@ def leaks(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, in
     ends = np.cumsum(size)
     buffer = np.frombuffer(b"\0" + b"\0".join(raw) + b"\0" * (2 * NEAR), np.uint8)
     wanted: dict[tuple[int, int], list[int]] = {}
-    for item, begin in items.candidates(buffer, anchors(buffer, everywhere=False)):
+    for item, begin in items.candidates(buffer):
         row = int(np.searchsorted(ends, max(0, (begin << 4) + 8 - 1), side="right"))
         for r in {min(row, len(raw) - 1)} | ({row + 1} if row + 1 < len(raw) and (begin << 4) + 64 > ends[row] else set()):
             wanted.setdefault((r, item), []).append((begin << 4) - int(ends[r] - size[r]) - 1)
