@@ -6,9 +6,13 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 DEPTH, TREES, RATE, SHARE, FEATURES, LEAST, PENALTY, BINS = 3, 300, 0.05, 0.8, 0.8, 10.0, 2.0, 256
 SCHEMA = "block string, day date, target double, naive double, predicted double, high int, probability double"
 
@@ -51,6 +55,21 @@ def boosted(train: np.ndarray, y: np.ndarray, test: np.ndarray, classify: bool =
     return 1 / (1 + np.exp(-score[n:])) if classify else score[n:]
 
 
+def kept(rows: DataFrame) -> tuple[str, int]:
+    """A series (one row a day) written to the shared folder for the tasks to read; its folder and length."""
+    folder = shared.run_folder(rows.sparkSession, "series") + "/rows"
+    rows.write.parquet(folder)
+    return folder, rows.sparkSession.read.parquet(folder).count()
+
+
+def read(folder: str) -> tuple[list, np.ndarray]:
+    """Days and values of a kept series in time order, nulls as NaN; read by a task."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    table = pq.read_table(path, filesystem=fs).sort_by("day")
+    columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in (table.column(i).combine_chunks() for i in range(1, table.num_columns))]
+    return table.column("day").to_pylist(), np.column_stack(columns)
+
+
 def experiment(
     rows: DataFrame, blocks: Mapping[str, Sequence[str]], target: str, naive: str, horizon: int = 5, min_train: int = 750, step: int = 21, q: float = 0.75, trees: int = TREES
 ) -> DataFrame:
@@ -62,17 +81,15 @@ def experiment(
     """
     features = sorted({c for columns in blocks.values() for c in columns})
     known = rows.select(F.col("day").cast("date").alias("day"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([target, naive, *features])]).na.drop().orderBy("day")
-    table = known.toArrow()  # one row a day
-    days, values = table.column("day").to_pylist(), np.column_stack([table.column(i + 1).to_numpy() for i in range(len(features) + 2)])
-    if len(days) <= min_train:
+    folder, n = kept(known)
+    if n <= min_train:
         raise ValueError(f"more than {min_train} complete rows are needed")
-    work = [(name, start) for start in range(min_train, len(days), step) for name in blocks]
+    work = [(name, start) for start in range(min_train, n, step) for name in blocks]
     columns = {name: [2 + features.index(c) for c in chosen] for name, chosen in blocks.items()}
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((days, values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        days, values = shared.value
+        days, values = read(folder)
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 name, start = work[k]
@@ -96,17 +113,15 @@ def latest(rows: DataFrame, blocks: Mapping[str, Sequence[str]], target: str, tr
     """
     features = sorted({c for columns in blocks.values() for c in columns})
     chosen = rows.select(F.col("day").cast("date").alias("day"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)])
-    table = chosen.na.drop(subset=[f"c{i}" for i in range(len(features))]).orderBy("day").toArrow()
-    days, y = table.column("day").to_pylist(), table.column("y").to_numpy()
-    values = np.column_stack([table.column(i + 2).to_numpy() for i in range(len(features))])
-    known = ~np.isnan(y.astype(float))
-    if known.sum() < least:
-        raise ValueError(f"at least {least} rows with a target are needed")
+    folder, _ = kept(chosen.na.drop(subset=[f"c{i}" for i in range(len(features))]))
     spark, names = rows.sparkSession, list(blocks)
-    shared = spark.sparkContext.broadcast((values, y))
+    if spark.read.parquet(folder).where("y IS NOT NULL").count() < least:
+        raise ValueError(f"at least {least} rows with a target are needed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, y = shared.value
+        days, table = read(folder)
+        y, values = table[:, 0], table[:, 1:]
+        known = ~np.isnan(y)
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 own = list(blocks[names[k]])

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import bands
 from ..functions import constants as C
 
-POSITIVE = F.col
-
 
 def positive() -> Column:
     return F.col("risk_score") > C.POSITIVE_ABOVE
@@ -60,13 +58,15 @@ def category_pivot(scored: DataFrame) -> DataFrame:
 def by_group(scored: DataFrame, keys: Column, name: str) -> DataFrame:
     """``day, <name>, risk_sum, total_articles, raw_ratio``: positives exploded over an array of keys, against all articles of the day.
 
-    Articles are read once: a null key stands for the article itself, so that
-    totals come out of the same aggregate.
+    Articles are read once: each also stands for itself, so that totals come
+    out of the same aggregate. A null key among the keys belongs to no group.
     """
-    marked = F.when(positive(), F.concat(F.array(F.lit(None).cast("string")), keys)).otherwise(F.array(F.lit(None).cast("string")))
-    sums = scored.select("day", "risk_score", F.explode(marked).alias(name)).groupBy("day", name).agg(F.sum("risk_score").alias("risk_sum"), F.count("*").alias("_n"))
-    total = F.max(F.when(F.col(name).isNull(), F.col("_n"))).over(Window.partitionBy("day"))
-    told = sums.withColumn("total_articles", total).where(F.col(name).isNotNull()).drop("_n")
+    own = F.array(F.struct(F.lit(True).alias("own"), F.lit(None).cast("string").alias("key")))
+    each = F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.struct(F.lit(False).alias("own"), k.alias("key")))
+    marked = F.when(positive(), F.concat(own, each)).otherwise(own)
+    sums = scored.select("day", "risk_score", F.explode(marked).alias("_k")).groupBy("day", F.col("_k.own").alias("_own"), F.col("_k.key").alias(name)).agg(F.sum("risk_score").alias("risk_sum"), F.count("*").alias("_n"))
+    total = F.max(F.when(F.col("_own"), F.col("_n"))).over(Window.partitionBy("day"))
+    told = sums.withColumn("total_articles", total).where(~F.col("_own") & F.col(name).isNotNull()).drop("_n", "_own")
     return told.withColumn("raw_ratio", bands.ratio(F.col("risk_sum"), F.col("total_articles")))
 
 

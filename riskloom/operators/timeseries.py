@@ -140,12 +140,12 @@ def autocorrelation(days: DataFrame, value: str, lag: int, by: str = "day") -> D
 def event_z(series: DataFrame, events: DataFrame, value: str, keys: Sequence[str] = (), window: int = 3, before: int = 30) -> DataFrame:
     """Mean around each event against mean and deviation of the days before, by calendar distance.
 
-    ``events`` (``event_day`` and labels) is a short list of dates; it is
-    joined as a band, and Spark chooses the side to copy by its size.
+    Each event is spelt out to its ``before + window + 1`` days, so series and
+    events of any number meet by an equi-join on the day.
     """
-    near = F.col("day").between(F.date_sub("event_day", window), F.date_add("event_day", window))
-    prior = F.col("day").between(F.date_sub("event_day", before), F.date_sub("event_day", window + 1))
-    band = series.join(events, near | prior)
+    near, prior = F.col("_off") >= -window, F.col("_off") < -window
+    spelt = events.withColumn("_off", F.explode(F.sequence(F.lit(-before), F.lit(window)))).withColumn("day", F.date_add("event_day", F.col("_off")))
+    band = series.join(spelt, "day")
     group = [*events.columns, *keys]
     measured = band.groupBy(*group).agg(
         F.avg(F.when(near, F.col(value))).alias("event_mean"),

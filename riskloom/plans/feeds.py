@@ -9,6 +9,7 @@ from ..operators import feed, tables, timeseries
 from ..sources import writers
 from . import articles as A
 from .registry import query
+from .texts import TOKENS_SQL, topic_sql
 from .risk import INDEX_SQL, W, indexed
 
 ROWS_SQL = f"{A.ARTICLES_SQL}, feed AS (SELECT id, event_time, CASE WHEN user_id % 4 = 0 THEN 1 WHEN user_id % 4 = 3 THEN NULL ELSE 2 END AS tier, CASE WHEN id % 11 = 0 THEN id - 1 END AS duplicate_of, CASE WHEN event_type = 'view' THEN '' ELSE themes END AS themes, locations, 'Title ' || event_type || CASE WHEN k % 9 = 0 THEN ' stock market' ELSE '' END AS title, tone_neg FROM articles)"
@@ -56,7 +57,7 @@ def hero_pick(spark, sf_dir):
     return feed.hero(rows(spark, sf_dir).select("id", "tier", "themes"), by="id").select("id", "tier")
 
 
-@query(f"{W}{A.ARTICLES_SQL}, t AS (SELECT CASE event_type WHEN 'error' THEN 'CONFLICT' WHEN 'click' THEN 'TERROR' WHEN 'purchase' THEN 'MILITARY' WHEN 'signup' THEN 'CONFLICT' ELSE 'Weather' END AS topic FROM articles) SELECT topic, count(*) AS n FROM t GROUP BY topic ORDER BY n DESC LIMIT 1")
+@query(f"{W}{A.ARTICLES_SQL}, t AS (SELECT id, {topic_sql(TOKENS_SQL)} AS topic FROM articles) SELECT topic, count(*) AS n FROM t WHERE topic <> 'General' GROUP BY topic ORDER BY n DESC, min(id) LIMIT 1")
 def dominant_topic(spark, sf_dir):
     return feed.dominant_topic(A.articles(spark, sf_dir).select("themes", "id"), by="id").select("topic", "n")
 

@@ -81,3 +81,19 @@ def rss_status(spark, sf_dir):
     feed_documents(spark, sf_dir, root)
     found = rss.entries(spark, feed_folders(root), rows="status", backoff=0)
     return found.groupBy("source_code").agg(F.count("*").alias("fetches"), F.sum("fetched").alias("fetched"), F.sum("seen").alias("seen"), F.count_if(F.contains("url", F.lit("/second/"))).alias("fallbacks"), F.sum("attempts").alias("attempts"), F.count_if(F.col("fetched") == 0).alias("failed"))
+
+
+@query(f"""WITH e AS (SELECT event_id, upper(event_type) AS code, upper(event_type) IN ('ERROR', 'CLICK') OR event_id % 4 IN (0, 2) AS kept FROM events)
+SELECT code AS source_code, count(*) AS fetched, count(*) FILTER (WHERE event_id % 11 <> 0) AS seen, count(*) FILTER (WHERE event_id % 11 <> 0 AND kept) AS kept, count(*) FILTER (WHERE event_id % 11 <> 0 AND kept) AS new, 0 AS repeats, 0 AS again, count(*) FILTER (WHERE event_id % 11 <> 0) AS links, 0 AS failures FROM e GROUP BY 1""")
+def ingest_cycle(spark, sf_dir):
+    """Two ingest cycles over the same fetches: the first books everything, the second nothing (titles are compared in the tests)."""
+    from ..operators import ingest
+    from ..sources import versions
+
+    root = shared.run_folder(spark, "feeds")
+    feed_documents(spark, sf_dir, root)
+    run = lambda at: ingest.cycle(spark, feed_folders(root), f"{root}/tables", at, compare_titles=False, backoff=0)
+    first, second = run("2024-02-01 06:00:00"), run("2024-02-01 07:00:00")
+    links = versions.read(spark, f"{root}/tables/links").groupBy("source_code").agg(F.count("*").alias("links"))
+    health = versions.read(spark, f"{root}/tables/health").select("source_code", "failures")
+    return first.drop("error").join(second.select("source_code", F.col("new").alias("again")), "source_code").join(links, "source_code").join(health, "source_code")

@@ -42,10 +42,19 @@ def ma30_properties(spark, sf_dir):
     return indexed(spark, sf_dir).agg(F.round(F.avg("risk_index"), 6).alias("mean"), F.round(F.stddev_samp("ma30"), 6).alias("ma30_std"), F.round(stats.skew("ma30"), 6).alias("ma30_skew"), F.round(stats.quantile("ma30", 0.99), 6).alias("ma30_p99"), (F.count("*") >= 30).alias("enough"))
 
 
-@query("WITH d AS (SELECT CAST(ts AS DATE) AS day, user_id % 7 AS source, count(*) AS n FROM events GROUP BY 1, 2) SELECT source, round(avg(n), 6) AS mean, min(n) AS least, max(n) AS most, count(*) AS observed_days, CAST(30 - count(*) AS BIGINT) AS missing_days FROM d GROUP BY source")
+@query("WITH d AS (SELECT CAST(ts AS DATE) AS day, user_id % 7 AS source, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2), e AS (SELECT date_diff('day', min(CAST(ts AS DATE)), max(CAST(ts AS DATE))) + 1 AS days FROM events), l AS (SELECT *, lag(n) OVER (PARTITION BY source ORDER BY day) AS p FROM d) SELECT source, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS least, max(n) AS most, count(*) AS observed_days, CAST(any_value(days) - count(*) AS BIGINT) AS missing_days, round(corr(n, p), 6) AS autocorr FROM l, e GROUP BY source")
 def source_daily_coverage(spark, sf_dir):
-    d = A.articles(spark, sf_dir).groupBy("day", (F.col("user_id") % 7).alias("source")).agg(F.count("*").alias("n"))
-    return d.groupBy("source").agg(F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("observed_days"), (F.lit(30).cast("long") - F.count("*")).alias("missing_days"))
+    """Volumes by source over the calendar that all sources span, with the correlation to the observed day before."""
+    from ..operators import stats
+
+    a = A.articles(spark, sf_dir)
+    calendar = a.agg((F.date_diff(F.max("day"), F.min("day")) + 1).alias("days"))
+    d = a.where("id % 3 = 0").groupBy("day", (F.col("user_id") % 7).alias("source")).agg(F.count("*").alias("n"))
+    told = d.withColumn("p", F.lag("n").over(Window.partitionBy("source").orderBy("day"))).crossJoin(calendar)  # one row on the right
+    return told.groupBy("source").agg(
+        F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("std"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("observed_days"),
+        (F.max("days") - F.count("*")).alias("missing_days"), F.round(stats.correlation("n", "p"), 6).alias("autocorr"),
+    )
 
 
 @query("SELECT event_id, CASE WHEN a AND b THEN 'oil_rupee,risk_off' WHEN a THEN 'oil_rupee' WHEN b THEN 'risk_off' ELSE '' END AS channels, CASE WHEN a AND b THEN 'alert' WHEN a OR b THEN 'watch' ELSE 'clear' END AS tone FROM (SELECT event_id, value / 100 > 0.3 AND k / 100.0 > 0.05 AS a, k / 50.0 > 0.5 AND value / 100 - 1 < -0.1 AS b FROM (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))")
@@ -140,9 +149,12 @@ def route_match_rates(spark, sf_dir):
 _ENTRIES = ", ".join(f"('{k}', '{v['name']}', '{v['category']}')" for k, v in C.ROUTES.items())
 
 
-@query(f"SELECT * FROM (VALUES {_ENTRIES}) AS m(route, name, category)")
+@query(f"{W}{RISK_SQL} SELECT day, route, m.name, m.category, round(route_risk + 1e-9, 6) AS route_risk, row_number() OVER (PARTITION BY day ORDER BY list_position([{A.listed(C.ROUTES)}], route)) AS position FROM route_days JOIN (VALUES {_ENTRIES}) AS m(route, name, category) USING (route)")
 def route_metadata(spark, sf_dir):
-    return routes.registry(spark).select("route", "name", "category")
+    """Rows of the board with their routes' metadata, each day in registry order."""
+    order = F.array_position(F.array(*[F.lit(r) for r in C.ROUTES]), F.col("route"))
+    rows = route_days(spark, sf_dir).select("day", "route", *r6("route_risk")).join(F.broadcast(routes.registry(spark).select("route", "name", "category")), "route")
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("day").orderBy(order)).cast("long"))
 
 
 @query(f"{W}{RISK_SQL} SELECT day, round(threat_index + 1e-9, 6) AS threat_index, round(route_risk + 1e-9, 6) AS route_risk FROM route_days WHERE route = 'red_sea_suez' AND day >= DATE '2024-01-16' ORDER BY day DESC LIMIT 10")

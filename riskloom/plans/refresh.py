@@ -129,10 +129,12 @@ def prices_from_csv(spark, sf_dir):
     good = A.daily_prices(spark, sf_dir)
     form = F.when(F.dayofmonth("day") % 2 == 0, F.date_format("day", "MM/dd/yyyy")).otherwise(F.date_format("day", "yyyy-MM-dd"))
     lines = good.select(form.alias("Date"), F.col("close").cast("string").alias("Close"))
-    broken = good.limit(20).select(F.lit("n/a").alias("Date"), F.lit("1.0").alias("Close")).union(good.limit(20).select(F.lit("2030-01-01").alias("Date"), F.lit("-").alias("Close")))
+    third = good.where(F.dayofmonth("day") % 3 == 0)
+    broken = third.select(F.lit("n/a").alias("Date"), F.lit("1.0").alias("Close")).union(third.select(F.lit("2030-01-01").alias("Date"), F.lit("-").alias("Close")))
+    # A first file whose values of every third day a later file corrects.
     path = shared.run_folder(spark, "prices")
-    writers.products(path, prices=lines.union(broken))
-    return readers.series(spark, f"{path}/prices")
+    writers.products(path, a_first=third.select(F.date_format("day", "yyyy-MM-dd").alias("Date"), F.lit("99999999.0").alias("Close")), b_prices=lines.union(broken))
+    return readers.series(spark, [f"{path}/a_first", f"{path}/b_prices"])
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS month, round(avg(o_totalprice) + 1e-6, 4) AS bench FROM orders GROUP BY 1")

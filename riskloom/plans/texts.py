@@ -54,7 +54,19 @@ def mention_extract(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.place_blocks(F.col("text"), GAZETTEER).alias("locations"))
 
 
-@query(f"WITH {A.ARTICLES_SQL}, t AS (SELECT event_type, list_filter(list_transform(regexp_split_to_array(themes, '[,;]+'), lambda x: trim(x)), lambda x: x <> '') AS toks, count(*) AS n FROM articles GROUP BY 1, 2) SELECT event_type, CASE event_type WHEN 'error' THEN 'CONFLICT' WHEN 'click' THEN 'TERROR' WHEN 'purchase' THEN 'MILITARY' WHEN 'signup' THEN 'CONFLICT' ELSE 'Weather' END AS topic, n, len(toks) AS n_tokens FROM t")
+def topic_sql(toks: str) -> str:
+    """SQL of the topic of a list of tokens: the first bucket of any, else the first token in words, else General."""
+    rules = [f"WHEN k IN ({A.listed(codes)}) THEN '{name}'" for name, codes in C.TOPIC_CODES.items()] + [f"WHEN regexp_matches(k, '{p}') THEN '{name}'" for name, p in C.TOPIC_PATTERNS]
+    keys = f"list_transform({toks}, lambda t: regexp_replace(upper(trim(t)), '[\\s-]+', '_', 'g'))"
+    buckets = f"list_filter(list_transform({keys}, lambda k: CASE {' '.join(rules)} END), lambda x: x IS NOT NULL)"
+    words = f"string_split(trim(regexp_replace({toks}[1], '[_\\s-]+', ' ', 'g')), ' ')"
+    return f"coalesce({buckets}[1], array_to_string(list_transform({words}, lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' '), 'General')"
+
+
+TOKENS_SQL = "list_filter(list_transform(regexp_split_to_array(themes, '[,;]+'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"WITH {A.ARTICLES_SQL}, t AS (SELECT event_type, {TOKENS_SQL} AS toks, count(*) AS n FROM articles GROUP BY 1, 2) SELECT event_type, {topic_sql('toks')} AS topic, CAST(sum(n) AS BIGINT) AS n, len(toks) AS n_tokens FROM t GROUP BY event_type, topic, n_tokens")
 def topic_bucket(spark, sf_dir):
     rows = A.articles(spark, sf_dir).select("event_type", text.article_topic(F.col("themes")).alias("topic"), F.size(text.tokens(F.col("themes"))).cast("long").alias("n_tokens"))
     return rows.groupBy("event_type", "topic", "n_tokens").agg(F.count("*").alias("n"))
@@ -134,10 +146,11 @@ def part_labels(spark, sf_dir):
 
 @query("WITH t AS (SELECT conv_id, turn, role, length(text) AS n, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, count(*) AS turns, CAST(sum(n) AS BIGINT) AS chars, count(*) FILTER (WHERE role <> before) AS switches, count(*) FILTER (WHERE role = 'assistant') AS answers FROM t GROUP BY conv_id")
 def turn_stats(spark, sf_dir):
-    """Switches come from a self-join on the turn before, so a conversation of any length stays spread."""
+    """The role before each turn is carried by stretches of turns, so a conversation of any length stays spread."""
+    from ..operators import ordered
+
     rows = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
-    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before"))
-    both = rows.join(before, ["conv_id", "turn"], "left")
+    both = ordered.lagged(rows, ["conv_id"], "turn", "role", "before")
     return both.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum("n").alias("chars"), F.count_if(F.col("role") != F.col("before")).alias("switches"), F.count_if(F.col("role") == "assistant").alias("answers"))
 
 
@@ -146,12 +159,23 @@ def session_open(spark, sf_dir):
     return A.table(spark, sf_dir, "events").select("event_id", bands.session_open(F.col("ts").cast("timestamp")).alias("open"))
 
 
-@query("SELECT count(*) FILTER (WHERE a) AS passed, count(*) AS n FROM (SELECT bool_and(ok) AS a FROM (SELECT 1 AS id, TRUE AS ok UNION ALL SELECT 2, FALSE UNION ALL SELECT 3, TRUE) GROUP BY id)")
+#: Routes that the places of an article must and must not lead to, by the list that it has.
+FIXTURES = (
+    (("india_china_lac",), ("red_sea_suez",)), (("strait_of_hormuz", "instc_chabahar"), ("imec",)), (("strait_of_hormuz",), ("strait_of_malacca",)),
+    (("strait_of_malacca", "red_sea_suez"), ("cape_of_good_hope",)), ((), ("imec",)),
+)
+_sets = lambda n: "CASE k % 5 " + " ".join(f"WHEN {i} THEN [{A.listed(f[n])}]::VARCHAR[]" for i, f in enumerate(FIXTURES)) + " END"
+
+
+@query(f"WITH {A.ROUTES_SQL}, f AS (SELECT s.id, any_value(k) AS k, coalesce(list(route) FILTER (WHERE route IS NOT NULL), []) AS found FROM scored s LEFT JOIN tagged t ON t.id = s.id GROUP BY s.id) SELECT k % 5 AS fixture, count(*) FILTER (WHERE list_has_all(found, {_sets(0)}) AND NOT list_has_any(found, {_sets(1)})) AS passed, count(*) AS n FROM f GROUP BY 1")
 def label_fixtures(spark, sf_dir):
+    """Labelled articles by fixture: how many have all routes that they should and none that they shouldn't."""
     from ..operators.feed import label_sets
 
-    rows = spark.createDataFrame([(["a"], ["b"], ["a", "c"]), (["a"], ["c"], ["a", "c"]), ([], ["x"], [])], "expected array<string>, forbidden array<string>, found array<string>")
-    return rows.agg(F.count_if(label_sets(F.col("expected"), F.col("forbidden"), F.col("found"))).alias("passed"), F.count("*").alias("n"))
+    k = F.col("k") % 5
+    listed = lambda n: A.cases(k, [(i, text.strings(f[n]) if f[n] else F.array().cast("array<string>")) for i, f in enumerate(FIXTURES)])
+    passed = label_sets(listed(0), listed(1), text.masked_routes(F.col("routes")))
+    return A.routed(spark, sf_dir).groupBy(k.cast("long").alias("fixture")).agg(F.count_if(passed).alias("passed"), F.count("*").alias("n"))
 
 
 @query()

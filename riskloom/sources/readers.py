@@ -50,11 +50,13 @@ def day_files(spark: SparkSession, path: str, start: str, end: str, pattern: str
 
 
 def series(spark: SparkSession, path: str | list[str], name: str = "close") -> DataFrame:
-    """``day, <name>`` from a CSV whose first column is a date and second a number; bad rows go; of several values of a day the largest stays."""
+    """``day, <name>`` from a CSV whose first column is a date and second a number; bad rows go; of several values of a day the last one stays, by file, place in the file, and line."""
     raw = spark.read.csv(path, header=True, inferSchema=False)
     date, value = raw.columns[:2]
-    rows = raw.select(F.coalesce(F.try_to_date(F.col(date)), F.try_to_date(F.col(date), "MM/dd/yyyy")).alias("day"), F.col(value).try_cast("double").alias(name))
-    return rows.where(F.col("day").isNotNull() & F.col(name).isNotNull()).groupBy("day").agg(F.max(name).alias(name))
+    # Within one split of a file the row numbers of a task go up with its lines.
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    rows = raw.select(F.coalesce(F.try_to_date(F.col(date)), F.try_to_date(F.col(date), "MM/dd/yyyy")).alias("day"), F.col(value).try_cast("double").alias(name), at.alias("_at"))
+    return rows.where(F.col("day").isNotNull() & F.col(name).isNotNull()).groupBy("day").agg(F.max_by(name, "_at").alias(name))
 
 
 def benchmark(spark: SparkSession, path: str, value: str, date_pattern: str = "date|day|month") -> DataFrame:
