@@ -62,6 +62,11 @@ def index_features(days: DataFrame, columns: Sequence[str], windows: Sequence[in
     return out
 
 
+def balanced(features: DataFrame, threats: str, acts: str) -> DataFrame:
+    """``threats_minus_acts``: log level of what is feared less that of what happened."""
+    return features.withColumn("threats_minus_acts", F.col(f"log_{threats}") - F.col(f"log_{acts}"))
+
+
 def assemble(market: DataFrame, index: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Market rows with the index features as of each day, complete rows only."""
     return as_of(market, index, "day", columns).na.drop(subset=[*columns, target])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +96,41 @@ def pick(swept: DataFrame) -> DataFrame:
     """Of the thresholds that pass, the one with the most texts that have a theme, the lower on ties; ``advisory`` for small samples. No row if none passes."""
     best = F.max_by(F.struct(*swept.columns), F.struct("positive", (-F.col("threshold")).alias("t")))
     return swept.where("passed").agg(best.alias("b")).where("b IS NOT NULL").select("b.*").withColumn("advisory", F.col("total") < C.LEAST_SAMPLE)
+
+
+#: Fixed value: routes that may well have no article.
+SELDOM = frozenset(
+    "danish_straits_baltic cape_of_good_hope imec instc_chabahar india_china_lac india_pakistan_attari india_bangladesh_petrapole india_nepal_raxaul".split()
+)
+
+
+def theme_hits(rows: DataFrame, themes: str = "themes", most: int = 15) -> tuple[DataFrame, DataFrame]:
+    """Articles by tier (``tier, articles, total, low_coverage``) and the ``most`` frequent known codes (``tier, code, n``).
+
+    The row of tier ``any`` says whether too few articles have a code to choose a threshold by: under 30, or under a tenth.
+    """
+    tiers = {f"tier{i}": codes for i, (codes, _) in enumerate(C.TIER_WEIGHTS, 1)}
+    hit = {t: text.has_code(F.col(themes), codes) for t, codes in tiers.items()}
+    hit["any"] = reduce(lambda a, b: a | b, hit.values())
+    one = rows.agg(F.count("*").alias("total"), *[F.count_if(h).alias(t) for t, h in hit.items()])
+    shares = one.select("total", F.inline(F.array(*[F.struct(F.lit(t).alias("tier"), F.col(t).alias("articles")) for t in hit])))
+    low = (F.col("articles") < 30) | (F.col("articles") < 0.1 * F.col("total"))
+    codes = rows.select(F.explode(F.array_distinct(text.theme_codes(F.col(themes)))).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    known = rows.sparkSession.createDataFrame([(t, c) for t, cs in tiers.items() for c in sorted(cs)], "tier string, code string")
+    top = codes.join(F.broadcast(known), "code").orderBy(F.desc("n"), "tier", "code").limit(most)
+    return shares.withColumn("low_coverage", F.when(F.col("tier") == "any", low)), top.select("tier", "code", "n")
+
+
+def route_coverage(sums: DataFrame, advisory: bool = False) -> DataFrame:
+    """``kind, route, matches, share, status`` of articles counted by ``mask, blocks, n``: a row a route, and one of place blocks.
+
+    ``blocks`` tells whether an article has a block of type 4. A route without a
+    match fails unless it is seldom seen; with ``advisory`` (a small sample) it
+    is noted. Place blocks fail if no article has one and warn under 1 %.
+    """
+    one = sums.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("blocks"), F.col("n")).otherwise(0)).alias("blocks"), *[F.sum(F.when(F.array_contains(text.masked_routes(F.col("mask")), r), F.col("n")).otherwise(0)).alias(r) for r in C.ROUTES])
+    fail, warn = ("note", "note") if advisory else ("fail", "warn")
+    status = lambda r: F.when(F.col(r) > 0, "pass").otherwise("seldom" if r in SELDOM else fail)
+    cell = lambda kind, r, c, s: F.struct(F.lit(kind).alias("kind"), F.lit(r).alias("route"), F.col(c).alias("matches"), F.try_divide(F.col(c), F.col("total")).alias("share"), s.alias("status"))
+    blocks = F.when(F.col("blocks") == 0, "fail").when(F.col("blocks") < 0.01 * F.col("total"), warn).otherwise("pass")
+    return one.where("total > 0").select(F.inline(F.array(*[cell("route", r, r, status(r)) for r in C.ROUTES], cell("blocks", "", "blocks", blocks))))

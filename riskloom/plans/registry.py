@@ -23,4 +23,4 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-from . import cycles, feeds, ingest, more, refresh, reports, risk, series, tagging, texts  # noqa: E402, F401 (they register their queries)
+from . import cycles, feeds, ingest, more, refresh, reports, risk, series, tagging, texts, validation  # noqa: E402, F401 (they register their queries)
