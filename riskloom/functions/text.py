@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -265,14 +266,43 @@ def leading_number(text: Column) -> Column:
     return F.regexp_replace(text, r"[^0-9.-]", "").try_cast("double")
 
 
+#: References that the plans' SQL decodes too.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
+#: Characters of HTML 4's names, and of the numbers that stand for Windows-1252 bytes; a hard space is a space.
+NAMED = {name: chr(at) for name, at in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+WINDOWS = {at: bytes([at]).decode("cp1252", "ignore") or chr(at) for at in range(128, 160)}
+
+
+def unescape(text: Column) -> Column:
+    """Numeric and named character references decoded once.
+
+    A number may go without its semicolon, a name may not; unknown names stay.
+    Numbers that are no character become U+FFFD.
+    """
+    flat = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+    def decoded(part: Column) -> Column:
+        ref = F.regexp_extract(part, "^(#[0-9]{1,9};?|#[xX][0-9a-fA-F]{1,7};?|[A-Za-z][A-Za-z0-9]{1,9};)", 1)
+        name = F.rtrim(ref, F.lit(";"))
+        hexadecimal = F.lower(F.substring(ref, 2, 1)) == "x"
+        number = F.when(hexadecimal, F.conv(F.substring(name, 3, 7), 16, 10)).otherwise(F.substring(name, 2, 9)).try_cast("int")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        code = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        char = F.when(number == 160, " ").when(number.between(128, 159), F.try_element_at(flat(WINDOWS), number)).when(valid, code).otherwise("\ufffd")
+        found = F.when(ref == "", F.lit(None)).when(F.startswith(ref, F.lit("#")), char).otherwise(F.try_element_at(flat(NAMED), name))
+        return F.when(found.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(found, F.substring(part, F.length(ref) + 1, F.length(part))))
+
+    parts = F.split(text, "&")
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded), ""))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
 def strip_html(html: Column) -> Column:
-    """Tags to spaces, common character references decoded, white space squeezed."""
+    """Tags to spaces, character references decoded, white space squeezed."""
     plain = F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]+>", " ")
-    plain = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, plain)
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    return F.trim(F.regexp_replace(unescape(plain), r"\s+", " "))
 
 
 def meta_content(html: Column, names: Sequence[str]) -> Column:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from . import ordered
 
+#: The level of intervals with an infinite end.
+UNBOUNDED = 5000
+
 
 def as_of(left: DataFrame, right: DataFrame, by: str, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Each left row with the values of the last right row at or before it.
@@ -52,23 +55,34 @@ def containing(texts: DataFrame, items: DataFrame, text: str, item: str, block:
     for k in range(count):
         part = keyed if count == 1 else keyed.where(F.pmod(F.xxhash64(item), F.lit(count)) == k)
         long, short = part.where("_w is not null"), part.where("_w is null")
-        known = [r[0] for r in long.select("_w").distinct().collect()]
-        if known:
-            hits = texts.withColumn("_w", F.explode(F.array_intersect(F.split(text, r"\s+"), F.array(*[F.lit(w) for w in known]))))
-            parts.append(hits.join(F.broadcast(long), "_w").where(F.contains(text, item)).drop("_w"))
-        some = [r[0] for r in short.select(item).distinct().collect()]
-        if some:
-            hits = texts.withColumn("_s", F.explode(F.filter(F.array(*[F.lit(w) for w in some]), lambda x: F.contains(F.col(text), x))))
-            parts.append(hits.join(F.broadcast(short), F.col("_s") == F.col(item)).drop("_s", "_w"))
-    if not parts:
-        return texts.join(items.where("false"), F.lit(False))
+        # The block's words as one row of measured size.
+        words_of = lambda rows, c: F.broadcast(rows.agg(F.collect_set(c).alias("_all")))
+        hits = texts.crossJoin(words_of(long, "_w")).withColumn("_w", F.explode(F.array_intersect(F.split(text, r"\s+"), "_all"))).drop("_all")
+        parts.append(hits.join(F.broadcast(long), "_w").where(F.contains(text, item)).drop("_w"))
+        hits = texts.crossJoin(words_of(short, item)).withColumn("_s", F.explode(F.filter("_all", lambda x: F.contains(F.col(text), x)))).drop("_all")
+        parts.append(hits.join(F.broadcast(short), F.col("_s") == F.col(item)).drop("_s", "_w"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def band(left: DataFrame, right: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Rows whose ``at`` lies in the other side's [low, high], by cells of ``width``: an equi-join, then the exact test."""
-    cells = right.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return left.withColumn("_cell", F.floor(F.col(at) / width)).join(cells, "_cell").where(F.col(at).between(F.col(low), F.col(high))).drop("_cell")
+    """Rows whose ``at`` lies in the other side's [low, high], by cells: an equi-join, then the exact test.
+
+    An interval lies in cells as wide as itself (``width`` times a power of
+    two), so in three at most, however wide it is; a value looks into its cell
+    of each width that occurs. Unbounded intervals share one cell. Intervals
+    that are empty, null or not numbers meet nothing.
+    """
+    lo, hi, x = (F.col(c).cast("double") for c in (low, high, at))
+    open_ = (F.abs(lo) == float("inf")) | (F.abs(hi) == float("inf"))
+    known = right.where(F.col(low) <= F.col(high)).where(~F.isnan(lo) & ~F.isnan(hi))
+    level = F.when(open_, UNBOUNDED).otherwise(F.ceil(F.log2(F.greatest((hi - lo) / width, F.lit(1.0)))).cast("int"))
+    size = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_level"))
+    cell = lambda v: F.when(F.col("_level") == UNBOUNDED, F.lit(0).cast("long")).otherwise(F.floor(v / size))
+    leveled = known.withColumn("_level", level)
+    cells = leveled.withColumn("_cell", F.explode(F.sequence(cell(lo), cell(hi))))
+    levels = leveled.select("_level").distinct()  # at most as many as a double has exponents
+    looked = left.where(F.col(at).isNotNull()).crossJoin(F.broadcast(levels)).withColumn("_cell", cell(x))
+    return looked.join(cells, ["_level", "_cell"]).where(F.col(at).between(F.col(low), F.col(high))).drop("_level", "_cell")
 
 
 def dense_panel(rows: DataFrame, days: DataFrame, members: DataFrame, keys: Sequence[str], fill: Sequence[str]) -> DataFrame:
