@@ -2,7 +2,10 @@
 
 from datetime import datetime, timezone
 
+from pyspark.sql import functions as F
+
 from riskloom.functions import constants as C
+from riskloom.functions import text
 from riskloom.sources import rss
 
 RSS = """<?xml version="1.0"?><rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>t</title><link>https://c</link>
@@ -82,3 +85,33 @@ def test_status_and_candidates(spark, tmp_path):
     assert [(r[2], r[4], r[5], r[6], bool(r[7])) for r in status] == [("1.xml", 1, 4, 2, False), ("2.xml", 1, 0, 0, True)]
     got = rss.candidates(rss.entries(spark, feeds, backoff=0), C.KEYWORDS).collect()
     assert [(r["title"], r["matched_keywords"], r["confidence"]) for r in got] == [("On the navy", ["navy"], "filtered_match")]
+
+
+def test_many_small_fetches_are_few_partitions(spark, tmp_path):
+    n = 300
+    for i in range(n):
+        put(tmp_path / "s", f"{i:03d}.xml", "nothing" if i % 50 == 7 else RSS)
+    feeds = [{"source": "S", "source_code": "S", "tier": 1, "urls": [f"file://{tmp_path}/s"]}]
+    found = rss.entries(spark, feeds, backoff=0)
+    assert found.rdd.getNumPartitions() <= rss.SPREAD + 1
+    assert [(r["fetch"], r["position"]) for r in found.orderBy("fetch", "position").collect()] == [(f"{i:03d}.xml", k) for i in range(n) if i % 50 != 7 for k in (0, 1)]
+    many = rss.dealt([(feeds[0], [str(i) for i in range(100_001)]), (feeds[0], [])])
+    assert len(many) == 201 and [x for p in many for x in p.names] == [str(i) for i in range(100_001)]
+    assert len(rss.dealt([(feeds[0], ["a", "b"])])) == 2
+
+
+def test_both_kinds_of_rows_from_one_reading(spark, tmp_path):
+    for i in range(3):
+        put(tmp_path / "s", f"{i}.xml", "nothing" if i == 1 else RSS)
+    feeds = [{"source": "S", "source_code": "S", "tier": 2, "urls": [f"file://{tmp_path}/none", f"file://{tmp_path}/s"]}]
+    rows = lambda kind: rss.entries(spark, feeds, kind, backoff=0)
+    both = rows("both")
+    listed = lambda df, like: sorted(map(str, df.select(*like.columns).collect()))
+    assert listed(both.where("position IS NOT NULL"), rows("entries")) == listed(rows("entries"), rows("entries"))
+    assert listed(both.where("position IS NULL"), rows("status")) == listed(rows("status"), rows("status"))
+
+
+def test_keywords_by_folded_characters(spark):
+    texts = ["naval exerci\u017fe", "\u0130S\u0131 \u212a", "bilateral talks, cross-border MEAt mea", "quad_ x-S-400.", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(text.keywords(F.col("t")).alias("k")).collect()
+    assert [r["k"] for r in got] == [["naval exercise"], ["ISI"], ["border", "cross-border", "bilateral", "MEA", "bilateral talks"], ["S-400"], [], []]
