@@ -75,6 +75,20 @@ def test_ten_thousand_equal_titles_make_no_pairs(spark):
     assert {r["duplicate_of"]: r["count"] for r in got} == {None: 1, 0: n - 1}
 
 
+def test_index_rows_are_numbers(spark):
+    long = spark.range(40).select(F.concat(F.lpad(F.col("id").cast("string"), 2, "0"), F.repeat(F.lit(" words of a long title"), 6)).alias("t"), F.lit(0).alias("cell"))
+    pairs = similar_titles.similar_texts(long)
+    assert dict(pairs.dtypes) == {"a": "bigint", "b": "bigint"}
+    assert pairs.count() == 40 * 39 // 2
+
+
+def test_texts_of_one_node_are_compared_themselves(spark, monkeypatch):
+    monkeypatch.setattr(similar_titles, "node", lambda t: F.xxhash64(t) % 7)
+    for seed in (5, 6):
+        rows = headlines(120, seed)
+        assert {r["id"]: r["duplicate_of"] for r in similar_titles.resolve(frame(spark, rows)).collect()} == brute(rows)
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()}
