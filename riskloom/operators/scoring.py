@@ -54,7 +54,10 @@ def score_articles(articles: DataFrame) -> DataFrame:
             "dim_score": F.when(F.col("_t1") > 0, F.least(F.lit(C.DIM_CAP), weighted)).otherwise(0.0),
             "risk_type": F.when(F.col("_t1") > 0, "act").when(F.col("_t2") > 0, "threat").when(F.col("_t3") > 0, "context").otherwise("none"),
         }
-    ).withColumn("risk_score", F.when(F.col("theme_score") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("theme_score") + F.col("tone_score") + F.col("dim_score"))))
+    )
+    # A row's score is made once: conditions on it aren't pushed through explode, where they would repeat all patterns.
+    total = F.when(F.col("theme_score") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("theme_score") + F.col("tone_score") + F.col("dim_score")))
+    out = out.drop("risk_score").select("*", F.explode(F.array(total)).alias("risk_score"))
     category: Column = F.lit("other")
     for name, listed in reversed(C.CATEGORIES.items()):
         category = F.when(text.has_code(F.col("themes"), listed), name).otherwise(category)

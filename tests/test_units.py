@@ -240,3 +240,13 @@ def test_vol_experiment_runs_all_blocks_in_whole(spark):
     assert out.groupby("block").size().to_dict() == {"good": 30, "noise": 30, "both": 30}
     error = ((out.target - out.predicted) ** 2).groupby(out.block).mean()
     assert error["good"] < 1 < error["noise"] and ((out.probability > 0.5) == (out.high == 1))[out.block == "good"].mean() > 0.9
+
+
+def test_conditions_on_scores_repeat_no_patterns(spark):
+    from riskloom.operators import scoring
+
+    rows = spark.createDataFrame([(i, "TERROR;BORDER_DISPUTE" if i % 2 else "WEATHER", 6.0, 4.0, "c18.3:0.5") for i in range(6)], "id long, themes string, tone_neg double, tone_polarity double, dims string")
+    found = scoring.score_articles(rows).where("risk_score > 0 AND risk_score IS NOT NULL").select("id", "risk_score")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 3  # what counts are optimised to
+    assert sorted(r["id"] for r in found.collect()) == [1, 3, 5]
