@@ -19,14 +19,16 @@ TAGS = "id long, themes string, tone_neg double, tone_polarity double, dims stri
 def tag(articles: DataFrame, version: str, encoder: themes.Encoder = themes.hashed_words, threshold: float = C.SIMILARITY) -> DataFrame:
     """The columns of ``TAGS`` from ``id, title, content``: themes, tone, dimensions and places of whole texts."""
     body = F.trim(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
-    rows = articles.select("id", "title", "content", text.words(body).alias("_words"))
-    found = F.col("_words")
+    # Rows pass to the encoder with the words of the lexicons alone.
+    told = text.tallied(body, C.NEGATIVE_WORDS, C.POSITIVE_WORDS, *C.DIM_LEXICONS.values())
+    rows = articles.select("id", "title", "content", told.alias("_words"))
+    found, n = F.col("_words.found"), F.col("_words.n")
     return rows.select(
         "id",
         F.array_join(themes.reached(themes.similarities(F.col("title"), F.col("content"), encoder), threshold), ";").alias("themes"),
-        text.density(found, C.NEGATIVE_WORDS).alias("tone_neg"),
-        text.density(found, [*C.NEGATIVE_WORDS, *C.POSITIVE_WORDS]).alias("tone_polarity"),
-        text.dimension_list(found).alias("dims"),
+        text.density(found, C.NEGATIVE_WORDS, n).alias("tone_neg"),
+        text.density(found, [*C.NEGATIVE_WORDS, *C.POSITIVE_WORDS], n).alias("tone_polarity"),
+        text.dimension_list(found, total=n).alias("dims"),
         text.located(F.col("title"), F.col("content")).alias("locations"),
         F.lit(version).alias("version"),
         F.current_timestamp().alias("extracted_at"),
@@ -37,7 +39,8 @@ def written(spark: SparkSession, path: str) -> DataFrame:
     """All tags under ``path`` with their ``batch``; none if nothing was written."""
     if readers.first_existing(spark, [path]):
         return spark.read.schema(f"{TAGS}, batch long").parquet(path)
-    return spark.createDataFrame([], f"{TAGS}, batch long")
+    # Known to be empty when the plan is made: no join shuffles articles for it.
+    return spark.createDataFrame([], f"{TAGS}, batch long").where(F.lit(False))
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:

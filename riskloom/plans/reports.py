@@ -48,11 +48,11 @@ _gz = ", ".join(f"CASE WHEN regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({
 )
 def tagging_batch(spark, sf_dir):
     """Tone, dimensions, places and the extractors' versions of every text, over its whole length."""
-    words = F.col("words")
-    rows = T.docs(spark, sf_dir).select("doc_id", "text", text.words(F.col("text")).alias("words"))
-    dims = F.concat_ws(",", *[F.format_string(f"{k}:%.3f", text.dimension_density(words, v) + 1e-9) for k, v in T.DIMS.items()])
+    rows = T.docs(spark, sf_dir).select("doc_id", "text", text.tallied(F.col("text"), T.NEG, T.POS, *T.DIMS.values()).alias("w"))
+    words, n = F.col("w.found"), F.col("w.n")
+    dims = F.concat_ws(",", *[F.format_string(f"{k}:%.3f", text.dimension_density(words, v, total=n) + 1e-9) for k, v in T.DIMS.items()])
     return rows.select(
-        "doc_id", F.round(text.density(words, T.NEG), 6).alias("tone_neg"), F.round(text.density(words, T.NEG + T.POS), 6).alias("tone_polarity"), dims.alias("dims"),
+        "doc_id", F.round(text.density(words, T.NEG, n), 6).alias("tone_neg"), F.round(text.density(words, T.NEG + T.POS, n), 6).alias("tone_polarity"), dims.alias("dims"),
         text.place_blocks(F.col("text"), T.GAZETTEER).alias("locations"), text.extractor_id("words-1", "places-2").alias("version"),
     )
 

@@ -26,14 +26,15 @@ def _count(lexicon) -> str:
 
 @query(f"WITH {WORDS_SQL} SELECT doc_id, len(words) AS n_words, round(coalesce(100.0 * {_count(NEG)} / nullif(len(words), 0), 0), 6)::DOUBLE AS neg_pct, round(coalesce(100.0 * {_count(NEG + POS)} / nullif(len(words), 0), 0), 6)::DOUBLE AS tonal_pct FROM w")
 def token_density(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", text.words(F.col("text")).alias("words"))
-    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.round(text.density(F.col("words"), NEG), 6).alias("neg_pct"), F.round(text.density(F.col("words"), NEG + POS), 6).alias("tonal_pct"))
+    rows = docs(spark, sf_dir).select("doc_id", text.tallied(F.col("text"), NEG, POS).alias("w"))
+    found, n = F.col("w.found"), F.col("w.n")
+    return rows.select("doc_id", n.cast("long").alias("n_words"), F.round(text.density(found, NEG, n), 6).alias("neg_pct"), F.round(text.density(found, NEG + POS, n), 6).alias("tonal_pct"))
 
 
 @query(f"WITH {WORDS_SQL} SELECT doc_id, {', '.join(f'round(coalesce(least(1.0, {_count(v)} / nullif(len(words) * 0.04, 0)), 0), 6)::DOUBLE AS d{i}' for i, v in enumerate(DIMS.values()))} FROM w")
 def lexicon_dims(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", text.words(F.col("text")).alias("words"))
-    return rows.select("doc_id", *[F.round(text.dimension_density(F.col("words"), v), 6).alias(f"d{i}") for i, v in enumerate(DIMS.values())])
+    rows = docs(spark, sf_dir).select("doc_id", text.tallied(F.col("text"), *DIMS.values()).alias("w"))
+    return rows.select("doc_id", *[F.round(text.dimension_density(F.col("w.found"), v, total=F.col("w.n")), 6).alias(f"d{i}") for i, v in enumerate(DIMS.values())])
 
 
 KEYS = ("License", "token", "the and", "threat", "avec")

@@ -152,3 +152,53 @@ def test_a_batch_without_progress_stops_the_stream(spark, tmp_path):
     assert jobs.run_guarded(stream(), sink, str(tmp_path / "c")) is False
     assert 1 in seen and len(seen) < 4
     assert jobs.run_guarded(stream(), lambda b, n: b.count(), str(tmp_path / "c")) is True
+
+
+def test_a_first_cycle_shuffles_no_article(spark, tmp_path):
+    df = spark.range(100).selectExpr("id", "'t' AS title", "'c' AS content", "timestamp_seconds(id) AS event_time")
+    todo = tagging.pending(df, tagging.written(spark, str(tmp_path / "none")), "v1")
+    assert "Exchange" not in todo._jdf.queryExecution().executedPlan().toString() and todo.count() == 100
+
+
+def test_few_vectors_are_held_at_once(spark):
+    """A batch of texts is encoded in parts, with the figures that it has as a whole."""
+
+    def counted():
+        encode = themes.hashed_words()
+
+        def parts(texts):
+            if len(texts) > 64:
+                raise ValueError(f"{len(texts)} vectors at once")
+            return encode(texts)
+
+        return parts
+
+    texts = [None if i % 50 == 7 else "" if i % 50 == 8 else f"Été war_{i % 9} coup Kİ junta {i}" * (i % 5) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, content string").coalesce(1)
+    got = [r["s"] for r in df.orderBy("id").select(themes.similarities(F.lit(None), F.col("content"), counted).alias("s")).collect()]
+    want = themes.hashed_words()([f"  {t or ''}" for t in texts]) @ themes.hashed_words()(list(C.DESCRIPTIONS.values())).T
+    assert np.allclose(got, want) and themes.hashed_words()([""]).tolist() == [[0.0] * themes.DIMENSIONS]
+    assert all(themes._words(t) == re.findall(r"\w+", t.lower()) for t in ("a_b-c9\x1cd'e\x00f\n", "É a_b-c", "", "K x"))
+
+
+def test_names_by_shared_beginnings(spark):
+    """Names spelt out as a tree are those of the plain alternation, in odd letter cases and at odd bounds."""
+    names = [w for c in C.COUNTRIES for w in c[4]] + [a.lower() for p in C.PLACES for a in p[1]]
+    texts = ["South Korea south korean SOUTH KOREA, sıngapore İran Kenya ſuez Øresundøresund xøresund", "sri lankan_sri lanka sri lankans 9india india9 india's o'india", "saudi arabian saudi  arabia saudi\narabia", "raxaul-birgunj-raxaul bab el-mandeb́ chiná china\U0001f600oman", "", "chinachina iraniran iran‍iraq"]
+    longest = sorted(names, key=lambda n: (-len(n), n))
+    plain = "|".join(re.escape(n).replace(r"\ ", " ") for n in longest)
+    df = spark.createDataFrame([(t + " " + n.upper() + "'" + n + "," + n.title(),) for t in texts for n in names], "t string")
+    for left, right in ((r"\b", r"\b"), (r"(?<!\w)", r"(?!\w)")):
+        found = [F.regexp_extract_all("t", F.lit(f"(?iU){p}{right}"), F.lit(1)) for p in (f"{left}({plain})", f"{text._beginnings(names)}{left}({text._spellings(names)})")]
+        assert df.where(~(found[0] == found[1])).count() == 0 and df.where(F.size(found[0]) > 0).count() == df.count()
+    assert text._spellings(["oman", "saudi", "saudi arabia"]).count("s") == 1
+
+
+def test_lexicon_words_are_told_in_one_pass(spark):
+    df = spark.createDataFrame([("War war's WAR a'b'war peace, Killed İwar killed",), ("",), (None,), ("it's 9",)], "t string")
+    lexicons = (C.NEGATIVE_WORDS, C.POSITIVE_WORDS, *C.DIM_LEXICONS.values())
+    rows = df.select(text.words(F.col("t")).alias("w"), text.tallied(F.col("t"), *lexicons).alias("s"))
+    found, n = F.col("s.found"), F.col("s.n")
+    for one, other in [(text.density(F.col("w"), x), text.density(found, x, n)) for x in lexicons] + [(text.dimension_list(F.col("w")), text.dimension_list(found, total=n))]:
+        assert rows.where(~(one == other)).count() == 0
+    assert [tuple(r) for r in rows.select(n, found).collect()] == [(9, ["war", "war", "war", "peace", "war"]), (0, []), (0, []), (1, [])]
